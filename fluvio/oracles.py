@@ -88,7 +88,7 @@ def wet(month: str = "month") -> str:
 
 
 def by_season(wet_v: float, dry_v: float, month: str = "month") -> str:
-    return f"(CASE WHEN {wet(month)} THEN {wet_v} ELSE {dry_v} END)"
+    return f"CAST(CASE WHEN {wet(month)} THEN {wet_v} ELSE {dry_v} END AS DOUBLE)"
 
 
 def gate(month: str = "month") -> str:

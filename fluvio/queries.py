@@ -184,3 +184,179 @@ def mad_sigma(spark, sf_dir):
     res = {"A": F.col(C.TARGET_A) - F.col("pred_A"), "B": F.col(C.TARGET_B) - F.col("pred_B")}
     out = robust.mad_sigma_by_station(scored, res, where=F.col("split") == "test")
     return rounded(out.where(F.col("sigma_A").isNotNull()).select("station_id", "sigma_A", "sigma_B"))
+
+
+# --- mixing, sigma and band (H7-H14, H24, H19, H16) --------------------------------
+
+_TEST = "split = 'test'"
+
+
+@query("gated_mix", f"""WITH {O.band_cte(SPLITS)}
+SELECT {_KEYS}, {_R('pred_A', 'learner_avg')}, {_R('0.6 * y_lag1 + 0.4 * y_rm3', 'learner_avg_legacy')},
+       {_R('g', 'g')}, {_R('pred', 'pred')}, {_R('obs', 'obs')}
+FROM band WHERE {_TEST}""")
+def gated_mix(spark, sf_dir):
+    """H7 (learner average, 0.5/0.5), H24 (legacy 0.6/0.4), H8 (gated mix of pred and obs)."""
+    b = _band(spark, sf_dir).where(F.col("split") == "test")
+    return rounded(b.select("station_id", "year", "month",
+                            U.learner_average("y_lag1", "y_rm3").alias("learner_avg"),
+                            U.learner_average("y_lag1", "y_rm3", C.LEGACY_LEARNER_WEIGHTS).alias("learner_avg_legacy"),
+                            "g", "pred", "obs"))
+
+
+@query("mixed_sigma", f"""WITH {O.band_cte(SPLITS)}
+SELECT {_KEYS}, {_R('sigma_A', 'sigma_A')}, {_R('sigma_B', 'sigma_B')}, {_R('sigma_base', 'sigma_base')},
+       {_R('sigma', 'sigma')}
+FROM band WHERE {_TEST}""")
+def mixed_sigma(spark, sf_dir):
+    """Training-form mixed sigma per test row, before and after the scale."""
+    b = _band(spark, sf_dir).where(F.col("split") == "test")
+    return rounded(b.select("station_id", "year", "month", "sigma_A", "sigma_B", "sigma_base", "sigma"))
+
+
+def _serving_sql(scale_default=C.SCALE_SERVING_DEFAULT):
+    g, w, f = O.gate(), O.disagreement(), O.season_factor()
+    sa, sb = f"coalesce(sigma_A, {C.SIGMA_DEFAULT})", f"coalesce(sigma_B, {C.SIGMA_DEFAULT})"
+    mix = f"sqrt({g} * {sa} * {sa} + (1 - {g}) * {sb} * {sb} + {w} * {C.SERVING_DISAGREEMENT ** 2})"
+    return mix, f"{mix} * {f} * {scale_default}"
+
+
+@query("serving_sigma", f"""WITH {O.band_cte(SPLITS)}
+SELECT {_KEYS}, {_R(_serving_sql()[0], 'sigma_mix')}, {_R(_serving_sql()[1], 'sigma')} FROM band""")
+def serving_sigma(spark, sf_dir):
+    """Serving sigma (constant disagreement 10^2, defaults 15 / 1.2) on every frame row."""
+    b = _band(spark, sf_dir)
+    return rounded(b.select("station_id", "year", "month",
+                            U.serving_sigma_mix("sigma_A", "sigma_B").alias("sigma_mix"),
+                            U.serving_sigma("sigma_A", "sigma_B", F.lit(None).cast("double")).alias("sigma")))
+
+
+@query("legacy_sigma", f"""WITH {O.frame_cte(SPLITS)}
+SELECT {_KEYS}, {_R(f"(CASE WHEN {O.wet()} THEN {C.LEGACY_SIGMA_WET} ELSE {C.LEGACY_SIGMA_DRY} END) * {O.season_factor()} * {C.SCALE_SERVING_DEFAULT}", 'sigma')}
+FROM frame""")
+def legacy_sigma(spark, sf_dir):
+    """Base 15 wet / 10 dry times the season factor and s = 1.2."""
+    f = _frame(spark, sf_dir)
+    return rounded(f.select("station_id", "year", "month", U.legacy_sigma().alias("sigma")))
+
+
+@query("band_clip", f"""WITH {O.band_cte(SPLITS)}
+SELECT {_KEYS}, {_R('pred', 'pred')}, {_R('greatest(0, lower_bound)', 'lower_bound')},
+       {_R('upper_bound', 'upper_bound')}, {_R('lower_bound', 'lower_raw')}
+FROM band WHERE {_TEST}""")
+def band_clip(spark, sf_dir):
+    """H13 band and H14 serving clip of the lower bound at 0."""
+    b = _band(spark, sf_dir).where(F.col("split") == "test")
+    return rounded(b.select("station_id", "year", "month", "pred",
+                            U.lower("pred", "sigma", clip_at_zero=True).alias("lower_bound"),
+                            "upper_bound", F.col("lower_bound").alias("lower_raw")))
+
+
+@query("legacy_gate", f"""WITH {O.features_cte()},
+rec AS (SELECT {_KEYS}, CAST(CAST((round_even(asin(month_sin) * 12 / (2 * pi()), 0) % 12 + 12) % 12 AS INTEGER) + 1 AS INTEGER)
+               AS month_recovered FROM features)
+SELECT *, {_R(O.gate('month_recovered'), 'gate_recovered')}, {_R(O.gate(), 'gate_true')} FROM rec""")
+def legacy_gate(spark, sf_dir):
+    """Month recovered from its sine (lossy) and the gate it implies."""
+    f = feat.add_lag_features(_panel(spark, sf_dir))
+    out = f.select("station_id", "year", "month", season.month_from_sin("month_sin").alias("month_recovered"))
+    return rounded(out.select("*", season.gate("month_recovered").alias("gate_recovered"),
+                              season.gate().alias("gate_true")))
+
+
+@query("month_dates", f"""WITH {O.panel_cte()}
+SELECT {_KEYS}, make_date(year, month, 1) AS month_start, {O.wet()} AS is_wet FROM panel""")
+def month_dates(spark, sf_dir):
+    p = _panel(spark, sf_dir)
+    return p.select("station_id", "year", "month", season.month_start().alias("month_start"),
+                    season.is_wet().alias("is_wet"))
+
+
+# --- metrics (D1-D8, B17, D11-D14, H18) ---------------------------------------------
+
+def _report(spark, sf_dir):
+    return ev.station_report(_band(spark, sf_dir))
+
+
+_SKILL = ["rmse", "mae", "r2", "nse", "kge", "pbias", "pearson"]
+_REPORT_SQL = O.station_report_sql(SPLITS)
+
+
+def _report_subset_sql(cols: list[str]) -> str:
+    return f"SELECT station_id, {', '.join(cols)} FROM ({_REPORT_SQL}) rep"
+
+
+@query("skill_metrics", _report_subset_sql(["n_test", "n_train"] + _SKILL + [f"train_{c}" for c in _SKILL]))
+def skill_metrics(spark, sf_dir):
+    """The test bundle (mixed target) and the train bundle (target A), D1-D7."""
+    cols = ["n_test", "n_train"] + _SKILL + [f"train_{c}" for c in _SKILL]
+    return rounded(_report(spark, sf_dir).select("station_id", *cols))
+
+
+@query("peak_nse", _report_subset_sql(["upper_fence", "nse_peaks", "train_nse_peaks"]))
+def peak_nse(spark, sf_dir):
+    """D8 with B17: NSE over rows above the train upper fence."""
+    return rounded(_report(spark, sf_dir).select("station_id", "upper_fence", "nse_peaks", "train_nse_peaks"))
+
+
+@query("interval_metrics", _report_subset_sql(["n_test", "coverage", "rel_width", "width_ratio"]))
+def interval_metrics(spark, sf_dir):
+    """D11-D13 at s = 1.2."""
+    return rounded(_report(spark, sf_dir).select("station_id", "n_test", "coverage", "rel_width", "width_ratio"))
+
+
+@query("risk_class", _report_subset_sql(["coverage", "pbias", "risk"]))
+def risk_class(spark, sf_dir):
+    """H18 over the test bundle."""
+    return rounded(_report(spark, sf_dir).select("station_id", "coverage", "pbias", "risk"))
+
+
+# --- coverage table, last 24 months (B19, H16, H17, F2) --------------------------------
+
+@query("coverage_last24", f"""WITH {O.band_cte(SPLITS)},
+t AS (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY year DESC, month DESC) AS rn
+      FROM band WHERE {_TEST})
+SELECT {_KEYS}, make_date(year, month, 1) AS month_start, {_R('obs', 'obs')}, {_R('pred', 'pred')},
+       {_R('lower_bound', 'lower_bound')}, {_R('upper_bound', 'upper_bound')},
+       (obs >= lower_bound AND obs <= upper_bound) AS covered
+FROM t WHERE rn <= 24""")
+def coverage_last24(spark, sf_dir):
+    from fluvio.operators.selection import last_n_per_station
+    b = _band(spark, sf_dir).where(F.col("split") == "test")
+    t = last_n_per_station(b, 24)
+    return rounded(t.select("station_id", "year", "month", season.month_start().alias("month_start"),
+                            "obs", "pred", "lower_bound", "upper_bound",
+                            U.covered("obs", "lower_bound", "upper_bound").alias("covered")))
+
+
+# --- band-scale search (I9, I10, F3) --------------------------------------------------
+
+def _scale_search_sql() -> str:
+    k = (f"least(greatest(CASE WHEN sigma_base > 0 THEN CAST(ceil(abs(obs - pred) * 1000 / sigma_base) AS BIGINT) "
+         f"WHEN abs(obs - pred) = 0 THEN 0 ELSE 1000000000 END, 500), 3001)")
+    s = "(CAST(g.k AS DOUBLE) / 1000)"
+    fit = (f"-abs(CAST(count(r.k) AS DOUBLE) / any_value(st.n) - {C.TARGET_COVERAGE}) "
+           f"- {C.REL_WIDTH_WEIGHT} * abs({s} * any_value(st.A) - {C.TARGET_REL_WIDTH}) "
+           f"- {C.WIDTH_RATIO_PENALTY} * greatest(0, {s} * any_value(st.B) - {C.WIDTH_RATIO_CAP})")
+    return f"""WITH {O.band_cte(SPLITS)},
+rws AS (SELECT station_id, obs, pred, sigma_base, obs_width, {k} AS k FROM band WHERE {_TEST}),
+st AS (SELECT station_id, count(*) AS n, avg(sigma_base * 2) / (stddev_pop(obs) + {C.REL_WIDTH_EPS}) AS A,
+              avg(sigma_base * 2 / obs_width) AS B FROM rws GROUP BY station_id),
+grid AS (SELECT unnest(generate_series(500, 3000)) AS k),
+ev AS (
+  SELECT st.station_id, g.k, {fit} AS fit, CAST(count(r.k) AS DOUBLE) / any_value(st.n) AS p,
+         {s} * any_value(st.A) AS rw, {s} * any_value(st.B) AS wr
+  FROM st CROSS JOIN grid g LEFT JOIN rws r ON r.station_id = st.station_id AND r.k <= g.k
+  GROUP BY st.station_id, g.k),
+best AS (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY fit DESC, k ASC) AS rn FROM ev)
+SELECT station_id, {O.rnd('k / 1000')} AS s_opt, {O.rnd('fit')} AS fitness, {O.rnd('p')} AS coverage,
+       {O.rnd('rw')} AS rel_width, {O.rnd('wr')} AS width_ratio
+FROM best WHERE rn = 1"""
+
+
+@query("scale_search", _scale_search_sql())
+def scale_search(spark, sf_dir):
+    """Exact grid search of the band scale per station (in-sample on test, as the original)."""
+    from fluvio.operators.calibrate import scale_search as search
+    b = _band(spark, sf_dir).where(F.col("split") == "test")
+    return rounded(search(b))
