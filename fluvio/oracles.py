@@ -16,7 +16,7 @@ NUDGE = 1e-12  # same relative nudge before rounding as ``plans.output.rounded``
 
 def rnd(expr: str) -> str:
     """Round like Spark's ``round(double, d)``: half-up on the decimal form."""
-    return (f"CAST(round(CAST(CAST({expr} AS DOUBLE) * (1.0 + {NUDGE!r}) AS DECIMAL(38, 10)), {DIGITS}) "
+    return (f"CAST(round(CAST(CAST({expr} AS DOUBLE) * (1.0 + {NUDGE!r}) AS DECIMAL(38, 18)), {DIGITS}) "
             f"AS DOUBLE)")
 
 

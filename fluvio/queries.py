@@ -360,3 +360,107 @@ def scale_search(spark, sf_dir):
     from fluvio.operators.calibrate import scale_search as search
     b = _band(spark, sf_dir).where(F.col("split") == "test")
     return rounded(search(b))
+
+
+# --- requests: validation and fills (A4, B14, B15, B16) ---------------------------------
+
+def _requests_sql() -> str:
+    key = "((station_id + month) % 7)"
+    feats = []
+    for c in C.REQUEST_FEATURES:
+        if c == "y_lag1":
+            feats.append(f"CASE WHEN {key} <> 2 THEN {c} END AS {c}")
+        elif c in ("pr_sum3", "u2_min"):
+            feats.append(f"CASE WHEN {key} <> 3 THEN {c} END AS {c}")
+        else:
+            feats.append(f"{c}")
+    return O.frame_cte(SPLITS) + f""",
+requests AS (
+  SELECT concat_ws('-', CAST(station_id AS VARCHAR), CAST(year AS VARCHAR), lpad(CAST(month AS VARCHAR), 2, '0'))
+           AS request_id, station_id,
+         CAST(CASE WHEN {key} = 1 THEN 1990 ELSE year END AS INTEGER) AS year,
+         CAST(CASE WHEN {key} = 0 THEN 13 ELSE month END AS INTEGER) AS month, {', '.join(feats)}
+  FROM frame WHERE split = 'test')"""
+
+
+def _violations_sql() -> str:
+    msgs = ["CASE WHEN year IS NULL THEN 'missing year' END", "CASE WHEN month IS NULL THEN 'missing month' END",
+            f"CASE WHEN NOT (year BETWEEN {C.REQUEST_YEAR_MIN} AND {C.REQUEST_YEAR_MAX}) "
+            f"THEN 'year out of range [{C.REQUEST_YEAR_MIN}, {C.REQUEST_YEAR_MAX}]' END",
+            "CASE WHEN NOT (month BETWEEN 1 AND 12) THEN 'month out of range [1, 12]' END"]
+    msgs += [f"CASE WHEN {c} IS NULL THEN 'missing {c}' END" for c in C.REQUEST_FEATURES]
+    return msgs
+
+
+@query("validate_requests", f"""WITH {_requests_sql()},
+v AS (SELECT request_id, station_id, year, month, list_filter([{', '.join(_violations_sql())}], lambda x: x IS NOT NULL) AS vs
+      FROM requests)
+SELECT request_id, station_id, year, month, CAST(len(vs) AS INTEGER) AS n_violations,
+       array_to_string(vs, '; ') AS violations,
+       CASE WHEN len(vs) = 0 THEN 'accepted' ELSE 'quarantined' END AS status
+FROM v""")
+def validate_requests(spark, sf_dir):
+    """Range and presence checks; every request is accepted or quarantined."""
+    from fluvio.operators.validate import with_violations
+    from fluvio.sources.requests import requests_from_frame
+    v = with_violations(requests_from_frame(_frame(spark, sf_dir)))
+    return v.select("request_id", "station_id", "year", "month", F.size("violations").alias("n_violations"),
+                    F.array_join("violations", "; ").alias("violations"),
+                    F.when(F.size("violations") == 0, F.lit("accepted")).otherwise(F.lit("quarantined")).alias("status"))
+
+
+@query("impute_zero", f"""WITH {_requests_sql()}
+SELECT request_id, {', '.join(_R(f'coalesce({c}, 0)', c) for c in C.REQUEST_FEATURES)} FROM requests""")
+def impute_zero(spark, sf_dir):
+    """Missing request features filled with 0."""
+    from fluvio.operators.validate import fill_zero
+    from fluvio.sources.requests import requests_from_frame
+    r = fill_zero(requests_from_frame(_frame(spark, sf_dir)), C.REQUEST_FEATURES)
+    return rounded(r.select("request_id", *C.REQUEST_FEATURES))
+
+
+@query("impute_train_mean", f"""WITH {_requests_sql()},
+m AS (SELECT station_id, {', '.join(f'avg({c}) AS m_{c}' for c in C.REQUEST_FEATURES)} FROM frame
+      WHERE split = 'train' GROUP BY station_id)
+SELECT request_id, {', '.join(_R(f'coalesce(r.{c}, m.m_{c})', c) for c in C.REQUEST_FEATURES)}
+FROM requests r LEFT JOIN m USING (station_id)""")
+def impute_train_mean(spark, sf_dir):
+    """Missing request features filled with the station's train mean."""
+    from fluvio.operators.validate import fill_train_mean
+    from fluvio.sources.requests import requests_from_frame
+    frame = _frame(spark, sf_dir)
+    r = fill_train_mean(requests_from_frame(frame), frame)
+    return rounded(r.select("request_id", *C.REQUEST_FEATURES))
+
+
+# --- scaling (D15, G1, I1) --------------------------------------------------------------
+
+_FIT = "split IN ('train', 'val')"
+
+
+@query("scaler_stats", f"""WITH {O.frame_cte(SPLITS)}
+SELECT station_id, count(CASE WHEN {_FIT} THEN 1 END) AS n_fit,
+       {', '.join(_R(f"avg(CASE WHEN {_FIT} THEN {c} END)", f'mean_{c}') + ', ' + _R(f"stddev_pop(CASE WHEN {_FIT} THEN {c} END)", f'sd_{c}') for c in C.FEATURE_COLUMNS)}
+FROM frame GROUP BY station_id""")
+def scaler_stats(spark, sf_dir):
+    """D15 over train UNION val (G1), population sd."""
+    from fluvio.operators.scaling import scaler_stats as stats
+    return rounded(stats(_frame(spark, sf_dir)))
+
+
+def _standardize_sql() -> str:
+    zs = []
+    for c in C.FEATURE_COLUMNS:
+        mean = f"avg(CASE WHEN {_FIT} THEN {c} END) OVER (PARTITION BY station_id)"
+        sd = f"stddev_pop(CASE WHEN {_FIT} THEN {c} END) OVER (PARTITION BY station_id)"
+        zs.append(_R(f"({c} - {mean}) / (CASE WHEN {sd} IS NULL OR {sd} = 0 THEN 1.0 ELSE {sd} END)", f"z_{c}"))
+    return f"""WITH {O.frame_cte(SPLITS)}
+SELECT {_KEYS}, {', '.join(zs)} FROM frame"""
+
+
+@query("standardize", _standardize_sql())
+def standardize(spark, sf_dir):
+    """Per-station z-scores of the 25 features with train+val statistics."""
+    from fluvio.operators.scaling import standardize as std
+    z = std(_frame(spark, sf_dir))
+    return rounded(z.select("station_id", "year", "month", *[f"z_{c}" for c in C.FEATURE_COLUMNS]))
