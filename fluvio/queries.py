@@ -464,3 +464,175 @@ def standardize(spark, sf_dir):
     from fluvio.operators.scaling import standardize as std
     z = std(_frame(spark, sf_dir))
     return rounded(z.select("station_id", "year", "month", *[f"z_{c}" for c in C.FEATURE_COLUMNS]))
+
+
+# --- geo records (A2, A3, B1-B9, B20, H20-H23) ----------------------------------------------
+
+def _records_sql() -> str:
+    lon = "(-43.0 - CAST(user_id % 100 AS DOUBLE) / 100.0)"
+    lat = "(-22.0 - CAST(user_id % 50 AS DOUBLE) / 50.0)"
+    return f"""rec AS (
+  SELECT *, CASE WHEN event_id % 2 = 0 THEN 'Point' ELSE 'Polygon' END AS gtype, {lon} AS lon, {lat} AS lat
+  FROM events)"""
+
+
+_OBS_COLS = ("id, type, value, unit, timestamp, geometry_type, location_name")
+
+
+def _obs_select(where: str) -> str:
+    return f"""WITH {_records_sql()}
+SELECT event_id AS id, event_type AS type, {_R('value', 'value')}, upper(substr(event_type, 1, 3)) AS unit,
+       ts AS timestamp, lower(gtype) AS geometry_type, 'Station ' || CAST(user_id AS VARCHAR) AS location_name,
+       {_R("CASE WHEN gtype = 'Point' THEN lon END", 'lon')}, {_R("CASE WHEN gtype = 'Point' THEN lat END", 'lat')}
+FROM rec WHERE {where}"""
+
+
+def _obs_out(df):
+    from fluvio.operators.catalog import point_lat, point_lon
+    return rounded(df.select("id", "type", "value", "unit", "timestamp", "geometry_type", "location_name",
+                             point_lon().alias("lon"), point_lat().alias("lat")))
+
+
+@query("obs_filter", _obs_select("lower(gtype) = 'point' AND lower(event_type) = 'view'"))
+def obs_filter(spark, sf_dir):
+    """B1 + B2 + B3: geometry_type='Point' and data_type='VIEW', both case-insensitive."""
+    from fluvio.operators.catalog import filter_observations
+    from fluvio.sources.records import observations
+    return _obs_out(filter_observations(observations(spark, sf_dir), geometry_type="Point", data_type="VIEW"))
+
+
+@query("obs_points", _obs_select("gtype = 'Point'"))
+def obs_points(spark, sf_dir):
+    """B4."""
+    from fluvio.operators.catalog import points
+    from fluvio.sources.records import observations
+    return _obs_out(points(observations(spark, sf_dir)))
+
+
+def _poly_sql(source_cols: str, where: str = "gtype = 'Polygon'") -> str:
+    return f"""WITH {_records_sql()}
+SELECT event_id AS id, {source_cols}, 1 AS n_rings, 5 AS ring_points,
+       {_R('lon', 'first_lon')}, {_R('lat', 'first_lat')}, true AS closed
+FROM rec WHERE {where}"""
+
+
+def _poly_out(df, *cols):
+    ring = F.element_at(F.col("geometry.rings"), 1)
+    return rounded(df.select(
+        "id", *cols, F.size("geometry.rings").alias("n_rings"), F.size(ring).alias("ring_points"),
+        F.element_at(F.element_at(ring, 1), 1).alias("first_lon"), F.element_at(F.element_at(ring, 1), 2).alias("first_lat"),
+        (F.element_at(ring, 1) == F.element_at(ring, -1)).alias("closed")))
+
+
+@query("obs_polygons", _poly_sql("event_type AS type"))
+def obs_polygons(spark, sf_dir):
+    """B5 with ring access."""
+    from fluvio.operators.catalog import polygons
+    from fluvio.sources.records import observations
+    return _poly_out(polygons(observations(spark, sf_dir)), "type")
+
+
+@query("locations", f"""WITH {_records_sql()}
+SELECT event_id AS id, 'Station ' || CAST(user_id AS VARCHAR) AS location_name, gtype AS geometry_type,
+       [event_type] AS data_types FROM rec""")
+def locations(spark, sf_dir):
+    """One row per observation, no dedup."""
+    from fluvio.operators.catalog import locations as loc
+    from fluvio.sources.records import observations
+    return loc(observations(spark, sf_dir))
+
+
+def _fc_sql(where: str) -> str:
+    return f"""WITH {_records_sql()}
+SELECT event_id AS id, event_type || '_model' AS model, {_R('(event_id % 100) / 100.0', 'confidence')},
+       lower(gtype) AS geometry_type, 'Area ' || CAST(user_id AS VARCHAR) AS location_name,
+       ts + INTERVAL 6 HOUR AS forecast_time
+FROM rec WHERE {where}"""
+
+
+def _fc_out(df):
+    return rounded(df.select("id", "model", "confidence", "geometry_type", "location_name", "forecast_time"))
+
+
+@query("forecast_filter", _fc_sql("lower(gtype) = 'polygon' AND contains(lower(event_type || '_model'), 'er')"))
+def forecast_filter(spark, sf_dir):
+    """B7 + B8 + B3: geometry_type='POLYGON' (=), model_name='Er' (substring), case-insensitive."""
+    from fluvio.operators.catalog import filter_forecasts
+    from fluvio.sources.records import forecasts
+    return _fc_out(filter_forecasts(forecasts(spark, sf_dir), geometry_type="POLYGON", model_name="Er"))
+
+
+@query("forecast_points", _fc_sql("gtype = 'Point'"))
+def forecast_points(spark, sf_dir):
+    """B4 on forecasts."""
+    from fluvio.operators.catalog import points
+    from fluvio.sources.records import forecasts
+    return _fc_out(points(forecasts(spark, sf_dir)))
+
+
+@query("forecast_polygons", _poly_sql("event_type || '_model' AS model"))
+def forecast_polygons(spark, sf_dir):
+    """B5 on forecasts."""
+    from fluvio.operators.catalog import polygons
+    from fluvio.sources.records import forecasts
+    return _poly_out(polygons(forecasts(spark, sf_dir)), "model")
+
+
+@query("forecast_areas", f"""WITH {_records_sql()}
+SELECT event_id AS id, 'Area ' || CAST(user_id AS VARCHAR) AS location_name, gtype AS geometry_type,
+       event_type || '_model' AS model, ts + INTERVAL 6 HOUR AS forecast_time FROM rec""")
+def forecast_areas(spark, sf_dir):
+    """B9."""
+    from fluvio.operators.catalog import forecast_areas as areas
+    from fluvio.sources.records import forecasts
+    return areas(forecasts(spark, sf_dir))
+
+
+def _quality_sql() -> str:
+    ring = "[[lon, lat], [lon + 0.1, lat], [lon + 0.1, lat - 0.1], [lon, lat - 0.1], [lon, lat]]"
+    common = [
+        ("bad_geometry_type", "gtype NOT IN ('Point', 'Polygon')"),
+        ("point_arity", "gtype = 'Point' AND len([lon, lat]) <> 2"),
+        ("ring_too_short", f"gtype = 'Polygon' AND len({ring}) < 4"),
+        ("ring_not_closed", f"gtype = 'Polygon' AND {ring}[1] <> {ring}[-1]"),
+    ]
+    obs = common + [("missing_location", "length(trim('Station ' || CAST(user_id AS VARCHAR))) = 0")]
+    fc = common + [("missing_location", "length(trim('Area ' || CAST(user_id AS VARCHAR))) = 0"),
+                   ("confidence_range", "NOT ((event_id % 100) / 100.0 BETWEEN 0 AND 1)"),
+                   ("missing_forecast_time", "ts IS NULL")]
+    parts = []
+    for source, rules in (("observation", obs), ("forecast", fc)):
+        for name, cond in rules:
+            parts.append(f"SELECT '{source}' AS source, count(*) AS n_records, '{name}' AS rule, "
+                         f"count(*) FILTER (WHERE {cond}) AS n_violations FROM rec")
+    return f"WITH {_records_sql()}\n" + "\nUNION ALL\n".join(parts)
+
+
+@query("geo_quality", _quality_sql())
+def geo_quality(spark, sf_dir):
+    """Violation counts per rule for observations and forecasts."""
+    from fluvio.operators.catalog import quality_report
+    from fluvio.sources.records import forecasts, observations
+    return quality_report(observations(spark, sf_dir), "observation").unionByName(
+        quality_report(forecasts(spark, sf_dir), "forecast"))
+
+
+@query("variant_result", f"""SELECT event_id AS id,
+  CASE event_id % 3 WHEN 0 THEN 'string' WHEN 1 THEN 'number' ELSE 'object' END AS result_kind,
+  CASE WHEN event_id % 3 = 0 THEN event_type END AS result_text,
+  {_R('CASE WHEN event_id % 3 = 1 THEN value END', 'result_number')},
+  {_R('CASE WHEN event_id % 3 = 2 THEN value END', 'speed_avg')},
+  CASE WHEN event_id % 3 = 2 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS props_k
+FROM events""")
+def variant_result(spark, sf_dir):
+    """Polymorphic VARIANT result read per kind."""
+    from fluvio.sources.records import forecasts, result_kind
+    fc = forecasts(spark, sf_dir)
+    kind = result_kind(F.col("result"))
+    out = fc.select("id", kind.alias("result_kind"), "result")
+    return rounded(out.select(
+        "id", "result_kind",
+        F.when(F.col("result_kind") == "string", F.try_variant_get("result", "$", "string")).alias("result_text"),
+        F.when(F.col("result_kind") == "number", F.try_variant_get("result", "$", "double")).alias("result_number"),
+        F.try_variant_get("result", "$.speed_avg", "double").alias("speed_avg"),
+        F.try_variant_get("result", "$.props.k", "bigint").alias("props_k")))
