@@ -636,3 +636,79 @@ def variant_result(spark, sf_dir):
         F.when(F.col("result_kind") == "number", F.try_variant_get("result", "$", "double")).alias("result_number"),
         F.try_variant_get("result", "$.speed_avg", "double").alias("speed_avg"),
         F.try_variant_get("result", "$.props.k", "bigint").alias("props_k")))
+
+
+# --- files: CSV scan, scored series, run export (A1, A5, A6, B18, H15) -----------------------
+
+_PANEL_COLS = ["station_id", "year", "month"] + C.METEO_COLUMNS + [C.TARGET_A, C.TARGET_MIN, C.TARGET_B]
+
+
+@query("csv_scan", f"""WITH {O.panel_cte()}
+SELECT station_id, year, month, {', '.join(_R(c, c) for c in _PANEL_COLS[3:])} FROM panel""")
+def csv_scan(spark, sf_dir):
+    """A1: the panel written as header CSV and scanned back with the declared schema."""
+    from fluvio.session import scratch_path
+    from fluvio.sources.files import write_csv
+    path = scratch_path(spark, "station_month_csv")
+    write_csv(_panel(spark, sf_dir).select(*_PANEL_COLS), path)
+    return rounded(P.read_station_month_csv(spark, path))
+
+
+def _b18(x: str) -> str:
+    return f"CAST(round_even(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 18)), 2) AS DOUBLE)"
+
+
+@query("scored_series", f"""WITH {O.band_cte(SPLITS)}
+SELECT station_id, year, month, {_b18('obs')} AS observed, {_b18('pred')} AS predicted,
+       {_b18('lower_bound')} AS lower_bound, {_b18('upper_bound')} AS upper_bound,
+       {_b18('flow_next_month_min')} AS obs_min, {_b18('flow_next_month_max')} AS obs_max,
+       {_b18('sigma')} AS uncertainty
+FROM band WHERE {_TEST}""")
+def scored_series(spark, sf_dir):
+    """A5 sink + scan (partitioned by station), then the B18 response projection."""
+    from fluvio.session import scratch_path
+    from fluvio.sources import files
+    path = scratch_path(spark, "scored_series")
+    files.write_scored_series(files.scored_series(_band(spark, sf_dir).where(F.col("split") == "test")), path)
+    return files.response_projection(files.read_scored_series(spark, path))
+
+
+@query("export_tables", f"""WITH {O.band_cte(SPLITS)}
+SELECT 'train_metrics' AS table_name, count(DISTINCT station_id) AS n_rows FROM band WHERE split = 'train'
+UNION ALL SELECT 'test_metrics', count(DISTINCT station_id) FROM band WHERE {_TEST}
+UNION ALL SELECT 'monthly_coverage', count(*) FROM band WHERE {_TEST}""")
+def export_tables(spark, sf_dir):
+    """Train metrics, test metrics and the monthly coverage table under one run directory."""
+    from fluvio.session import scratch_path
+    from fluvio.sources.files import export_run_tables
+    band = _band(spark, sf_dir)
+    rep = ev.station_report(band)
+    train_cols = [c for c in rep.columns if c.startswith("train_")] + ["n_train"]
+    test_cols = ["n_test", "rmse", "mae", "r2", "nse", "kge", "pbias", "pearson", "nse_peaks",
+                 "coverage", "rel_width", "width_ratio", "risk"]
+    t = band.where(F.col("split") == "test")
+    cov = t.select("station_id", "year", "month", "obs", "pred", "lower_bound", "upper_bound",
+                   U.covered("obs", "lower_bound", "upper_bound").alias("covered"))
+    run_dir = scratch_path(spark, "run")
+    paths = export_run_tables({
+        "train_metrics": rep.where(F.col("n_train") > 0).select("station_id", *train_cols),
+        "test_metrics": rep.where(F.col("n_test") > 0).select("station_id", *test_cols),
+        "monthly_coverage": cov,
+    }, run_dir)
+    parts = [spark.read.parquet(p).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(n).alias("table_name"), "n_rows")
+             for n, p in paths.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+# --- sampling (F4) ------------------------------------------------------------------------------
+
+@query("sample_record")
+def sample_record(spark, sf_dir):
+    """one test-split request picked by a seeded hash rank (rows-only check)."""
+    from fluvio.operators.selection import sample_rows
+    from fluvio.sources.requests import requests_from_frame
+    req = requests_from_frame(_frame(spark, sf_dir))
+    return sample_rows(req, 1, seed=42, key_cols=["request_id"])
