@@ -109,3 +109,11 @@ def holdout_bucket(key_cols=("station_id", "year", "month")) -> Column:
 def hash_holdout(df: DataFrame, train_pct: int = 80) -> DataFrame:
     b = holdout_bucket()
     return df.withColumn("holdout", F.when(b < train_pct, F.lit("train")).otherwise(F.lit("test")))
+
+
+def legacy_frame(panel: DataFrame) -> DataFrame:
+    """Input of the legacy trainer (I8): meteo, raw year / month and E6 lags of the this-month flow."""
+    w = station_window()
+    out = panel.select("station_id", "year", "month", "flow", *C.METEO_COLUMNS,
+                       *[F.lag("flow", k).over(w).alias(f"y_lag{k}") for k in (1, 2, 3)])
+    return out.dropna(subset=["flow", "y_lag1", "y_lag2", "y_lag3"] + C.METEO_COLUMNS)
