@@ -786,3 +786,42 @@ def model_status(spark, sf_dir):
     from fluvio.plans import registry
     t = _trained(spark, sf_dir)
     return rounded(registry.model_status(registry.read_runs(spark, t["runs"])).drop("trained_on", "model_path", "run_id"))
+
+
+# --- streaming (section 2.10) ----------------------------------------------------------------
+
+@query("stream_obs_filter", _obs_select("lower(gtype) = 'point' AND lower(event_type) = 'view'"))
+def stream_obs_filter(spark, sf_dir):
+    """B1 + B2 on a file stream of events (availableNow), sink read back."""
+    from fluvio.session import scratch_path
+    from fluvio.streaming.streams import filtered_observations, run_available_now
+    s = filtered_observations(spark, sf_dir, geometry_type="Point", data_type="VIEW")
+    from fluvio.operators.catalog import point_lat, point_lon
+    flat = s.select("id", "type", "value", "unit", "timestamp", "geometry_type", "location_name",
+                    point_lon().alias("lon"), point_lat().alias("lat"))
+    out = scratch_path(spark, "stream_obs")
+    run_available_now(flat, out + "/data", out + "/_checkpoint")
+    return rounded(spark.read.parquet(out + "/data"))
+
+
+@query("stream_score")
+def stream_score(spark, sf_dir):
+    """A4 as a JSON request stream -> B14 -> I6 in foreachBatch (accepted + quarantined sinks)."""
+    from fluvio.plans import learn, registry
+    from fluvio.session import scratch_path
+    from fluvio.sources.requests import requests_from_frame
+    from fluvio.streaming.streams import request_stream, score_request_stream
+    t = _trained(spark, sf_dir)
+    ens = learn.TrainedEnsemble.load(t["model"])
+    runs = registry.latest_runs(registry.read_runs(spark, t["runs"]))
+    base = scratch_path(spark, "stream_score")
+    requests_from_frame(_frame(spark, sf_dir)).write.mode("overwrite").json(base + "/requests")
+    score_request_stream(request_stream(spark, base + "/requests"), ens, runs,
+                         base + "/accepted", base + "/quarantined", base + "/_checkpoint")
+    acc = spark.read.parquet(base + "/accepted").drop("batch")
+    q = spark.read.parquet(base + "/quarantined").select(
+        "request_id", "station_id", "year", "month", F.lit(None).cast("double").alias("predicted_flow"),
+        F.array_join("violations", "; ").alias("violations"))
+    a = acc.select("request_id", "station_id", "year", "month", "predicted_flow",
+                   F.lit(None).cast("string").alias("violations"))
+    return a.unionByName(q)
