@@ -97,11 +97,15 @@ class TreeParams:
 
 @dataclass(frozen=True)
 class NetParams:
-    """Scaled learner (I3). Phase 1 is ridge regression in the net slot."""
+    """Scaled learner (I3): a distributed MLP ('mlp') or ridge regression ('ridge')."""
 
+    kind: str = "mlp"
     hidden: tuple[int, ...] = (64, 32)
     reg_param: float = 2e-3
     max_iter: int = 3000
+    max_rounds: int = 200
+    local_epochs: int = 5
+    learning_rate: float = 1e-3
 
 
 @dataclass(frozen=True)

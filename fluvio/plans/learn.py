@@ -4,32 +4,34 @@
 * Tree learner: ``GBTRegressor`` on raw features (I2). Spark samples
   feature subsets per node, the original per tree, so trees are not
   bit-equal; seeds are fixed (42 for A, 43 for B).
-* Scaled learner: Spark ML has no MLP regressor. The net slot holds a
-  ridge ``LinearRegression`` on standardised features (I3 phase 1).
+* Scaled learner: Spark ML has no MLP regressor. The net slot holds the
+  distributed MLP of ``plans.mlp`` (64-32, L2 2e-3, early stopping), or a
+  ridge ``LinearRegression`` on standardised features (``kind='ridge'``).
 * Scaler fitted on train UNION val (G1); learners on train (I1).
 * The learners are pooled over all stations: one distributed fit per
   learner, whatever the number of stations.
 
-The fitted stages form one ``PipelineModel`` (assembler, scaler, four
-learners) that is saved and loaded as a directory (A7) and broadcast to
-executors by Spark when it scores.
+The fitted Spark ML stages form one ``PipelineModel`` (assembler, scaler,
+trees); with the MLP weights it is saved and loaded as one directory (A7).
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluvio import config as C
 from fluvio.config import LegacyParams, TrainConfig, TreeParams
 from fluvio.functions import uncertainty as U
 from fluvio.operators import features as feat
+from fluvio.plans.mlp import MLPModel, MLPParams, fit_mlp
 from fluvio.session import shared_dir
 
 PRED_COLS = ("net_A", "tree_A", "net_B", "tree_B")
@@ -37,21 +39,38 @@ PRED_COLS = ("net_A", "tree_A", "net_B", "tree_B")
 
 @dataclass
 class TrainedEnsemble:
+    """Fitted stages: a PipelineModel (assembler, scaler, trees, ridge nets if any)
+    plus the distributed MLP nets, which score through a pandas_udf."""
+
     model: PipelineModel
     features: list[str]
+    nets: dict = field(default_factory=dict)
 
     def transform(self, df: DataFrame, weights=C.LEARNER_WEIGHTS) -> DataFrame:
         """The four learner outputs and the per-target learner averages (H7)."""
-        out = self.model.transform(df).drop("features", "features_scaled")
+        out = self.model.transform(df)
+        if self.nets:
+            arr = vector_to_array(F.col("features_scaled"))
+            out = out.select("*", *[net.predict_col(arr).alias(name) for name, net in self.nets.items()])
+        out = out.drop("features", "features_scaled")
         return (out.withColumn("pred_A", U.learner_average("net_A", "tree_A", weights))
                 .withColumn("pred_B", U.learner_average("net_B", "tree_B", weights)))
 
     def save(self, path: str) -> None:
-        self.model.write().overwrite().save(path)
+        base = path.rstrip("/")
+        self.model.write().overwrite().save(f"{base}/pipeline")
+        spark = SparkSession.getActiveSession()
+        for name, net in self.nets.items():
+            net.save(spark, f"{base}/{name}")
 
     @classmethod
-    def load(cls, path: str, features=C.FEATURE_COLUMNS) -> "TrainedEnsemble":
-        return cls(PipelineModel.load(path), list(features))
+    def load(cls, path: str, features=C.FEATURE_COLUMNS, nets=("net_A", "net_B")) -> "TrainedEnsemble":
+        base = path.rstrip("/")
+        model = PipelineModel.load(f"{base}/pipeline")
+        have = {getattr(st, "getPredictionCol", lambda: None)() for st in model.stages}
+        spark = SparkSession.getActiveSession()
+        loaded = {n: MLPModel.load(spark, f"{base}/{n}") for n in nets if n not in have}
+        return cls(model, list(features), loaded)
 
 
 def _gbt(label: str, pred: str, p: TreeParams, seed: int, features_col="features", **extra) -> GBTRegressor:
@@ -83,13 +102,22 @@ def fit_ensemble(frame: DataFrame, cfg: TrainConfig = TrainConfig(), features=C.
         train = scaler.transform(assembler.transform(data.where(F.col("split") == "train")))
         train.persist(StorageLevel.MEMORY_AND_DISK)
         stages = [assembler, scaler]
+        nets = {}
         for tgt, suffix, seed in ((C.TARGET_A, "A", cfg.tree.seed_a), (C.TARGET_B, "B", cfg.tree.seed_b)):
-            stages.append(_ridge(tgt, f"net_{suffix}", cfg.net.reg_param, cfg.net.max_iter).fit(train))
+            if cfg.net.kind == "mlp":
+                mp = MLPParams(hidden=tuple(cfg.net.hidden), alpha=cfg.net.reg_param, max_rounds=cfg.net.max_rounds,
+                               local_epochs=cfg.net.local_epochs, learning_rate=cfg.net.learning_rate, seed=seed)
+                rows = train.select(vector_to_array(F.col("features_scaled")).alias("x"), tgt,
+                                    "station_id", "year", "month")
+                key = F.xxhash64("station_id", "year", "month")
+                nets[f"net_{suffix}"] = fit_mlp(rows, "x", tgt, mp, holdout_key=key)
+            else:
+                stages.append(_ridge(tgt, f"net_{suffix}", cfg.net.reg_param, cfg.net.max_iter).fit(train))
             stages.append(_gbt(tgt, f"tree_{suffix}", cfg.tree, seed).fit(train))
         train.unpersist()
     finally:
         data.unpersist()
-    return TrainedEnsemble(PipelineModel(stages), features)
+    return TrainedEnsemble(PipelineModel(stages), features, nets)
 
 
 def fit_legacy(frame: DataFrame, p: LegacyParams = LegacyParams()) -> tuple[PipelineModel, DataFrame]:

@@ -720,7 +720,7 @@ def sample_record(spark, sf_dir):
 # library default is the original's 900 rounds (config.TreeParams).
 
 QUERY_TREE = C.TreeParams(max_iter=20)
-QUERY_CFG = C.TrainConfig(splits=SPLITS, tree=QUERY_TREE, net=C.NetParams(max_iter=100))
+QUERY_CFG = C.TrainConfig(splits=SPLITS, tree=QUERY_TREE, net=C.NetParams(max_rounds=20, local_epochs=5))
 _TRAINED: dict[tuple, dict] = {}
 
 
