@@ -112,8 +112,10 @@ class NetParams:
 class LegacyParams:
     """Legacy trainer (I8)."""
 
+    net_kind: str = "mlp"
     hidden: tuple[int, ...] = (100, 50, 25)
     reg_param: float = 1e-3
+    net_rounds: int = 200
     tree_rounds: int = 200
     tree_depth: int = 6
     tree_step: float = 0.1

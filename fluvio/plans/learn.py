@@ -120,7 +120,15 @@ def fit_ensemble(frame: DataFrame, cfg: TrainConfig = TrainConfig(), features=C.
     return TrainedEnsemble(PipelineModel(stages), features, nets)
 
 
-def fit_legacy(frame: DataFrame, p: LegacyParams = LegacyParams()) -> tuple[PipelineModel, DataFrame]:
+@dataclass
+class LegacyModel:
+    """Legacy trainer output: Spark ML stages (assembler, scaler, tree, ridge net if any) + MLP net."""
+
+    pipeline: PipelineModel
+    net: MLPModel | None = None
+
+
+def fit_legacy(frame: DataFrame, p: LegacyParams = LegacyParams()) -> tuple[LegacyModel, DataFrame]:
     """I8: the legacy trainer.
 
     Features: raw year, month, meteo and lags of the this-month flow (E6);
@@ -139,18 +147,29 @@ def fit_legacy(frame: DataFrame, p: LegacyParams = LegacyParams()) -> tuple[Pipe
         train = assembler.transform(data.where(F.col("holdout") == "train"))
         scaler = StandardScaler(inputCol="features", outputCol="features_scaled", withMean=True, withStd=True).fit(train)
         train_s = scaler.transform(train)
-        net = LinearRegression(featuresCol="features_scaled", labelCol="flow", predictionCol="net",
-                               regParam=p.reg_param, elasticNetParam=0.0, standardization=False).fit(train_s)
+        if p.net_kind == "mlp":
+            rows = train_s.select(vector_to_array(F.col("features_scaled")).alias("x"), "flow",
+                                  "station_id", "year", "month")
+            mp = MLPParams(hidden=tuple(p.hidden), alpha=p.reg_param, max_rounds=p.net_rounds, seed=42)
+            net_model = fit_mlp(rows, "x", "flow", mp, holdout_key=F.xxhash64("station_id", "year", "month"))
+            net_stages = []
+        else:
+            net_model = None
+            net_stages = [LinearRegression(featuresCol="features_scaled", labelCol="flow", predictionCol="net",
+                                           regParam=p.reg_param, elasticNetParam=0.0,
+                                           standardization=False).fit(train_s)]
         tree_params = TreeParams(max_iter=p.tree_rounds, step_size=p.tree_step, max_depth=p.tree_depth,
                                  subsampling_rate=p.subsampling_rate, feature_subset="0.8")
         tree = _gbt("flow", "tree", tree_params, 42, validationIndicatorCol="_is_val",
                     validationTol=0.0).fit(scaler.transform(assembler.transform(data)))
-        model = PipelineModel([assembler, scaler, net, tree])
-        scored = model.transform(data.where(F.col("holdout") == "test")).withColumn(
-            "ensemble", U.learner_average("net", "tree", p.weights))
+        model = PipelineModel([assembler, scaler, *net_stages, tree])
+        scored = model.transform(data.where(F.col("holdout") == "test"))
+        if net_model is not None:
+            scored = scored.withColumn("net", net_model.predict_col(vector_to_array(F.col("features_scaled"))))
+        scored = scored.withColumn("ensemble", U.learner_average("net", "tree", p.weights))
     finally:
         data.unpersist()
-    return model, scored.drop("features", "features_scaled")
+    return LegacyModel(model, net_model), scored.drop("features", "features_scaled")
 
 
 def legacy_metrics(scored: DataFrame) -> DataFrame:

@@ -762,7 +762,7 @@ def train_legacy(spark, sf_dir):
     """I8: legacy trainer on a stable 80/20 holdout; RMSE and R^2 per learner and ensemble."""
     from fluvio.plans import learn
     lf = feat.legacy_frame(_panel(spark, sf_dir))
-    params = C.LegacyParams(tree_rounds=QUERY_TREE.max_iter)
+    params = C.LegacyParams(tree_rounds=QUERY_TREE.max_iter, net_rounds=QUERY_CFG.net.max_rounds)
     _, scored = learn.fit_legacy(lf, params)
     return rounded(learn.legacy_metrics(scored))
 
