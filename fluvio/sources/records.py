@@ -150,3 +150,9 @@ def result_kind(result: Column) -> Column:
         .when(t.startswith("OBJECT"), F.lit("object"))
         .otherwise(F.lower(t))
     )
+
+
+def write_records(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Store normalised records; clustered by the geometry-type key so a
+    pushed ``geometry_type = 'point'`` filter skips whole row groups."""
+    df.sortWithinPartitions("geometry_type").write.mode(mode).parquet(path)

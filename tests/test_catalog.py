@@ -106,3 +106,15 @@ def test_forecast_quality_rules(spark):
     fc = records.read_forecasts_json(spark, _write(FORECASTS + [bad]))
     rep = {r.rule: r.n_violations for r in catalog.quality_report(fc, "forecast").collect()}
     assert rep["confidence_range"] == 1 and rep["missing_forecast_time"] == 0
+
+
+def test_geometry_filter_is_pushed_to_parquet(spark, tmp_path):
+    obs = records.read_observations_json(spark, _write(OBS))
+    p = str(tmp_path / "obs")
+    records.write_records(obs, p)
+    stored = spark.read.parquet(p)
+    q = catalog.filter_observations(stored, geometry_type="POINT").select("id", "location_name")
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(geometry_type,point)" in plan
+    assert "ReadSchema: struct<id:bigint,geometry_type:string,location_name:string>" in plan
+    assert sorted(r.id for r in q.collect()) == [1, 2, 4]
