@@ -20,7 +20,7 @@ band width to observed min-max width. Here ``s`` runs over the grid
   piecewise linear in k with kinks at r = 1.10 and w = 1.05, so its maximum
   over the grid is at a run end or next to a kink. Those candidates (two per
   bin plus six per station) are all that is evaluated: no station x grid
-  cross join. Ties go to the smallest s.
+  cross join and no join at all. Ties go to the smallest s.
 
 Integer thousandths keep bin edges exact: a binary fraction at a bin edge
 cannot flip inclusion.
@@ -72,48 +72,55 @@ def scale_search(rows: DataFrame, obs="obs", pred="pred", sigma="sigma_base", ob
     """One row per key group: s_opt, fitness, coverage, rel_width, width_ratio at s_opt.
 
     ``rows`` are the calibration rows (e.g. the test split) with the base
-    sigma before scaling.
+    sigma before scaling. Single pass, no join: the per-group coefficients
+    are unbounded windows, the histogram is an aggregate on the same
+    clustering, and candidates are exploded from histogram rows (a fixed
+    candidate repeated on several bins only duplicates an identical row).
     """
     keys = list(keys)
-    base = rows.select(*keys, _c(obs).alias("_o"), _c(pred).alias("_p"), _c(sigma).alias("_sb"),
-                       _c(obs_width).alias("_w"))
-    base = base.withColumn("_k", F.least(F.greatest(cover_index("_o", "_p", "_sb"), F.lit(K_MIN)), F.lit(K_MAX + 1)))
-
-    # (1) per-group linear coefficients, (2) histogram of k_i.
-    stats = base.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.try_divide(F.avg(F.col("_sb") * 2), F.stddev_pop("_o") + F.lit(C.REL_WIDTH_EPS)).alias("_A"),
-        F.avg(F.try_divide(F.col("_sb") * 2, F.col("_w"))).alias("_B"),
+    ws = Window.partitionBy(*keys)
+    sb2 = _c(sigma) * 2
+    base = rows.select(
+        *keys,
+        F.least(F.greatest(cover_index(obs, pred, sigma), F.lit(K_MIN)), F.lit(K_MAX + 1)).alias("_k"),
+        F.count(F.lit(1)).over(ws).alias("_n"),
+        F.try_divide(F.avg(sb2).over(ws), F.stddev_pop(_c(obs)).over(ws) + F.lit(C.REL_WIDTH_EPS)).alias("_A"),
+        F.avg(F.try_divide(sb2, _c(obs_width))).over(ws).alias("_B"),
     )
-    hist = base.groupBy(*keys, "_k").agg(F.count(F.lit(1)).alias("_cnt"))
+    # (1) histogram of first-covered grid indices (<= 2502 bins per group).
+    hist = base.groupBy(*keys, "_k", "_n", "_A", "_B").agg(F.count(F.lit(1)).alias("_cnt"))
 
-    # (3) candidate grid points: run ends around every bin, grid ends, kinks.
+    # (2) one event per bin plus candidates: run ends around the bin, grid ends, kinks.
     def clamp(x: Column) -> Column:
         return F.least(F.greatest(x, F.lit(K_MIN)), F.lit(K_MAX)).cast("long")
 
     kink_r = F.try_divide(F.lit(C.TARGET_REL_WIDTH * PER_UNIT), F.col("_A"))
     kink_w = F.try_divide(F.lit(C.WIDTH_RATIO_CAP * PER_UNIT), F.col("_B"))
-    fixed = stats.select(*keys, F.explode(F.array(
-        F.lit(K_MIN).cast("long"), F.lit(K_MAX).cast("long"),
-        clamp(F.floor(kink_r)), clamp(F.ceil(kink_r)), clamp(F.floor(kink_w)), clamp(F.ceil(kink_w)),
-    )).alias("_cand"))
-    around = hist.select(*keys, F.explode(F.array(clamp(F.col("_k")), clamp(F.col("_k") - 1))).alias("_cand"))
-    cands = fixed.unionByName(around).where(F.col("_cand").isNotNull()).distinct()
-
-    # (4) coverage at each candidate = running histogram count; events and
-    # candidates are merged in one sort per group (bins first at equal k).
-    ev = hist.select(*keys, F.col("_k").alias("_pos"), F.lit(0).alias("_kind"), F.col("_cnt"))
-    cd = cands.select(*keys, F.col("_cand").alias("_pos"), F.lit(1).alias("_kind"), F.lit(0).cast("long").alias("_cnt"))
-    w = Window.partitionBy(*keys).orderBy("_pos", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    run = ev.unionByName(cd).withColumn("_covered", F.sum("_cnt").over(w)).where(F.col("_kind") == 1)
-
-    # (5) fitness on candidates, (6) best = max fitness, then smallest s.
-    scored = run.join(stats, keys).withColumn("_p", F.col("_covered") / F.col("_n"))
-    scored = scored.withColumn("_fit", fitness(F.col("_pos"), F.col("_p"), F.col("_A"), F.col("_B")))
+
+    def item(pos: Column, kind: int, cnt: Column) -> Column:
+        return F.struct(pos.cast("long").alias("pos"), F.lit(kind).alias("kind"), cnt.cast("long").alias("cnt"))
+
+    zero = F.lit(0)
+    items = F.array(
+        item(F.col("_k"), 0, F.col("_cnt")),
+        item(clamp(F.col("_k")), 1, zero), item(clamp(F.col("_k") - 1), 1, zero),
+        item(F.lit(K_MIN), 1, zero), item(F.lit(K_MAX), 1, zero),
+        item(clamp(F.floor(kink_r)), 1, zero), item(clamp(F.ceil(kink_r)), 1, zero),
+        item(clamp(F.floor(kink_w)), 1, zero), item(clamp(F.ceil(kink_w)), 1, zero),
+    )
+    ev = hist.select(*keys, "_n", "_A", "_B", F.inline(items)).where(F.col("pos").isNotNull())
+
+    # (3) coverage at each candidate = running count of bins at or below it
+    # (bins sort before candidates at equal position).
+    w = Window.partitionBy(*keys).orderBy("pos", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    run = ev.withColumn("_covered", F.sum("cnt").over(w)).where(F.col("kind") == 1)
+
+    # (4) fitness on candidates, (5) best = max fitness, then smallest s.
+    scored = run.withColumn("_p", F.col("_covered") / F.col("_n"))
+    scored = scored.withColumn("_fit", fitness(F.col("pos"), F.col("_p"), F.col("_A"), F.col("_B")))
     best = scored.groupBy(*keys).agg(
-        F.max_by(F.struct("_pos", "_fit", "_p", "_A", "_B"),
-                 F.struct(F.col("_fit"), -F.col("_pos"))).alias("_b"))
-    s = F.col("_b._pos").cast("double") / PER_UNIT
+        F.max_by(F.struct("pos", "_fit", "_p", "_A", "_B"), F.struct(F.col("_fit"), -F.col("pos"))).alias("_b"))
+    s = F.col("_b.pos").cast("double") / PER_UNIT
     return best.select(
         *keys,
         s.alias("s_opt"),
