@@ -29,11 +29,11 @@ def calendar_gaps(panel: DataFrame) -> DataFrame:
     reports the months up to the calendar end.
     """
     rng = panel.select(F.struct(F.min(month_index()).alias("lo"), F.max(month_index()).alias("hi"))).scalar()
-    lo, hi = rng.getField("lo"), rng.getField("hi")
     w = Window.partitionBy("station_id").orderBy("_idx")
     idx = panel.select("station_id", month_index().alias("_idx"))
     x = idx.select("station_id", "_idx", F.lag("_idx", 1).over(w).alias("_prev"),
-                   F.lead("_idx", 1).over(w).alias("_next"))
+                   F.lead("_idx", 1).over(w).alias("_next"), rng.alias("_rng"))
+    lo, hi = F.col("_rng.lo"), F.col("_rng.hi")
     start = F.coalesce(F.col("_prev") + 1, lo)
     empty = F.array().cast("array<bigint>")
     before = F.when(F.col("_idx") > start, F.sequence(start, F.col("_idx") - 1)).otherwise(empty)
