@@ -76,7 +76,8 @@ class TrainedEnsemble:
 def _gbt(label: str, pred: str, p: TreeParams, seed: int, features_col="features", **extra) -> GBTRegressor:
     return GBTRegressor(featuresCol=features_col, labelCol=label, predictionCol=pred, maxIter=p.max_iter,
                         stepSize=p.step_size, maxDepth=p.max_depth, subsamplingRate=p.subsampling_rate,
-                        featureSubsetStrategy=p.feature_subset, seed=seed, checkpointInterval=10, **extra)
+                        featureSubsetStrategy=p.feature_subset, seed=seed, checkpointInterval=10,
+                        cacheNodeIds=True, **extra)
 
 
 def _ridge(label: str, pred: str, reg: float, max_iter: int) -> LinearRegression:
@@ -86,9 +87,19 @@ def _ridge(label: str, pred: str, reg: float, max_iter: int) -> LinearRegression
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage (panel -> features) before iterative fits: a reliable
-    checkpoint in the shared folder, so a lost executor does not replay the scan."""
+    checkpoint in the shared folder, so a lost executor does not replay the scan.
+
+    Iterative learners run one task per partition per pass; when the frame
+    has fewer partitions than the cluster has cores (a small panel after AQE
+    coalescing) it is rebalanced to the default parallelism. A large frame
+    keeps its partitioning.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if out.rdd.getNumPartitions() < cores:
+        out = out.repartition(cores)
+    return out
 
 
 def fit_ensemble(frame: DataFrame, cfg: TrainConfig = TrainConfig(), features=C.FEATURE_COLUMNS) -> TrainedEnsemble:

@@ -22,6 +22,7 @@ ReLU hidden layers, identity output, Glorot-uniform initialisation.
 from __future__ import annotations
 
 import json
+import sys
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,6 +34,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+try:  # ship this module's code inside task closures: executors need not import fluvio
+    from pyspark import cloudpickle as _cp
+    _cp.register_pickle_by_value(sys.modules[__name__])
+except Exception:  # pragma: no cover - older cloudpickle
+    pass
+
 
 @dataclass
 class MLPParams:
