@@ -728,20 +728,14 @@ def _trained(spark, sf_dir) -> dict:
     """Train once per (session, sf_dir): model directory, run table, report (load-once cache)."""
     import os
 
-    from fluvio.plans import learn, registry, score
+    from fluvio.plans.training_run import train_evaluate_register
     from fluvio.session import is_local_path, local_os_path, scratch_path
     key = (id(spark.sparkContext), sf_dir)
     hit = _TRAINED.get(key)
     if hit and (not is_local_path(hit["runs"]) or os.path.exists(local_os_path(hit["runs"]))):
         return hit
-    frame = _frame(spark, sf_dir)
-    ens = learn.fit_ensemble(frame, QUERY_CFG)
-    model_path = scratch_path(spark, "ensemble")
-    ens.save(model_path)
-    band = score.scored_band(frame, ens)
-    report = score.run_report(band)
-    runs_path = scratch_path(spark, "model_runs")
-    registry.append_runs(registry.run_rows(report, model_path), runs_path)
+    model_path, runs_path = scratch_path(spark, "ensemble"), scratch_path(spark, "model_runs")
+    train_evaluate_register(_frame(spark, sf_dir), QUERY_CFG, model_path, runs_path)
     hit = {"model": model_path, "runs": runs_path}
     _TRAINED[key] = hit
     return hit

@@ -58,3 +58,18 @@ def test_coverage_monotone_in_scale(spark):
     df = spark.createDataFrame(rows, "station_id long, obs double, pred double, sigma_base double, obs_width double")
     r = scale_search(df).collect()[0]
     assert 0.5 <= r["s_opt"] <= 3.0
+
+
+def test_coverage_is_monotone_in_the_scale(spark):
+    from pyspark.sql import functions as F
+
+    from fluvio.operators.metrics import interval_exprs
+    rnd = random.Random(5)
+    rows = [(rnd.uniform(0, 100), rnd.uniform(0, 100), rnd.uniform(1, 20)) for _ in range(200)]
+    df = spark.createDataFrame(rows, "o double, p double, sb double")
+    prev = -1.0
+    for s in (0.5, 0.8, 1.0, 1.3, 2.0, 3.0):
+        lo, up = F.col("p") - F.col("sb") * s, F.col("p") + F.col("sb") * s
+        cov = df.agg(*interval_exprs("o", lo, up, F.lit(1.0))).collect()[0]["coverage"]
+        assert cov >= prev
+        prev = cov

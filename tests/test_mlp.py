@@ -23,3 +23,15 @@ def test_mlp_learns_and_round_trips(spark, tmp_path):
     assert np.allclose(m2.predict_np(x), pred)
     got = df.select(m.predict_col(F.col("x")).alias("p"), "id").orderBy("id").limit(5).collect()
     assert np.allclose([r.p for r in got], pred[:5])
+
+
+def test_mlp_is_deterministic_for_a_fixed_seed(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(200, 2))
+    y = x[:, 0] * 2.0 + 1.0
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]], float(y[i])) for i in range(200)],
+                               "id long, x array<double>, y double").repartition(2, "id")
+    p = MLPParams(hidden=(8,), max_rounds=5, local_epochs=2, batch_size=32, seed=7)
+    a = fit_mlp(df, "x", "y", p, holdout_key=F.col("id")).predict_np(x)
+    b = fit_mlp(df, "x", "y", p, holdout_key=F.col("id")).predict_np(x)
+    assert np.allclose(a, b)
