@@ -13,7 +13,6 @@ from fluvio import config as C
 from fluvio.functions import season
 from fluvio.functions import uncertainty as U
 from fluvio.operators import calibrate
-from fluvio.operators import metrics as M
 from fluvio.plans import evaluate as ev
 from fluvio.plans.learn import TrainedEnsemble
 
@@ -92,5 +91,3 @@ def metric_struct(rep: DataFrame, prefix: str = "") -> Column:
     names = ["rmse", "mae", "r2", "nse", "kge", "pbias", "pearson", "nse_peaks"]
     return F.struct(*[F.col(f"{prefix}{n}").alias(n) for n in names])
 
-
-__all__ = ["scored_band", "run_report", "score_requests", "metric_struct", "M"]
