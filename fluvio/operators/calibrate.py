@@ -14,8 +14,8 @@ band width to observed min-max width. Here ``s`` runs over the grid
 * Row i is covered at grid point k (s = k/1000) iff k >= k_i with
   k_i = ceil(1000 * err_i / sigma_i) -> p(k) is the running count of a
   histogram of k_i, clamped to [500, 3001]. The histogram has at most 2502
-  bins per station whatever the number of rows (pre-aggregated before the
-  window, so a hot station costs no more than any other).
+  bins per station whatever the number of rows, and is pre-aggregated before
+  any shuffle, so a hot station costs no more than any other.
 * Between two histogram bins p is constant and fitness is concave and
   piecewise linear in k with kinks at r = 1.10 and w = 1.05, so its maximum
   over the grid is at a run end or next to a kink. Those candidates (two per
@@ -72,23 +72,41 @@ def scale_search(rows: DataFrame, obs="obs", pred="pred", sigma="sigma_base", ob
     """One row per key group: s_opt, fitness, coverage, rel_width, width_ratio at s_opt.
 
     ``rows`` are the calibration rows (e.g. the test split) with the base
-    sigma before scaling. Single pass, no join: the per-group coefficients
-    are unbounded windows, the histogram is an aggregate on the same
-    clustering, and candidates are exploded from histogram rows (a fixed
-    candidate repeated on several bins only duplicates an identical row).
+    sigma before scaling. No join: the histogram is a grouped aggregate
+    (partial aggregation before any shuffle), the group coefficients are
+    windows over its bins, and candidates are exploded from histogram rows
+    (a fixed candidate repeated on several bins only duplicates an identical
+    row). The population sd comes from the bin moments (sum, sum of squares).
     """
     keys = list(keys)
-    ws = Window.partitionBy(*keys)
     sb2 = _c(sigma) * 2
+    o = _c(obs)
+    # (1) histogram of first-covered grid indices with the moments the
+    # coefficients need. A grouped aggregate: partial aggregation runs before
+    # any shuffle, so a group holding a third of all rows sends one partial
+    # row per bin and task; afterwards a group has <= 2502 bins.
     base = rows.select(
         *keys,
         F.least(F.greatest(cover_index(obs, pred, sigma), F.lit(K_MIN)), F.lit(K_MAX + 1)).alias("_k"),
-        F.count(F.lit(1)).over(ws).alias("_n"),
-        F.try_divide(F.avg(sb2).over(ws), F.stddev_pop(_c(obs)).over(ws) + F.lit(C.REL_WIDTH_EPS)).alias("_A"),
-        F.avg(F.try_divide(sb2, _c(obs_width))).over(ws).alias("_B"),
+        sb2.alias("_sb2"), F.try_divide(sb2, _c(obs_width)).alias("_r"), o.alias("_o"),
+    )
+    hist0 = base.groupBy(*keys, "_k").agg(
+        F.count(F.lit(1)).alias("_cnt"),
+        F.sum("_sb2").alias("_s_sb2"), F.count("_sb2").alias("_c_sb2"),
+        F.sum("_r").alias("_s_r"), F.count("_r").alias("_c_r"),
+        F.sum("_o").alias("_s_o"), F.sum(F.col("_o") * F.col("_o")).alias("_s_o2"), F.count("_o").alias("_c_o"),
+    )
+    # group coefficients over the bins: r(s) = s*A, w(s) = s*B
+    wg = Window.partitionBy(*keys)
+    tot = {c: F.sum(c).over(wg) for c in ("_cnt", "_s_sb2", "_c_sb2", "_s_r", "_c_r", "_s_o", "_s_o2", "_c_o")}
+    mean_o = F.try_divide(tot["_s_o"], tot["_c_o"])
+    var_o = F.greatest(F.lit(0.0), F.try_divide(tot["_s_o2"], tot["_c_o"]) - mean_o * mean_o)
+    hist = hist0.select(
+        *keys, "_k", "_cnt",
+        tot["_cnt"].alias("_n"),
+        F.try_divide(F.try_divide(tot["_s_sb2"], tot["_c_sb2"]), F.sqrt(var_o) + F.lit(C.REL_WIDTH_EPS)).alias("_A"),
+        F.try_divide(tot["_s_r"], tot["_c_r"]).alias("_B"),
     )
-    # (1) histogram of first-covered grid indices (<= 2502 bins per group).
-    hist = base.groupBy(*keys, "_k", "_n", "_A", "_B").agg(F.count(F.lit(1)).alias("_cnt"))
 
     # (2) one event per bin plus candidates: run ends around the bin, grid ends, kinks.
     def clamp(x: Column) -> Column:
