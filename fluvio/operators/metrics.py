@@ -24,7 +24,12 @@ def _div(a: Column, b: Column) -> Column:
 
 
 def skill_exprs(obs="o", pred="p", upper_fence=None, prefix: str = "") -> list[Column]:
-    """D1-D8 as aggregate expressions over one group.
+    """D1-D8 as a list of aliased aggregate expressions (see ``skill_expr_map``)."""
+    return [e.alias(f"{prefix}{k}") for k, e in skill_expr_map(obs, pred, upper_fence).items()]
+
+
+def skill_expr_map(obs="o", pred="p", upper_fence=None) -> dict[str, Column]:
+    """D1-D8 as aggregate expressions over one group, by metric name.
 
     * rmse, mae: sqrt(mean d^2), mean |d| with d = o - p.
     * nse: 1 - SSres/SStot, NULL when SStot = 0.
@@ -52,15 +57,15 @@ def skill_exprs(obs="o", pred="p", upper_fence=None, prefix: str = "") -> list[C
     one = F.lit(1.0)
     kge = one - F.sqrt((r - one) * (r - one) + (beta - one) * (beta - one) + (gamma - one) * (gamma - one))
     pbias = F.lit(100.0) * _div(F.sum(d), F.sum(o))
-    out = [
-        F.sqrt(F.avg(d * d)).alias(f"{prefix}rmse"),
-        F.avg(F.abs(d)).alias(f"{prefix}mae"),
-        r2.alias(f"{prefix}r2"),
-        nse.alias(f"{prefix}nse"),
-        kge.alias(f"{prefix}kge"),
-        pbias.alias(f"{prefix}pbias"),
-        r.alias(f"{prefix}pearson"),
-    ]
+    out = {
+        "rmse": F.sqrt(F.avg(d * d)),
+        "mae": F.avg(F.abs(d)),
+        "r2": r2,
+        "nse": nse,
+        "kge": kge,
+        "pbias": pbias,
+        "pearson": r,
+    }
     if upper_fence is not None:
         peak = o > _c(upper_fence)
         po = F.when(peak, o)
@@ -68,8 +73,7 @@ def skill_exprs(obs="o", pred="p", upper_fence=None, prefix: str = "") -> list[C
         pn = F.count(po)
         p_ss_tot = F.var_pop(po) * pn
         p_ss_res = F.sum(pd_ * pd_)
-        out.append(F.when((pn > 0) & (p_ss_tot != 0), F.lit(1.0) - F.try_divide(p_ss_res, p_ss_tot))
-                   .alias(f"{prefix}nse_peaks"))
+        out["nse_peaks"] = F.when((pn > 0) & (p_ss_tot != 0), F.lit(1.0) - F.try_divide(p_ss_res, p_ss_tot))
     return out
 
 

@@ -28,6 +28,9 @@ def run_rows(report: DataFrame, model_path: str, run_id: str | None = None,
         F.array(*[F.lit(c) for c in features]).alias("feature_columns"),
         metric_struct(report, "train_").alias("train_metrics"),
         metric_struct(report, "").alias("test_metrics"),
+        F.struct(*[(F.col(c) if c in report.columns else F.lit(None).cast("double")).alias(c)
+                   for c in ("net_rmse", "net_r2", "tree_rmse", "tree_r2", "ensemble_rmse", "ensemble_r2")])
+        .alias("learner_metrics"),
         "sigma_A", "sigma_B", "s_opt",
         F.col("coverage").alias("coverage"),
         F.col("n_train").cast("long").alias("train_samples"),
@@ -51,14 +54,38 @@ def latest_runs(runs: DataFrame) -> DataFrame:
     return latest_by(runs, ["station_id"], "trained_on")
 
 
+def model_files_present(spark: SparkSession, runs: DataFrame) -> DataFrame:
+    """A7 check: do the model directories of the runs exist? (one row per distinct path).
+
+    The distinct model paths are few (one per training run), so they are
+    checked on the driver through the Hadoop file system of each path.
+    """
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    rows = []
+    for r in runs.select("model_path").where(F.col("model_path").isNotNull()).distinct().collect():
+        p = jvm.org.apache.hadoop.fs.Path(r["model_path"])
+        fs = p.getFileSystem(conf)
+        pipe = jvm.org.apache.hadoop.fs.Path(r["model_path"].rstrip("/") + "/pipeline")
+        rows.append((r["model_path"], bool(fs.exists(p) and fs.exists(pipe))))
+    return spark.createDataFrame(rows, "model_path string, files_present boolean")
+
+
 def model_status(runs: DataFrame) -> DataFrame:
-    """Per station, whether a model is ready and its run summary."""
+    """Per station, whether its latest model is present and its run summary."""
     last = latest_runs(runs)
+    present = model_files_present(runs.sparkSession, last)
+    last = last.join(present, "model_path", "left")
+    ok = F.coalesce(F.col("files_present"), F.lit(False))
     return last.select(
         "station_id", "run_id", "model_version", "trained_on", "model_path",
-        F.lit("loaded").alias("status"),
-        (F.col("model_path").isNotNull()).alias("ready_for_prediction"),
+        F.when(ok, F.lit("loaded")).otherwise(F.lit("not_loaded")).alias("status"),
+        ok.alias("ready_for_prediction"),
         "train_samples", "test_samples", "s_opt", "coverage",
         F.col("test_metrics.rmse").alias("test_rmse"), F.col("test_metrics.nse").alias("test_nse"),
         F.col("train_metrics.rmse").alias("train_rmse"),
+        F.col("learner_metrics.net_rmse").alias("net_rmse"), F.col("learner_metrics.net_r2").alias("net_r2"),
+        F.col("learner_metrics.tree_rmse").alias("tree_rmse"), F.col("learner_metrics.tree_r2").alias("tree_r2"),
+        F.col("learner_metrics.ensemble_rmse").alias("ensemble_rmse"),
+        F.col("learner_metrics.ensemble_r2").alias("ensemble_r2"),
     )

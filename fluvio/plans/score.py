@@ -37,11 +37,19 @@ def scored_band(frame: DataFrame, ens: TrainedEnsemble, scale: float | None = No
             .withColumn("upper_bound", U.upper("pred", "sigma")))
 
 
-def run_report(band: DataFrame) -> DataFrame:
-    """Per-station evaluation of a scored band: D14 bundles, D11-D13, H18, plus s_opt."""
-    rep = ev.station_report(band)
-    s = band.groupBy("station_id").agg(F.max("s_opt").alias("s_opt"))
-    return rep.join(s, "station_id", "left")
+def run_report(band: DataFrame, eval_split: str = "test") -> DataFrame:
+    """Per-station evaluation of a scored band: D14 bundles, D11-D13, H18, s_opt,
+    and per-learner RMSE / R^2 on target A (net, tree, their average)."""
+    from fluvio.operators.metrics import skill_expr_map
+    rep = ev.station_report(band, eval_split)
+    te = F.col("split") == eval_split
+    y = F.when(te, F.col(C.TARGET_A))
+    extra = [F.max("s_opt").alias("s_opt")]
+    for name, col in (("net", "net_A"), ("tree", "tree_A"), ("ensemble", "pred_A")):
+        if col in band.columns:
+            m = skill_expr_map(y, F.when(te, F.col(col)))
+            extra += [m["rmse"].alias(f"{name}_rmse"), m["r2"].alias(f"{name}_r2")]
+    return rep.join(band.groupBy("station_id").agg(*extra), "station_id", "left")
 
 
 def with_request_features(requests: DataFrame) -> DataFrame:

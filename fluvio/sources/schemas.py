@@ -80,12 +80,16 @@ SCORED_SERIES = T.StructType([
 METRICS = T.StructType([T.StructField(c, _D) for c in
                         ("rmse", "mae", "r2", "nse", "kge", "pbias", "pearson", "nse_peaks")])
 
+LEARNER_METRICS = T.StructType([T.StructField(c, _D) for c in
+                                ("net_rmse", "net_r2", "tree_rmse", "tree_r2", "ensemble_rmse", "ensemble_r2")])
+
 MODEL_RUNS = T.StructType([
     T.StructField("run_id", T.StringType()),
     T.StructField("station_id", T.LongType()),
     T.StructField("feature_columns", T.ArrayType(T.StringType())),
     T.StructField("train_metrics", METRICS),
     T.StructField("test_metrics", METRICS),
+    T.StructField("learner_metrics", LEARNER_METRICS),
     T.StructField("sigma_A", _D),
     T.StructField("sigma_B", _D),
     T.StructField("s_opt", _D),

@@ -29,3 +29,19 @@ def test_legacy_trainer(spark, sf_small):
     rows = {r.learner: r for r in E.queries()["train_legacy"](spark, sf_small).collect()}
     assert set(rows) == {"net", "tree", "ensemble"}
     assert all(r.rmse is not None and r.rmse >= 0 for r in rows.values())
+
+
+def test_status_reports_missing_model_files(spark, tmp_path):
+    import datetime
+
+    from fluvio.plans import registry
+    from fluvio.sources.schemas import MODEL_RUNS
+    m = (1.0,) * 8
+    lm = (1.0,) * 6
+    rows = [("r1", 5, ["a"], m, m, lm, 1.0, 1.0, 1.2, 0.8, 10, 5, str(tmp_path / "missing"), "v",
+             datetime.datetime(2024, 1, 1)),
+            ("r0", 5, ["a"], m, m, lm, 1.0, 1.0, 1.2, 0.8, 10, 5, str(tmp_path / "older"), "v",
+             datetime.datetime(2023, 1, 1))]
+    st = registry.model_status(spark.createDataFrame(rows, MODEL_RUNS)).collect()
+    assert len(st) == 1 and st[0].run_id == "r1"
+    assert st[0].status == "not_loaded" and st[0].ready_for_prediction is False
