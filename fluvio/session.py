@@ -32,14 +32,17 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "flu
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this is set by the operator and points at shared storage.
-    Only when it is unset (local tests) a private folder under the system
-    temp dir is created and registered, so ``checkpoint()`` works too.
+    On a cluster this is set by the operator and points at shared storage;
+    if it is unset there, this raises instead of falling back to a
+    machine-local folder. Only on a local master (tests) an unset value is
+    replaced by a private folder under the system temp dir.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (checkpoints, model and run tables)")
         d = tempfile.mkdtemp(prefix="fluvio-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
