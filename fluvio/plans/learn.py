@@ -7,7 +7,8 @@
 * Scaled learner: Spark ML has no MLP regressor. The net slot holds the
   distributed MLP of ``plans.mlp`` (64-32, L2 2e-3, early stopping), or a
   ridge ``LinearRegression`` on standardised features (``kind='ridge'``).
-* Scaler fitted on train UNION val (G1); learners on train (I1).
+* Scaler fitted on train UNION val (G1) with the population sd and unit
+  scale for constant features, as the original; learners on train (I1).
 * The learners are pooled over all stations: one distributed fit per
   learner, whatever the number of stations.
 
@@ -21,7 +22,7 @@ from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, SparkSession
@@ -52,7 +53,7 @@ class TrainedEnsemble:
         if self.nets:
             arr = vector_to_array(F.col("features_scaled"))
             out = out.select("*", *[net.predict_col(arr).alias(name) for name, net in self.nets.items()])
-        out = out.drop("features", "features_scaled")
+        out = out.drop("features", "features_scaled", *[c for c in out.columns if c.startswith("_z_")])
         return (out.withColumn("pred_A", U.learner_average("net_A", "tree_A", weights))
                 .withColumn("pred_B", U.learner_average("net_B", "tree_B", weights)))
 
@@ -85,6 +86,28 @@ def _ridge(label: str, pred: str, reg: float, max_iter: int) -> LinearRegression
                             regParam=reg, elasticNetParam=0.0, maxIter=min(max_iter, 1000), standardization=False)
 
 
+def fit_population_scaler(rows: DataFrame, features, out_col: str = "features_scaled") -> list:
+    """I1 / D15 with the original's convention: population sd, unit scale when the sd is 0.
+
+    One aggregate gives 2 x len(features) numbers (a bounded single row); they
+    become literals of a ``SQLTransformer`` (z-score columns) followed by a
+    ``VectorAssembler``: ordinary Spark ML stages, saved with the pipeline.
+    """
+    aggs = []
+    for c in features:
+        aggs += [F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}")]
+    st = rows.agg(*aggs).first()
+    zs = []
+    for c in features:
+        m = st[f"m_{c}"] if st[f"m_{c}"] is not None else 0.0
+        sd = st[f"s_{c}"]
+        sd = 1.0 if sd is None or sd == 0 else sd
+        zs.append(f"(`{c}` - {m!r}) / {sd!r} AS `_z_{c}`")
+    sql = SQLTransformer(statement=f"SELECT *, {', '.join(zs)} FROM __THIS__")
+    asm = VectorAssembler(inputCols=[f"_z_{c}" for c in features], outputCol=out_col, handleInvalid="keep")
+    return [sql, asm]
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage (panel -> features) before iterative fits: a reliable
     checkpoint in the shared folder, so a lost executor does not replay the scan.
@@ -108,11 +131,11 @@ def fit_ensemble(frame: DataFrame, cfg: TrainConfig = TrainConfig(), features=C.
     data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
-        fit_rows = assembler.transform(data.where(F.col("split").isin("train", "val")))
-        scaler = StandardScaler(inputCol="features", outputCol="features_scaled", withMean=True, withStd=True).fit(fit_rows)
-        train = scaler.transform(assembler.transform(data.where(F.col("split") == "train")))
+        scaler = fit_population_scaler(data.where(F.col("split").isin("train", "val")), features)
+        prep = PipelineModel([assembler, *scaler])
+        train = prep.transform(data.where(F.col("split") == "train"))
         train.persist(StorageLevel.MEMORY_AND_DISK)
-        stages = [assembler, scaler]
+        stages = [assembler, *scaler]
         nets = {}
         for tgt, suffix, seed in ((C.TARGET_A, "A", cfg.tree.seed_a), (C.TARGET_B, "B", cfg.tree.seed_b)):
             if cfg.net.kind == "mlp":
@@ -155,9 +178,8 @@ def fit_legacy(frame: DataFrame, p: LegacyParams = LegacyParams()) -> tuple[Lega
     data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         assembler = VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="keep")
-        train = assembler.transform(data.where(F.col("holdout") == "train"))
-        scaler = StandardScaler(inputCol="features", outputCol="features_scaled", withMean=True, withStd=True).fit(train)
-        train_s = scaler.transform(train)
+        scaler = PipelineModel([assembler, *fit_population_scaler(data.where(F.col("holdout") == "train"), feats)])
+        train_s = scaler.transform(data.where(F.col("holdout") == "train"))
         if p.net_kind == "mlp":
             rows = train_s.select(vector_to_array(F.col("features_scaled")).alias("x"), "flow",
                                   "station_id", "year", "month")
@@ -172,15 +194,16 @@ def fit_legacy(frame: DataFrame, p: LegacyParams = LegacyParams()) -> tuple[Lega
         tree_params = TreeParams(max_iter=p.tree_rounds, step_size=p.tree_step, max_depth=p.tree_depth,
                                  subsampling_rate=p.subsampling_rate, feature_subset="0.8")
         tree = _gbt("flow", "tree", tree_params, 42, validationIndicatorCol="_is_val",
-                    validationTol=0.0).fit(scaler.transform(assembler.transform(data)))
-        model = PipelineModel([assembler, scaler, *net_stages, tree])
+                    validationTol=0.0).fit(scaler.transform(data))
+        model = PipelineModel([*scaler.stages, *net_stages, tree])
         scored = model.transform(data.where(F.col("holdout") == "test"))
         if net_model is not None:
             scored = scored.withColumn("net", net_model.predict_col(vector_to_array(F.col("features_scaled"))))
         scored = scored.withColumn("ensemble", U.learner_average("net", "tree", p.weights))
     finally:
         data.unpersist()
-    return LegacyModel(model, net_model), scored.drop("features", "features_scaled")
+    return LegacyModel(model, net_model), scored.drop("features", "features_scaled",
+                                                        *[c for c in scored.columns if c.startswith("_z_")])
 
 
 def legacy_metrics(scored: DataFrame) -> DataFrame:

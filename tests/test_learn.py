@@ -45,3 +45,18 @@ def test_status_reports_missing_model_files(spark, tmp_path):
     st = registry.model_status(spark.createDataFrame(rows, MODEL_RUNS)).collect()
     assert len(st) == 1 and st[0].run_id == "r1"
     assert st[0].status == "not_loaded" and st[0].ready_for_prediction is False
+
+
+def test_population_scaler_matches_original_convention(spark):
+    import numpy as np
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import VectorAssembler
+
+    from fluvio.plans.learn import fit_population_scaler
+    rows = [(1.0, 5.0), (2.0, 5.0), (4.0, 5.0), (7.0, 5.0)]
+    df = spark.createDataFrame(rows, "a double, b double")
+    pm = PipelineModel([VectorAssembler(inputCols=["a", "b"], outputCol="features"), *fit_population_scaler(df, ["a", "b"])])
+    z = np.array([r.features_scaled.toArray() for r in pm.transform(df).collect()])
+    a = np.array([r[0] for r in rows])
+    assert np.allclose(z[:, 0], (a - a.mean()) / a.std())  # population sd
+    assert np.allclose(z[:, 1], 0.0)  # constant feature: unit scale, centred
