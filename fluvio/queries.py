@@ -331,15 +331,15 @@ def coverage_last24(spark, sf_dir):
 
 # --- band-scale search (I9, I10, F3) --------------------------------------------------
 
-def _scale_search_sql() -> str:
+def _scale_search_sql(cal: str = "test") -> str:
     k = (f"least(greatest(CASE WHEN sigma_base > 0 THEN CAST(ceil(abs(obs - pred) * 1000 / sigma_base) AS BIGINT) "
          f"WHEN abs(obs - pred) = 0 THEN 0 ELSE 1000000000 END, 500), 3001)")
     s = "(CAST(g.k AS DOUBLE) / 1000)"
     fit = (f"-abs(CAST(count(r.k) AS DOUBLE) / any_value(st.n) - {C.TARGET_COVERAGE}) "
            f"- {C.REL_WIDTH_WEIGHT} * abs({s} * any_value(st.A) - {C.TARGET_REL_WIDTH}) "
            f"- {C.WIDTH_RATIO_PENALTY} * greatest(0, {s} * any_value(st.B) - {C.WIDTH_RATIO_CAP})")
-    return f"""WITH {O.band_cte(SPLITS)},
-rws AS (SELECT station_id, obs, pred, sigma_base, obs_width, {k} AS k FROM band WHERE {_TEST}),
+    return f"""WITH {O.band_cte(SPLITS, cal=cal)},
+rws AS (SELECT station_id, obs, pred, sigma_base, obs_width, {k} AS k FROM band WHERE split = '{cal}'),
 st AS (SELECT station_id, count(*) AS n, avg(sigma_base * 2) / (stddev_pop(obs) + {C.REL_WIDTH_EPS}) AS A,
               avg(sigma_base * 2 / obs_width) AS B FROM rws GROUP BY station_id),
 grid AS (SELECT unnest(generate_series(500, 3000)) AS k),
@@ -362,6 +362,15 @@ def scale_search(spark, sf_dir):
     return rounded(search(b))
 
 
+@query("scale_search_val", _scale_search_sql("val"))
+def scale_search_val(spark, sf_dir):
+    """Out-of-sample mode: MAD sigmas and the scale search on the validation years."""
+    from fluvio.operators.calibrate import scale_search as search
+    scored = ev.stand_in_predictions(_frame(spark, sf_dir))
+    b = ev.with_band(scored, C.SCALE_SERVING_DEFAULT, calibration_split="val").where(F.col("split") == "val")
+    return rounded(search(b))
+
+
 # --- requests: validation and fills (A4, B14, B15, B16) ---------------------------------
 
 def _requests_sql() -> str:
@@ -819,3 +828,14 @@ def stream_score(spark, sf_dir):
     a = acc.select("request_id", "station_id", "year", "month", "predicted_flow",
                    F.lit(None).cast("string").alias("violations"))
     return a.unionByName(q)
+
+
+# --- fixed band scale (the original's s = 1.258 mode) ------------------------------------------
+
+@query("fixed_scale_report", f"""SELECT station_id, n_test, coverage, rel_width, width_ratio, pbias, risk
+FROM ({O.station_report_sql(SPLITS, scale=C.SCALE_FIXED)}) rep""")
+def fixed_scale_report(spark, sf_dir):
+    """D11-D13 and H18 with the band scale fixed at 1.258 instead of searched."""
+    band = _band(spark, sf_dir, scale=C.SCALE_FIXED)
+    rep = ev.station_report(band)
+    return rounded(rep.select("station_id", "n_test", "coverage", "rel_width", "width_ratio", "pbias", "risk"))
