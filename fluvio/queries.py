@@ -839,3 +839,16 @@ def fixed_scale_report(spark, sf_dir):
     band = _band(spark, sf_dir, scale=C.SCALE_FIXED)
     rep = ev.station_report(band)
     return rounded(rep.select("station_id", "n_test", "coverage", "rel_width", "width_ratio", "pbias", "risk"))
+
+
+# --- stored panel partitioned by year (A1 parquet, partition pruning) -----------------------------
+
+@query("panel_year_slice", f"""WITH {O.panel_cte()}
+SELECT station_id, year, month, {', '.join(_R(c, c) for c in _PANEL_COLS[3:])} FROM panel WHERE year >= 2000""")
+def panel_year_slice(spark, sf_dir):
+    """The panel stored partitioned by year, read back for the test years (pruned scan)."""
+    from fluvio.session import scratch_path
+    path = scratch_path(spark, "station_month")
+    P.write_station_month(_panel(spark, sf_dir).select(*_PANEL_COLS), path)
+    stored = P.read_station_month_parquet(spark, path)
+    return rounded(stored.where(F.col("year") >= 2000).select(*_PANEL_COLS))

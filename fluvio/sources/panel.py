@@ -76,5 +76,15 @@ def read_station_month_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(STATION_MONTH).option("header", True).option("mode", "FAILFAST").csv(path)
 
 
+def write_station_month(panel: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Stored panel: parquet partitioned by ``year`` (a year filter prunes
+    directories), rows clustered by station inside each year (a station
+    filter skips row groups through min/max statistics)."""
+    (panel.repartition("year").sortWithinPartitions("station_id", "month")
+     .write.mode(mode).partitionBy("year").parquet(path))
+
+
 def read_station_month_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(STATION_MONTH).parquet(path)
+    """The stored panel; ``year`` comes back as the partition column."""
+    return spark.read.parquet(path).select(*[f.name for f in STATION_MONTH.fields if f.name != "year"],
+                                           F.col("year").cast("int").alias("year"))

@@ -43,3 +43,15 @@ def test_panel_scan_prunes_columns(spark, sf_small):
 def test_no_cartesian_or_nested_loop(spark, sf_small, name):
     plan = _plan(spark, name, sf_small)
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_year_filter_prunes_stored_panel(spark, sf_small, tmp_path):
+    from pyspark.sql import functions as F
+
+    from fluvio.sources import panel as P
+    path = str(tmp_path / "panel")
+    P.write_station_month(P.station_month(spark, sf_small), path)
+    q = P.read_station_month_parquet(spark, path).where(F.col("year") >= 2000).select("station_id", "month")
+    mode = spark.sparkContext._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    plan = q._jdf.queryExecution().explainString(mode)
+    assert "PartitionFilters: [isnotnull(year" in plan and "(year" in plan and ">= 2000" in plan
