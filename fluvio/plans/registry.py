@@ -81,6 +81,7 @@ def model_status(runs: DataFrame) -> DataFrame:
         "station_id", "run_id", "model_version", "trained_on", "model_path",
         F.when(ok, F.lit("loaded")).otherwise(F.lit("not_loaded")).alias("status"),
         ok.alias("ready_for_prediction"),
+        F.when(~ok, F.lit("model files not found: train again (plans.training_run)")).alias("message"),
         "train_samples", "test_samples", "s_opt", "coverage",
         F.col("test_metrics.rmse").alias("test_rmse"), F.col("test_metrics.nse").alias("test_nse"),
         F.col("train_metrics.rmse").alias("train_rmse"),

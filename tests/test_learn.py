@@ -44,7 +44,7 @@ def test_status_reports_missing_model_files(spark, tmp_path):
              datetime.datetime(2023, 1, 1))]
     st = registry.model_status(spark.createDataFrame(rows, MODEL_RUNS)).collect()
     assert len(st) == 1 and st[0].run_id == "r1"
-    assert st[0].status == "not_loaded" and st[0].ready_for_prediction is False
+    assert st[0].status == "not_loaded" and st[0].ready_for_prediction is False and st[0].message
 
 
 def test_population_scaler_matches_original_convention(spark):
