@@ -18,6 +18,7 @@ trees); with the MLP weights it is saved and loaded as one directory (A7).
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -136,7 +137,7 @@ def fit_ensemble(frame: DataFrame, cfg: TrainConfig = TrainConfig(), features=C.
         train = prep.transform(data.where(F.col("split") == "train"))
         train.persist(StorageLevel.MEMORY_AND_DISK)
         stages = [assembler, *scaler]
-        nets = {}
+        jobs = {}
         for tgt, suffix, seed in ((C.TARGET_A, "A", cfg.tree.seed_a), (C.TARGET_B, "B", cfg.tree.seed_b)):
             if cfg.net.kind == "mlp":
                 mp = MLPParams(hidden=tuple(cfg.net.hidden), alpha=cfg.net.reg_param, max_rounds=cfg.net.max_rounds,
@@ -144,10 +145,21 @@ def fit_ensemble(frame: DataFrame, cfg: TrainConfig = TrainConfig(), features=C.
                 rows = train.select(vector_to_array(F.col("features_scaled")).alias("x"), tgt,
                                     "station_id", "year", "month")
                 key = F.xxhash64("station_id", "year", "month")
-                nets[f"net_{suffix}"] = fit_mlp(rows, "x", tgt, mp, holdout_key=key)
+                jobs[f"net_{suffix}"] = (lambda r=rows, t=tgt, m=mp, k=key: fit_mlp(r, "x", t, m, holdout_key=k))
             else:
-                stages.append(_ridge(tgt, f"net_{suffix}", cfg.net.reg_param, cfg.net.max_iter).fit(train))
-            stages.append(_gbt(tgt, f"tree_{suffix}", cfg.tree, seed).fit(train))
+                est = _ridge(tgt, f"net_{suffix}", cfg.net.reg_param, cfg.net.max_iter)
+                jobs[f"net_{suffix}"] = (lambda e=est: e.fit(train))
+            est_t = _gbt(tgt, f"tree_{suffix}", cfg.tree, seed)
+            jobs[f"tree_{suffix}"] = (lambda e=est_t: e.fit(train))
+        # The four fits are independent: submit them from driver threads so
+        # their (many, small) jobs share the executors, as Spark ML's own
+        # CrossValidator(parallelism=...) does.
+        with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
+            fitted = {name: f.result() for name, f in {n: pool.submit(fn) for n, fn in jobs.items()}.items()}
+        nets = {n: m for n, m in fitted.items() if isinstance(m, MLPModel)}
+        for n in ("net_A", "tree_A", "net_B", "tree_B"):
+            if not isinstance(fitted[n], MLPModel):
+                stages.append(fitted[n])
         train.unpersist()
     finally:
         data.unpersist()
