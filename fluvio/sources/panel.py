@@ -71,9 +71,17 @@ def station_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel_from_lineitem(table(spark, sf_dir, "lineitem"))
 
 
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """Stray NaN -> NULL in double columns: Spark aggregates skip NULL but
+    propagate NaN, and the original treats NaN as missing."""
+    cols = [F.when(~F.isnan(F.col(f.name)), F.col(f.name)).alias(f.name)
+            if f.dataType.typeName() in ("double", "float") else F.col(f.name) for f in df.schema.fields]
+    return df.select(*cols)
+
+
 def read_station_month_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A1: header CSV with the declared schema (year, month typed at scan, B12)."""
-    return spark.read.schema(STATION_MONTH).option("header", True).option("mode", "FAILFAST").csv(path)
+    """A1: header CSV with the declared schema (year, month typed at scan, B12); NaN -> NULL."""
+    return nan_to_null(spark.read.schema(STATION_MONTH).option("header", True).option("mode", "FAILFAST").csv(path))
 
 
 def write_station_month(panel: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -86,5 +94,5 @@ def write_station_month(panel: DataFrame, path: str, mode: str = "overwrite") ->
 
 def read_station_month_parquet(spark: SparkSession, path: str) -> DataFrame:
     """The stored panel; ``year`` comes back as the partition column."""
-    return spark.read.parquet(path).select(*[f.name for f in STATION_MONTH.fields if f.name != "year"],
-                                           F.col("year").cast("int").alias("year"))
+    return nan_to_null(spark.read.parquet(path).select(*[f.name for f in STATION_MONTH.fields if f.name != "year"],
+                                                       F.col("year").cast("int").alias("year")))

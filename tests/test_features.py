@@ -66,3 +66,15 @@ def test_lags_are_per_station(spark):
     for r in out.where("month = 1").collect():
         assert r["y_lag1"] is None
     assert {r["station_id"]: r["y_lag1"] for r in out.where("month = 2").collect()} == {1: 1.0, 2: 100.0}
+
+
+def test_csv_ingest_turns_nan_into_null(spark, tmp_path):
+    from fluvio.sources.panel import read_station_month_csv
+    from fluvio.sources.schemas import STATION_MONTH
+    header = ",".join(f.name for f in STATION_MONTH.fields)
+    vals = ["1", "2000", "1"] + ["1.0"] * 14 + ["NaN", "", "3.0"]
+    p = tmp_path / "panel.csv"
+    p.write_text(header + "\n" + ",".join(vals) + "\n")
+    r = read_station_month_csv(spark, str(p)).collect()[0]
+    assert r.flow_next_month is None and r.flow_next_month_min is None and r.flow_next_month_max == 3.0
+    assert r.year == 2000 and r.u2_min == 1.0
