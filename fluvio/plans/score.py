@@ -64,6 +64,8 @@ def score_requests(requests: DataFrame, ens: TrainedEnsemble, runs: DataFrame |
     ``runs`` supplies sigma_A, sigma_B and s_opt per station (the latest run);
     without it the serving defaults (15, 15, 1.2) apply. ``gate_mode``:
     'true_month' (default) or 'legacy_sin' (the lossy month recovery, H19).
+    In both modes sigma and the reported gate use the true month, as the
+    original's serving path does; only the prediction mix follows the mode.
     """
     x = with_request_features(requests)
     x = ens.transform(x)
@@ -80,7 +82,7 @@ def score_requests(requests: DataFrame, ens: TrainedEnsemble, runs: DataFrame |
         U.gated_mix("pred_A", "pred_B", g).alias("predicted_flow_raw"),
         U.serving_sigma_mix("sigma_A", "sigma_B").alias("sigma_mix_raw"),
         U.serving_sigma("sigma_A", "sigma_B", "s_opt").alias("uncertainty_raw"),
-        g.alias("gate_raw"), s.alias("s_raw"),
+        season.gate().alias("gate_raw"), s.alias("s_raw"),
     )
     p, u = F.col("predicted_flow_raw"), F.col("uncertainty_raw")
     return x.select(

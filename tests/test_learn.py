@@ -60,3 +60,21 @@ def test_population_scaler_matches_original_convention(spark):
     a = np.array([r[0] for r in rows])
     assert np.allclose(z[:, 0], (a - a.mean()) / a.std())  # population sd
     assert np.allclose(z[:, 1], 0.0)  # constant feature: unit scale, centred
+
+
+def test_legacy_gate_mode_changes_prediction_not_reported_gate(spark, sf_small):
+    from fluvio.operators.validate import split_valid
+    from fluvio.plans import learn, registry, score
+    from fluvio.queries import _frame, _trained
+    from fluvio.sources.requests import requests_from_frame
+    t = _trained(spark, sf_small)
+    ens = learn.TrainedEnsemble.load(t["model"])
+    runs = registry.latest_runs(registry.read_runs(spark, t["runs"]))
+    acc, _ = split_valid(requests_from_frame(_frame(spark, sf_small)))
+    acc = acc.drop("violations").where("month = 6")  # recovered month 1 (wet) vs true month 6 (dry)
+    a = {r.request_id: r for r in score.score_requests(acc, ens, runs).collect()}
+    b = {r.request_id: r for r in score.score_requests(acc, ens, runs, gate_mode="legacy_sin").collect()}
+    assert a and set(a) == set(b)
+    for k in a:
+        assert a[k].model_components.gate == b[k].model_components.gate == 0.7
+        assert a[k].uncertainty == b[k].uncertainty
