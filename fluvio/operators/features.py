@@ -103,7 +103,8 @@ def holdout_bucket(key_cols=("station_id", "year", "month")) -> Column:
     and plain integer arithmetic, so any SQL engine reproduces it.
     """
     sid, year, month = (F.col(c).cast("long") for c in key_cols)
-    return F.pmod((sid * 7919 + year * 12 + month) * 104729, F.lit(100)).cast("int")
+    # the id is reduced modulo a prime first, so no product can overflow a long
+    return F.pmod((F.pmod(sid, F.lit(1000003)) * 7919 + year * 12 + month) * 104729, F.lit(100)).cast("int")
 
 
 def hash_holdout(df: DataFrame, train_pct: int = 80) -> DataFrame:

@@ -159,7 +159,7 @@ def calendar_gaps(spark, sf_dir):
 # --- holdout split (I7) ---------------------------------------------------------
 
 @query("hash_holdout", f"""WITH {O.frame_cte(SPLITS)}
-SELECT {_KEYS}, CASE WHEN ((station_id * 7919 + year * 12 + month) * 104729) % 100 < 80
+SELECT {_KEYS}, CASE WHEN (((station_id % 1000003) * 7919 + year * 12 + month) * 104729) % 100 < 80
                 THEN 'train' ELSE 'test' END AS holdout FROM frame""")
 def hash_holdout(spark, sf_dir):
     return feat.hash_holdout(_frame(spark, sf_dir)).select("station_id", "year", "month", "holdout")
