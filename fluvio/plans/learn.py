@@ -36,9 +36,6 @@ from fluvio.operators import features as feat
 from fluvio.plans.mlp import MLPModel, MLPParams, fit_mlp
 from fluvio.session import shared_dir
 
-PRED_COLS = ("net_A", "tree_A", "net_B", "tree_B")
-
-
 @dataclass
 class TrainedEnsemble:
     """Fitted stages: a PipelineModel (assembler, scaler, trees, ridge nets if any)

@@ -56,6 +56,16 @@ def response_projection(series: DataFrame, digits: int = 2) -> DataFrame:
     return series.select(*keep, *[F.bround(F.col(c), digits).alias(c) for c in vals if c in series.columns])
 
 
+def served_test_data(spark: SparkSession, path: str, station_id: int | None = None) -> DataFrame:
+    """The stored test series as served: optionally one station (a pushed
+    ``station_id = k`` filter on the range-partitioned files), ordered by
+    month, values rounded for the response (B18)."""
+    series = read_scored_series(spark, path)
+    if station_id is not None:
+        series = series.where(F.col("station_id") == F.lit(station_id))
+    return response_projection(series).orderBy("station_id", "year", "month")
+
+
 def export_run_tables(tables: dict[str, DataFrame], run_dir: str, fmt: str = "parquet") -> dict[str, str]:
     """One dataset per table (train metrics, test metrics, monthly coverage) under one run dir."""
     paths = {}

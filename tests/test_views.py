@@ -27,3 +27,14 @@ def test_one_station_read_is_pushed_down(spark, sf_small, tmp_path):
     plan = q._jdf.queryExecution().explainString(mode)
     assert "EqualTo(station_id,3)" in plan
     assert q.count() == band.where("station_id = 3").count()
+
+
+def test_served_test_data_one_station(spark, sf_small, tmp_path):
+    register_views(spark, sf_small)
+    band = spark.table("station_band").where(F.col("split") == "test")
+    path = str(tmp_path / "served")
+    files.write_scored_series(files.scored_series(band), path)
+    rows = files.served_test_data(spark, path, station_id=3).collect()
+    assert rows and all(r.station_id == 3 for r in rows)
+    assert [(r.year, r.month) for r in rows] == sorted((r.year, r.month) for r in rows)
+    assert all(round(r.observed, 2) == r.observed for r in rows)
