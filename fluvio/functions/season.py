@@ -50,8 +50,9 @@ def season_factor(month="month") -> Column:
 
 
 def month_start(year="year", month="month") -> Column:
-    """First day of the month."""
-    return F.make_date(_col(year), _col(month), F.lit(1))
+    """First day of the month at midnight (a datetime, as the original
+    builds it from year, month and day 1), without a time zone."""
+    return F.make_date(_col(year), _col(month), F.lit(1)).cast("timestamp_ntz")
 
 
 def month_from_sin(sin_col="month_sin") -> Column:

@@ -265,7 +265,7 @@ def legacy_gate(spark, sf_dir):
 
 
 @query("month_dates", f"""WITH {O.panel_cte()}
-SELECT {_KEYS}, make_date(year, month, 1) AS month_start, {O.wet()} AS is_wet FROM panel""")
+SELECT {_KEYS}, CAST(make_date(year, month, 1) AS TIMESTAMP) AS month_start, {O.wet()} AS is_wet FROM panel""")
 def month_dates(spark, sf_dir):
     p = _panel(spark, sf_dir)
     return p.select("station_id", "year", "month", season.month_start().alias("month_start"),
@@ -316,7 +316,7 @@ def risk_class(spark, sf_dir):
 @query("coverage_last24", f"""WITH {O.band_cte(SPLITS)},
 t AS (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY year DESC, month DESC) AS rn
       FROM band WHERE {_TEST})
-SELECT {_KEYS}, make_date(year, month, 1) AS month_start, {_R('obs', 'obs')}, {_R('pred', 'pred')},
+SELECT {_KEYS}, CAST(make_date(year, month, 1) AS TIMESTAMP) AS month_start, {_R('obs', 'obs')}, {_R('pred', 'pred')},
        {_R('lower_bound', 'lower_bound')}, {_R('upper_bound', 'upper_bound')},
        (obs >= lower_bound AND obs <= upper_bound) AS covered
 FROM t WHERE rn <= 24""")
