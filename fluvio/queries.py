@@ -631,7 +631,7 @@ def geo_quality(spark, sf_dir):
   CASE WHEN event_id % 3 = 0 THEN event_type END AS result_text,
   {_R('CASE WHEN event_id % 3 = 1 THEN value END', 'result_number')},
   {_R('CASE WHEN event_id % 3 = 2 THEN value END', 'speed_avg')},
-  CASE WHEN event_id % 3 = 2 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS props_k
+  {_R("CASE WHEN event_id % 3 = 2 THEN CAST(json_extract(props, '$.k') AS DOUBLE) END", 'props_k')}
 FROM events""")
 def variant_result(spark, sf_dir):
     """Polymorphic VARIANT result read per kind."""
@@ -644,7 +644,7 @@ def variant_result(spark, sf_dir):
         F.when(F.col("result_kind") == "string", F.try_variant_get("result", "$", "string")).alias("result_text"),
         F.when(F.col("result_kind") == "number", F.try_variant_get("result", "$", "double")).alias("result_number"),
         F.try_variant_get("result", "$.speed_avg", "double").alias("speed_avg"),
-        F.try_variant_get("result", "$.props.k", "bigint").alias("props_k")))
+        F.try_variant_get("result", "$.props.k", "double").alias("props_k")))
 
 
 # --- files: CSV scan, scored series, run export (A1, A5, A6, B18, H15) -----------------------
