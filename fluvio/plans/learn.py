@@ -123,9 +123,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return out
 
 
-def fit_ensemble(frame: DataFrame, cfg: TrainConfig = TrainConfig(), features=C.FEATURE_COLUMNS) -> TrainedEnsemble:
+def fit_ensemble(frame: DataFrame, cfg: TrainConfig = TrainConfig(), features=C.FEATURE_COLUMNS,
+                 checkpoint: bool = True) -> TrainedEnsemble:
+    """Fit the four learners. ``checkpoint=False`` when ``frame`` is already a
+    checkpoint (``plans.training_run`` checkpoints once for fit and scoring)."""
     features = list(features)
-    data = checkpointed(frame.select("station_id", "year", "month", "split", *features, C.TARGET_A, C.TARGET_B))
+    data = frame.select("station_id", "year", "month", "split", *features, C.TARGET_A, C.TARGET_B)
+    data = checkpointed(data) if checkpoint else data
     data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from fluvio.config import TrainConfig
@@ -26,9 +27,15 @@ class RunResult:
 
 def train_evaluate_register(frame: DataFrame, cfg: TrainConfig, model_path: str, runs_path: str,
                             run_id: str | None = None) -> RunResult:
-    ens = learn.fit_ensemble(frame, cfg)
-    ens.save(model_path)
-    band = score.scored_band(frame, ens, cfg.scale, cfg.calibration_split)
-    report = score.run_report(band)
-    registry.append_runs(registry.run_rows(report, model_path, run_id), runs_path)
+    # one reliable checkpoint of the feature frame serves the fit and the
+    # scoring: the fact table is scanned once per run
+    frame = learn.checkpointed(frame).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        ens = learn.fit_ensemble(frame, cfg, checkpoint=False)
+        ens.save(model_path)
+        band = score.scored_band(frame, ens, cfg.scale, cfg.calibration_split)
+        report = score.run_report(band)
+        registry.append_runs(registry.run_rows(report, model_path, run_id), runs_path)
+    finally:
+        frame.unpersist()
     return RunResult(ens, band, report, model_path, runs_path)
