@@ -39,7 +39,7 @@ def stand_in_predictions(frame: DataFrame) -> DataFrame:
 
 
 def with_band(scored: DataFrame, scale: float | Column = C.SCALE_SERVING_DEFAULT,
-              calibration_split: str = "test", peak_split: str = "train") -> DataFrame:
+              calibration_split: str = "test", peak_split: str = "train", approx: bool = False) -> DataFrame:
     """Adds per-row mix, sigma and band columns given ``pred_A`` / ``pred_B``.
 
     * sigma_A, sigma_B: MAD sigma of the residuals on ``calibration_split``
@@ -47,11 +47,15 @@ def with_band(scored: DataFrame, scale: float | Column = C.SCALE_SERVING_DEFAULT
     * upper_fence: from ``peak_split`` rows of target A.
     * g, pred, obs: gated mix of predictions and of observations.
     * sigma_base: H10 sigma before the band scale; sigma = sigma_base * s.
+
+    ``approx=True`` switches the quantiles to grouped sketches (skew-proof for
+    groups that are not bounded by the calendar).
     """
     cal = F.col("split") == calibration_split
-    out = robust.with_mad_sigma(scored, F.col(C.TARGET_A) - F.col("pred_A"), where=cal, name="sigma_A")
-    out = robust.with_mad_sigma(out, F.col(C.TARGET_B) - F.col("pred_B"), where=cal, name="sigma_B")
-    out = robust.with_upper_fence(out, C.TARGET_A, where=F.col("split") == peak_split)
+    out = robust.with_mad_sigma(scored, F.col(C.TARGET_A) - F.col("pred_A"), where=cal, name="sigma_A",
+                                approx=approx)
+    out = robust.with_mad_sigma(out, F.col(C.TARGET_B) - F.col("pred_B"), where=cal, name="sigma_B", approx=approx)
+    out = robust.with_upper_fence(out, C.TARGET_A, where=F.col("split") == peak_split, approx=approx)
     g = season.gate()
     s = scale if isinstance(scale, Column) else F.lit(float(scale))
     out = out.select(

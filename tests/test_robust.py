@@ -37,3 +37,17 @@ def test_mad_sigma_and_fence(spark, approx):
         assert got[st] == pytest.approx(_mad(x), abs=tol)
         assert [b.sigma_x for b in by if b.station_id == st][0] == pytest.approx(_mad(x), abs=tol)
         assert fence[st] == pytest.approx(q3 + 1.5 * (q3 - q1), abs=1e-9 if not approx else 0.1 * (q3 - q1))
+
+
+def test_band_in_approx_mode_is_close_to_exact(spark, sf_small):
+    from fluvio.operators import features as feat
+    from fluvio.plans import evaluate as ev
+    from fluvio.sources import panel as P
+    scored = ev.stand_in_predictions(feat.model_frame(P.station_month(spark, sf_small)))
+    ex = {r.station_id: r.sigma_A for r in ev.with_band(scored).select("station_id", "sigma_A").distinct().collect()}
+    ap = {r.station_id: r.sigma_A for r in ev.with_band(scored, approx=True).select("station_id", "sigma_A")
+          .distinct().collect()}
+    assert set(ex) == set(ap)
+    for k in ex:
+        if ex[k] is not None:
+            assert ap[k] == pytest.approx(ex[k], rel=0.35)
