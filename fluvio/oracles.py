@@ -14,10 +14,16 @@ DIGITS = 6
 NUDGE = 1e-12  # same relative nudge before rounding as ``plans.output.rounded``
 
 
-def rnd(expr: str) -> str:
+def _rnd_dec(x: str, d: int) -> str:
     """Round like Spark's ``round(double, d)``: half-up on the decimal form."""
-    return (f"CAST(round(CAST(CAST({expr} AS DOUBLE) * (1.0 + {NUDGE!r}) AS DECIMAL(38, 18)), {DIGITS}) "
-            f"AS DOUBLE)")
+    return f"CAST(round(CAST({x} * (1.0 + {NUDGE!r}) AS DECIMAL(38, 18)), {d}) AS DOUBLE)"
+
+
+def rnd(expr: str) -> str:
+    """Magnitude-banded rounding, as ``plans.output.round_value``."""
+    x = f"CAST({expr} AS DOUBLE)"
+    return (f"(CASE WHEN abs({x}) < 1e3 THEN {_rnd_dec(x, DIGITS)} WHEN abs({x}) < 1e6 THEN {_rnd_dec(x, 3)} "
+            f"WHEN abs({x}) < 1e9 THEN {_rnd_dec(x, 0)} ELSE round({x} * (1.0 + {NUDGE!r}), -3) END)")
 
 
 def r(expr: str, alias: str) -> str:

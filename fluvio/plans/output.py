@@ -13,13 +13,30 @@ DIGITS = 6
 NUDGE = 1e-12
 
 
+# Decimal places by magnitude: about 9-10 significant digits everywhere, so
+# a sum whose last bits depend on the order of addition (relative error
+# ~1e-15) rounds the same way in any engine, also for huge values such as a
+# width ratio over the 1e-6 width floor.
+BANDS = ((1e3, DIGITS), (1e6, 3), (1e9, 0))
+LAST_BAND_DIGITS = -3
+
+
+def round_value(c, digits: int = DIGITS):
+    v = c.cast("double") * F.lit(1.0 + NUDGE)
+    a = F.abs(c.cast("double"))
+    out = None
+    for limit, d in BANDS:
+        d = min(d, digits)
+        out = F.when(a < limit, F.round(v, d)) if out is None else out.when(a < limit, F.round(v, d))
+    return out.otherwise(F.round(v, LAST_BAND_DIGITS))
+
+
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     """Round every double column (engines sum in different orders)."""
-    k = F.lit(1.0 + NUDGE)
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(F.round(F.col(f.name).cast("double") * k, digits).alias(f.name))
+            cols.append(round_value(F.col(f.name), digits).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
