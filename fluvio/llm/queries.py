@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fluvio.llm.exact_dedup import OP2_SQL, op2_exact_dedup
+from fluvio.llm.mixing import op3_entropy_mix
 from fluvio.llm.quality import op8_quality_trees
+from fluvio.llm.sharding import op4_hash_ring_shards
 from fluvio.llm.token_count import op6_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_exact_dedup, op6_token_counts, op8_quality_trees)
+    f.__name__: f for f in (op2_exact_dedup, op3_entropy_mix, op4_hash_ring_shards, op6_token_counts, op8_quality_trees)
 }
 ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL}
