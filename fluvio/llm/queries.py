@@ -10,6 +10,7 @@ from fluvio.llm.chat import OP10_SQL, op10_preference_pairs
 from fluvio.llm.decontaminate import op7_spaced_seeds
 from fluvio.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from fluvio.llm.jaccard import op5_jaccard_prefix_tree
+from fluvio.llm.katz import op1_katz_score
 from fluvio.llm.mixing import op3_entropy_mix
 from fluvio.llm.quality import op8_quality_trees
 from fluvio.llm.sharding import op4_hash_ring_shards
@@ -17,7 +18,7 @@ from fluvio.llm.token_count import op6_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_exact_dedup, op3_entropy_mix, op4_hash_ring_shards, op5_jaccard_prefix_tree, op6_token_counts,
+        op1_katz_score, op2_exact_dedup, op3_entropy_mix, op4_hash_ring_shards, op5_jaccard_prefix_tree, op6_token_counts,
         op7_spaced_seeds, op8_quality_trees, op10_preference_pairs,
     )
 }
