@@ -15,11 +15,12 @@ from fluvio.llm.mixing import op3_entropy_mix
 from fluvio.llm.quality import op8_quality_trees
 from fluvio.llm.sharding import op4_hash_ring_shards
 from fluvio.llm.token_count import op6_token_counts
+from fluvio.llm.toxicity import op9_deobfuscated_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_katz_score, op2_exact_dedup, op3_entropy_mix, op4_hash_ring_shards, op5_jaccard_prefix_tree, op6_token_counts,
-        op7_spaced_seeds, op8_quality_trees, op10_preference_pairs,
+        op7_spaced_seeds, op8_quality_trees, op9_deobfuscated_toxicity, op10_preference_pairs,
     )
 }
 ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op10_preference_pairs": OP10_SQL}
