@@ -35,7 +35,7 @@ from fluvio.llm.common import chunks, map_arrow, need, table, write_table
 #: The byte-level pre-token pattern (a fixed value of the tokenizer's kind).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bound on the pre-tokens that are broadcast.
-HEADS = 1 << 17
+HEADS = 1 << 20
 
 
 def pre_tokenizer(spec: dict) -> Callable[[bytes], tuple[list[str], int]]:
