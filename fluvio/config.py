@@ -60,10 +60,12 @@ REQUEST_YEAR_MIN, REQUEST_YEAR_MAX = 1998, 2030
 RISK_LOW_COVERAGE, RISK_LOW_ABS_PBIAS, RISK_MEDIUM_COVERAGE = 0.8, 5.0, 0.7
 RISK_LABELS = ("low", "medium", "high")
 SCALE_GRID_MIN, SCALE_GRID_MAX, SCALE_GRID_STEP = 0.5, 3.0, 0.001
-MODEL_VERSION = "v6.8_balanced_prp_operacional"
 REFERENCE_SPLITS = {"train": (1998, 2017), "val": (2018, 2019), "test": (2020, 2023)}
 # ---------------------------------------------------------------------------
 
+#: Label of this library's own models in run rows.
+MODEL_VERSION = "fluvio-2"
+
 # The driver tables span 1995-01 .. 2001-11, so the fixture split is shifted.
 FIXTURE_SPLITS = {"train": (1995, 1998), "val": (1999, 1999), "test": (2000, 2001)}
 
@@ -87,7 +89,7 @@ class TreeParams:
     """Boosted-tree learner (I2). Defaults are the original's 900 rounds."""
 
     max_iter: int = 900
-    step_size: float = 0.02
+    learning_rate: float = 0.02
     max_depth: int = 5
     subsampling_rate: float = 0.9
     feature_subset: str = "0.9"
@@ -97,28 +99,23 @@ class TreeParams:
 
 @dataclass(frozen=True)
 class NetParams:
-    """Scaled learner (I3): a distributed MLP ('mlp') or ridge regression ('ridge')."""
+    """Scaled learner (I3): linear regression with an L2 penalty."""
 
-    kind: str = "mlp"
-    hidden: tuple[int, ...] = (64, 32)
     reg_param: float = 2e-3
     max_iter: int = 3000
-    max_rounds: int = 200
-    local_epochs: int = 5
-    learning_rate: float = 1e-3
 
 
 @dataclass(frozen=True)
 class LegacyParams:
     """Legacy trainer (I8)."""
 
-    net_kind: str = "mlp"
-    hidden: tuple[int, ...] = (100, 50, 25)
     reg_param: float = 1e-3
-    net_rounds: int = 200
+    net_max_iter: int = 1000
     tree_rounds: int = 200
     tree_depth: int = 6
-    tree_step: float = 0.1
+    tree_rate: float = 0.1
+    patience: int = 20
+    partitions: int | None = None  # None = the cluster's parallelism
     subsampling_rate: float = 0.8
     holdout_pct: int = 80
     weights: tuple[float, float] = LEGACY_LEARNER_WEIGHTS
@@ -127,7 +124,8 @@ class LegacyParams:
 @dataclass(frozen=True)
 class TrainConfig:
     splits: Splits = field(default_factory=Splits)
-    tree: TreeParams = field(default_factory=TreeParams)
+    tree: TreeParams | None = field(default_factory=TreeParams)  # None = the scaled learners alone
+    partitions: int | None = None  # None = the cluster's parallelism
     net: NetParams = field(default_factory=NetParams)
     scale: float | None = None  # None = search (I10); a number = fixed (TS 1.258 / FM 1.2)
     calibration_split: str = "test"  # "test" = parity (in-sample), "val" = sound

@@ -1,4 +1,4 @@
-"""Calendar spine and gap report.
+"""Calendar gap report.
 
 The original builds a years x months product. Here the spine is implicit:
 for each station-month the previous present month comes from ``lag`` on the
@@ -10,6 +10,7 @@ scalar subquery (two numbers), not a join.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,9 +29,10 @@ def calendar_gaps(panel: DataFrame) -> DataFrame:
     after the calendar start) are missing; the last row of a station also
     reports the months up to the calendar end.
     """
-    rng = panel.select(F.struct(F.min(month_index()).alias("lo"), F.max(month_index()).alias("hi"))).scalar()
+    # The station-months are kept once; the bounds and the gaps both read them, so the facts are scanned once.
+    idx = panel.select("station_id", month_index().alias("_idx")).persist(StorageLevel.MEMORY_AND_DISK)
+    rng = idx.select(F.struct(F.min("_idx").alias("lo"), F.max("_idx").alias("hi"))).scalar()
     w = Window.partitionBy("station_id").orderBy("_idx")
-    idx = panel.select("station_id", month_index().alias("_idx"))
     x = idx.select("station_id", "_idx", F.lag("_idx", 1).over(w).alias("_prev"),
                    F.lead("_idx", 1).over(w).alias("_next"), rng.alias("_rng"))
     lo, hi = F.col("_rng.lo"), F.col("_rng.hi")
@@ -45,14 +47,3 @@ def calendar_gaps(panel: DataFrame) -> DataFrame:
         F.floor(F.col("_m") / 12).cast("int").alias("year"),
         (F.pmod(F.col("_m"), F.lit(12)) + 1).cast("int").alias("month"),
     )
-
-
-def calendar_spine(panel: DataFrame) -> DataFrame:
-    """Complete station x month spine between each station's first and last month."""
-    rng = panel.groupBy("station_id").agg(F.min(month_index()).alias("_lo"), F.max(month_index()).alias("_hi"))
-    sp = rng.select("station_id", F.explode(F.sequence("_lo", "_hi")).alias("_m"))
-    return sp.select(
-        "station_id",
-        F.floor(F.col("_m") / 12).cast("int").alias("year"),
-        (F.pmod(F.col("_m"), F.lit(12)) + 1).cast("int").alias("month"),
-    )

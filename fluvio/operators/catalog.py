@@ -66,7 +66,7 @@ def point_lat() -> Column:
     return F.element_at(F.col("geometry.point"), 2)
 
 
-def quality_rules(kind: str = "observation") -> dict[str, Column]:
+def quality_rules(kind: str = "observation", location: str = "location_name") -> dict[str, Column]:
     """One boolean per rule, true = violated.
 
     * bad_geometry_type: type not in {Point, Polygon}
@@ -88,7 +88,7 @@ def quality_rules(kind: str = "observation") -> dict[str, Column]:
                                                F.lit(False)),
         "ring_not_closed": is_poly & F.coalesce(
             F.exists(rings, lambda r: (F.size(r) >= 1) & (F.element_at(r, 1) != F.element_at(r, -1))), F.lit(False)),
-        "missing_location": F.coalesce(F.length(F.trim(F.col("location_name"))) == 0, F.lit(True)),
+        "missing_location": F.coalesce(F.length(F.trim(F.col(location))) == 0, F.lit(True)),
     }
     if kind == "forecast":
         rules["confidence_range"] = ~F.coalesce(F.col("confidence").between(0.0, 1.0), F.lit(False))
@@ -97,12 +97,19 @@ def quality_rules(kind: str = "observation") -> dict[str, Column]:
 
 
 def quality_report(df: DataFrame, kind: str = "observation") -> DataFrame:
-    """Violation count per rule: one aggregate pass, then a stack into (rule, n) rows."""
-    rules = quality_rules(kind)
-    agg = df.agg(F.count(F.lit(1)).alias("n_records"),
-                 *[F.count(F.when(c, F.lit(1))).alias(name) for name, c in rules.items()])
-    stacked = F.expr("stack({}, {})".format(len(rules), ", ".join(f"'{n}', {n}" for n in rules)))
-    return agg.select(F.lit(kind).alias("source"), "n_records", stacked.alias("rule", "n_violations"))
+    """Violation count per rule: one aggregate pass, then (rule, n) rows."""
+    return quality_reports(df, {kind: "location_name"})
+
+
+def quality_reports(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """``quality_report`` of several kinds of record kept in one table, in one pass.
+
+    ``kinds`` maps each kind to the column that holds its location.
+    """
+    rules = [(kind, name, c) for kind, location in kinds.items() for name, c in quality_rules(kind, location).items()]
+    agg = df.agg(F.count(F.lit(1)).alias("n_records"), *[F.count(F.when(c, F.lit(1))).alias(f"n{i}") for i, (_, _, c) in enumerate(rules)])
+    rows = F.array(*[F.struct(F.lit(kind).alias("source"), F.lit(name).alias("rule"), F.col(f"n{i}").alias("n")) for i, (kind, name, _) in enumerate(rules)])
+    return agg.select("n_records", F.explode(rows).alias("r")).select("r.source", "n_records", "r.rule", F.col("r.n").alias("n_violations"))
 
 
 def quality_flags(df: DataFrame, kind: str = "observation") -> DataFrame:

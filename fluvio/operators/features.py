@@ -81,11 +81,6 @@ def model_frame(panel: DataFrame, splits: Splits = Splits()) -> DataFrame:
     return add_split(complete_cases(add_lag_features(panel)), splits)
 
 
-def select_features(df: DataFrame, columns=C.FEATURE_COLUMNS, keep=("station_id", "year", "month")) -> DataFrame:
-    """Fixed feature order."""
-    return df.select(*keep, *columns)
-
-
 def legacy_lags(panel: DataFrame, value: str = "flow") -> DataFrame:
     """Lag the this-month flow by 1..3 rows, then drop incomplete rows."""
     w = station_window()
@@ -97,14 +92,13 @@ def legacy_lags(panel: DataFrame, value: str = "flow") -> DataFrame:
 
 
 def holdout_bucket(key_cols=("station_id", "year", "month")) -> Column:
-    """Stable 0..99 bucket from a multiplicative hash of the row key.
+    """Stable 0..99 bucket from the md5 of the row key.
 
     Deterministic and independent of partitioning (unlike ``randomSplit``),
-    and plain integer arithmetic, so any SQL engine reproduces it.
+    mixes all parts of the key, and any SQL engine reproduces it.
     """
-    sid, year, month = (F.col(c).cast("long") for c in key_cols)
-    # the id is reduced modulo a prime first, so no product can overflow a long
-    return F.pmod((F.pmod(sid, F.lit(1000003)) * 7919 + year * 12 + month) * 104729, F.lit(100)).cast("int")
+    key = F.concat_ws("-", *[F.col(c).cast("string") for c in key_cols])
+    return (F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % 100).cast("int")
 
 
 def hash_holdout(df: DataFrame, train_pct: int = 80) -> DataFrame:

@@ -33,8 +33,8 @@ def skill_expr_map(obs="o", pred="p", upper_fence=None) -> dict[str, Column]:
 
     * rmse, mae: sqrt(mean d^2), mean |d| with d = o - p.
     * nse: 1 - SSres/SStot, NULL when SStot = 0.
-    * r2: same formula; for SStot = 0 it is 1.0 on a perfect fit, else 0.0
-      (the regression-score convention of the original's library).
+    * r2: same formula; NULL below two rows; for SStot = 0 it is 1.0 on a
+      perfect fit, else 0.0 (the usual regression-score convention).
     * pearson: covar_pop / (sd_pop(o) sd_pop(p)), NULL on a constant side.
     * kge: 1 - sqrt((r-1)^2 + (beta-1)^2 + (gamma-1)^2), beta = mean p / mean o,
       gamma = CV(p) / CV(o) with sample sd; NULL on zero means.
@@ -47,15 +47,10 @@ def skill_expr_map(obs="o", pred="p", upper_fence=None) -> dict[str, Column]:
     ss_res = F.sum(d * d)
     ss_tot = F.var_pop(o) * n
     nse = F.when(ss_tot != 0, F.lit(1.0) - F.try_divide(ss_res, ss_tot))
-    r2 = F.when(ss_tot != 0, F.lit(1.0) - F.try_divide(ss_res, ss_tot)).when(ss_res == 0, F.lit(1.0)).otherwise(F.lit(0.0))
+    r2 = F.when(n >= 2, F.when(ss_tot != 0, F.lit(1.0) - F.try_divide(ss_res, ss_tot))
+                .otherwise(F.when(ss_res == 0, F.lit(1.0)).otherwise(F.lit(0.0))))
     r = _div(F.covar_pop(o, p), F.stddev_pop(o) * F.stddev_pop(p))
-    mo, ms = F.avg(o), F.avg(p)
-    beta = _div(ms, mo)
-    cvo = _div(F.stddev_samp(o), mo)
-    cvs = _div(F.stddev_samp(p), ms)
-    gamma = _div(cvs, cvo)
-    one = F.lit(1.0)
-    kge = one - F.sqrt((r - one) * (r - one) + (beta - one) * (beta - one) + (gamma - one) * (gamma - one))
+    kge = _kling_gupta(r, F.avg(p), F.avg(o), F.stddev_samp(p), F.stddev_samp(o))
     pbias = F.lit(100.0) * _div(F.sum(d), F.sum(o))
     out = {
         "rmse": F.sqrt(F.avg(d * d)),
@@ -77,6 +72,17 @@ def skill_expr_map(obs="o", pred="p", upper_fence=None) -> dict[str, Column]:
     return out
 
 
+def _kling_gupta(corr: Column, mean_p: Column, mean_o: Column, sd_p: Column, sd_o: Column) -> Column:
+    """1 minus the distance of (correlation, bias ratio, variability ratio) from (1, 1, 1).
+
+    The variability ratio is CV(p) / CV(o) = sd_p * mean_o / (sd_o * mean_p).
+    """
+    bias_ratio = _div(mean_p, mean_o)
+    variability_ratio = _div(sd_p * mean_o, sd_o * mean_p)
+    distance = sum((F.pow(x - 1.0, F.lit(2)) for x in (bias_ratio, variability_ratio)), F.pow(corr - 1.0, F.lit(2)))
+    return F.lit(1.0) - F.sqrt(distance)
+
+
 def interval_exprs(obs="o", lo="lower_bound", up="upper_bound", obs_width="obs_width",
                    prefix: str = "") -> list[Column]:
     """D11 coverage (inclusive), D12 relative width (population sd), D13 width ratio."""
@@ -90,13 +96,13 @@ def interval_exprs(obs="o", lo="lower_bound", up="upper_bound", obs_width="obs_w
 
 
 def risk_class(coverage="coverage", pbias="pbias") -> Column:
-    """Low if p >= 0.8 and |PBIAS| <= 5; medium if p >= 0.7; else high."""
+    """Low if p >= 0.8 and |PBIAS| <= 5; medium if p >= 0.7; else high; NULL without a coverage."""
     p, b = _c(coverage), _c(pbias)
     low, medium, high = C.RISK_LABELS
     return (
         F.when((p >= C.RISK_LOW_COVERAGE) & (F.abs(b) <= C.RISK_LOW_ABS_PBIAS), F.lit(low))
         .when(p >= C.RISK_MEDIUM_COVERAGE, F.lit(medium))
-        .otherwise(F.lit(high))
+        .when(p.isNotNull(), F.lit(high))
     )
 
 

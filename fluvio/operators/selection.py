@@ -1,8 +1,8 @@
-"""Per-station top-k, best candidate, sampling and latest-run selection."""
+"""Per-station top-k, sampling and latest-run selection."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -17,20 +17,15 @@ def last_n_per_station(df: DataFrame, n: int, keys=("station_id",), order=("year
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 
-def best_by(df: DataFrame, keys, value: str, score: Column, tie: Column) -> DataFrame:
-    """per key, the ``value`` with the highest score, ties to the highest ``tie``."""
-    return df.groupBy(*keys).agg(F.max_by(F.col(value), F.struct(score, tie)).alias(value))
-
-
 def sample_rows(df: DataFrame, n: int = 1, seed: int = 42, key_cols=None) -> DataFrame:
     """``n`` rows picked uniformly at random, reproducibly.
 
-    A seeded hash of the row key ranks the rows; ``orderBy(...).limit(n)``
+    The md5 of the seed and the row key ranks the rows; ``orderBy(...).limit(n)``
     becomes a TakeOrderedAndProject (a per-partition top-n, then a merge of
     n rows per partition), so nothing but n rows per partition moves.
     """
     cols = key_cols or df.columns
-    rank = F.xxhash64(F.lit(seed), *[F.col(c) for c in cols])
+    rank = F.md5(F.concat_ws("-", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]))
     return df.withColumn("_r", rank).orderBy("_r").limit(n).drop("_r")
 
 

@@ -24,7 +24,7 @@ def violation_messages(features=C.REQUEST_FEATURES) -> Column:
                F.lit(f"year out of range [{C.REQUEST_YEAR_MIN}, {C.REQUEST_YEAR_MAX}]")),
         F.when(~m.between(1, 12), F.lit("month out of range [1, 12]")),
     ]
-    rules += [F.when(F.col(c).isNull(), F.lit(f"missing {c}")) for c in features]
+    rules += [F.when(F.col(c).isNull() | F.isnan(c), F.lit(f"missing {c}")) for c in features]
     return F.array_compact(F.array(*rules))
 
 
@@ -35,7 +35,11 @@ def with_violations(requests: DataFrame, features=C.REQUEST_FEATURES) -> DataFra
     for c in features:
         if c not in present:
             out = out.withColumn(c, F.lit(None).cast("double"))
-    return out.withColumn("violations", violation_messages(features))
+    out = out.withColumn("violations", violation_messages(features))
+    if "_corrupt_record" in present:
+        broken = F.col("_corrupt_record").isNotNull()
+        out = out.withColumn("violations", F.when(broken, F.array(F.lit("unreadable request"))).otherwise(F.col("violations")))
+    return out
 
 
 def split_valid(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -69,16 +73,18 @@ def fill_train_mean(requests: DataFrame, frame: DataFrame, features=C.REQUEST_FE
     otherwise it stays a shuffled join.
     """
     means = train_means(frame, features, split)
-    j = requests.join(means, "station_id", "left")
-    cols = [F.coalesce(F.col(c), F.col(f"_mean_{c}")).alias(c) if c in features else F.col(c)
-            for c in requests.columns]
-    return j.select(*cols)
+    return fill_from_means(requests.join(means, "station_id", "left"), features)
 
 
-def fill_train_mean_window(frame: DataFrame, features=C.REQUEST_FEATURES, split: str = "train") -> DataFrame:
-    """B16 when the rows to fill live in the frame itself: one unbounded window, no join."""
+def with_train_means(frame: DataFrame, features=C.REQUEST_FEATURES, split: str = "train") -> DataFrame:
+    """The frame with each station's train means (``_mean_<feature>``) on every row: one window, no join."""
     ws = Window.partitionBy("station_id")
-    is_split = F.col("split") == split
-    cols = [F.coalesce(F.col(c), F.avg(F.when(is_split, F.col(c))).over(ws)).alias(c) if c in features else F.col(c)
-            for c in frame.columns]
-    return frame.select(*cols)
+    rows = F.col("split") == split
+    return frame.select("*", *[F.avg(F.when(rows, F.col(c))).over(ws).alias(f"_mean_{c}") for c in features])
+
+
+def fill_from_means(requests: DataFrame, features=C.REQUEST_FEATURES) -> DataFrame:
+    """B16 for rows that carry ``_mean_<feature>``; absent features are filled too."""
+    have = [c for c in requests.columns if not c.startswith("_mean_")]
+    value = lambda c: F.coalesce(F.col(c), F.col(f"_mean_{c}")) if c in have else F.col(f"_mean_{c}")
+    return requests.select(*[c for c in have if c not in features], *[value(c).alias(c) for c in features])

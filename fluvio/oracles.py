@@ -10,20 +10,17 @@ from __future__ import annotations
 from fluvio import config as C
 from fluvio.config import Splits
 
-DIGITS = 6
-NUDGE = 1e-12  # same relative nudge before rounding as ``plans.output.rounded``
-
-
-def _rnd_dec(x: str, d: int) -> str:
-    """Round like Spark's ``round(double, d)``: half-up on the decimal form."""
-    return f"CAST(round(CAST({x} * (1.0 + {NUDGE!r}) AS DECIMAL(38, 18)), {d}) AS DOUBLE)"
+DIGITS, PLACES = 9, 6
+NUDGE = 1e-12  # the rule of ``plans.output.round_value``
 
 
 def rnd(expr: str) -> str:
-    """Magnitude-banded rounding, as ``plans.output.round_value``."""
-    x = f"CAST({expr} AS DOUBLE)"
-    return (f"(CASE WHEN abs({x}) < 1e3 THEN {_rnd_dec(x, DIGITS)} WHEN abs({x}) < 1e6 THEN {_rnd_dec(x, 3)} "
-            f"WHEN abs({x}) < 1e9 THEN {_rnd_dec(x, 0)} ELSE round({x} * (1.0 + {NUDGE!r}), -3) END)")
+    """Nine significant digits, none finer than 1e-6."""
+    x = f"(CAST({expr} AS DOUBLE) * (1.0 + CAST({NUDGE!r} AS DOUBLE)))"
+    k = f"least({PLACES}, {DIGITS - 1} - floor(log10(abs({x}))))"
+    scale = f"pow(CAST(10 AS DOUBLE), abs({k}))"
+    return (f"(CASE WHEN {x} = 0 THEN CAST(0 AS DOUBLE) WHEN {k} >= 0 THEN round({x} * {scale}) / {scale} "
+            f"ELSE round({x} / {scale}) * {scale} END)")
 
 
 def r(expr: str, alias: str) -> str:
@@ -151,15 +148,13 @@ def skill_sql(o: str, p: str, uf: str | None, prefix: str = "") -> list[str]:
     ss_res = f"sum({d} * {d})"
     ss_tot = f"(var_pop({o}) * {n})"
     nse = f"CASE WHEN {ss_tot} <> 0 THEN 1 - {ss_res} / {ss_tot} END"
-    r2 = f"CASE WHEN {ss_tot} <> 0 THEN 1 - {ss_res} / {ss_tot} WHEN {ss_res} = 0 THEN 1.0 ELSE 0.0 END"
+    r2 = f"CASE WHEN {n} < 2 THEN NULL WHEN {ss_tot} <> 0 THEN 1 - {ss_res} / {ss_tot} WHEN {ss_res} = 0 THEN 1.0 ELSE 0.0 END"
     den = f"(stddev_pop({o}) * stddev_pop({p}))"
     rr = f"(CASE WHEN {den} <> 0 THEN covar_pop({o}, {p}) / {den} END)"
-    mo, ms = f"avg({o})", f"avg({p})"
-    beta = f"(CASE WHEN {mo} <> 0 THEN {ms} / {mo} END)"
-    cvo = f"(CASE WHEN {mo} <> 0 THEN stddev_samp({o}) / {mo} END)"
-    cvs = f"(CASE WHEN {ms} <> 0 THEN stddev_samp({p}) / {ms} END)"
-    gam = f"(CASE WHEN {cvo} <> 0 THEN {cvs} / {cvo} END)"
-    kge = f"1 - sqrt(({rr} - 1) * ({rr} - 1) + ({beta} - 1) * ({beta} - 1) + ({gam} - 1) * ({gam} - 1))"
+    bias = f"(CASE WHEN avg({o}) <> 0 THEN avg({p}) / avg({o}) END)"
+    cv_den = f"(stddev_samp({o}) * avg({p}))"
+    variability = f"(CASE WHEN {cv_den} <> 0 THEN stddev_samp({p}) * avg({o}) / {cv_den} END)"
+    kge = f"1 - sqrt(pow({rr} - 1, 2) + pow({bias} - 1, 2) + pow({variability} - 1, 2))"
     pbias = f"100 * (CASE WHEN sum({o}) <> 0 THEN sum({d}) / sum({o}) END)"
     out = [
         r(f"sqrt(avg({d} * {d}))", f"{prefix}rmse"),
@@ -192,7 +187,7 @@ def interval_sql(o: str, lo: str, up: str, w: str) -> list[str]:
 def risk_sql(p: str = "coverage", b: str = "pbias") -> str:
     low, med, high = C.RISK_LABELS
     return (f"CASE WHEN {p} >= {C.RISK_LOW_COVERAGE} AND abs({b}) <= {C.RISK_LOW_ABS_PBIAS} THEN '{low}' "
-            f"WHEN {p} >= {C.RISK_MEDIUM_COVERAGE} THEN '{med}' ELSE '{high}' END")
+            f"WHEN {p} >= {C.RISK_MEDIUM_COVERAGE} THEN '{med}' WHEN {p} IS NOT NULL THEN '{high}' END")
 
 
 def station_report_sql(splits: Splits = Splits(), scale: float = C.SCALE_SERVING_DEFAULT) -> str:

@@ -70,10 +70,11 @@ def with_band(scored: DataFrame, scale: float | Column = C.SCALE_SERVING_DEFAULT
     return out.withColumn("lower_bound", U.lower("pred", "sigma")).withColumn("upper_bound", U.upper("pred", "sigma"))
 
 
-def station_report(band: DataFrame, eval_split: str = "test", train_split: str = "train") -> DataFrame:
+def station_report(band: DataFrame, eval_split: str = "test", train_split: str = "train", extra=()) -> DataFrame:
     """D14 (train bundle on target A, test bundle on the mixed target), D11-D13, H18.
 
-    One grouped aggregate; masks select the rows of each bundle.
+    One grouped aggregate; masks select the rows of each bundle. ``extra``
+    aggregates join it.
     """
     te = F.col("split") == eval_split
     tr = F.col("split") == train_split
@@ -90,7 +91,7 @@ def station_report(band: DataFrame, eval_split: str = "test", train_split: str =
     aggs += M.skill_exprs(o_tr, p_tr, upper_fence=F.col("upper_fence"), prefix="train_")
     aggs += M.interval_exprs(o_te, F.when(te, F.col("lower_bound")), F.when(te, F.col("upper_bound")),
                              F.when(te, F.col("obs_width")))
-    rep = band.groupBy("station_id").agg(*aggs)
+    rep = band.groupBy("station_id").agg(*aggs, *extra)
     return rep.withColumn("risk", M.risk_class("coverage", "pbias"))
 
 

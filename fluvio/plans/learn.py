@@ -3,85 +3,97 @@
 * Target A = next-month flow, target B = next-month maximum (I4).
 * Tree learner: ``GBTRegressor`` on raw features (I2). Spark samples
   feature subsets per node, the original per tree, so trees are not
-  bit-equal; seeds are fixed (42 for A, 43 for B).
-* Scaled learner: Spark ML has no MLP regressor. The net slot holds the
-  distributed MLP of ``plans.mlp`` (64-32, L2 2e-3, early stopping), or a
-  ridge ``LinearRegression`` on standardised features (``kind='ridge'``).
+  bit-equal; seeds are fixed (42 for A, 43 for B). Spark's squared loss fits
+  twice the residual, so its step is half the learning rate asked for; its
+  first tree always has full weight.
+* Scaled learner (I3): Spark ML's ``LinearRegression`` with an L2 penalty on
+  standardised features. Spark ML has no neural regressor, and rebuilding one
+  would be rebuilding a learner's internals.
 * Scaler fitted on train UNION val (G1) with the population sd and unit
   scale for constant features, as the original; learners on train (I1).
 * The learners are pooled over all stations: one distributed fit per
-  learner, whatever the number of stations.
+  learner, whatever the number of stations. Rows are dealt by their key first,
+  so a fit does not depend on how the input happened to be partitioned.
 
-The fitted Spark ML stages form one ``PipelineModel`` (assembler, scaler,
-trees); with the MLP weights it is saved and loaded as one directory (A7).
+The fitted stages form one ``PipelineModel`` (assembler, scaler, learners),
+saved and loaded as one directory (A7).
 """
 
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
 
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fluvio import config as C
 from fluvio.config import LegacyParams, TrainConfig, TreeParams
 from fluvio.functions import uncertainty as U
 from fluvio.operators import features as feat
-from fluvio.plans.mlp import MLPModel, MLPParams, fit_mlp
+from fluvio.operators.validate import fill_zero
 from fluvio.session import shared_dir
 
+
+def _outputs(model: PipelineModel) -> set[str]:
+    return {s.getPredictionCol() for s in model.stages if hasattr(s, "getPredictionCol")}
+
+
+def _drop_scratch(df: DataFrame) -> DataFrame:
+    return df.drop("features", "features_scaled", *[c for c in df.columns if c.startswith("_z_")])
+
+
 @dataclass
 class TrainedEnsemble:
-    """Fitted stages: a PipelineModel (assembler, scaler, trees, ridge nets if any)
-    plus the distributed MLP nets, which score through a pandas_udf."""
+    """Fitted stages: assembler, scaler, and the learners of both targets."""
 
     model: PipelineModel
     features: list[str]
-    nets: dict = field(default_factory=dict)
 
     def transform(self, df: DataFrame, weights=C.LEARNER_WEIGHTS) -> DataFrame:
-        """The four learner outputs and the per-target learner averages (H7)."""
-        out = self.model.transform(df)
-        if self.nets:
-            arr = vector_to_array(F.col("features_scaled"))
-            out = out.select("*", *[net.predict_col(arr).alias(name) for name, net in self.nets.items()])
-        out = out.drop("features", "features_scaled", *[c for c in out.columns if c.startswith("_z_")])
-        return (out.withColumn("pred_A", U.learner_average("net_A", "tree_A", weights))
-                .withColumn("pred_B", U.learner_average("net_B", "tree_B", weights)))
+        """The learner outputs and the per-target learner averages (H7).
+
+        An ensemble fitted without trees has the scaled learners alone.
+        """
+        out = _drop_scratch(self.model.transform(df))
+        have = _outputs(self.model)
+        for t in "AB":
+            both = f"tree_{t}" in have
+            out = out.withColumn(f"pred_{t}", U.learner_average(f"net_{t}", f"tree_{t}", weights) if both else F.col(f"net_{t}"))
+        return out
+
+    def predict_bare(self, df: DataFrame) -> DataFrame:
+        """I5 on bare features: absent columns and nulls count as 0, any column order.
+
+        The gate follows the month recovered from its sine (H19), as bare
+        features hold no month; adds ``pred_A``, ``pred_B`` and ``pred``.
+        """
+        from fluvio.functions import season
+
+        out = self.transform(fill_zero(df, self.features))
+        return out.withColumn("pred", U.gated_mix("pred_A", "pred_B", season.gate(season.month_from_sin("month_sin"))))
 
     def save(self, path: str) -> None:
-        base = path.rstrip("/")
-        self.model.write().overwrite().save(f"{base}/pipeline")
-        spark = SparkSession.getActiveSession()
-        for name, net in self.nets.items():
-            net.save(spark, f"{base}/{name}")
+        self.model.write().overwrite().save(f"{path.rstrip('/')}/pipeline")
 
     @classmethod
-    def load(cls, path: str, features=C.FEATURE_COLUMNS, nets=("net_A", "net_B")) -> "TrainedEnsemble":
-        base = path.rstrip("/")
-        model = PipelineModel.load(f"{base}/pipeline")
-        have = {getattr(st, "getPredictionCol", lambda: None)() for st in model.stages}
-        spark = SparkSession.getActiveSession()
-        loaded = {n: MLPModel.load(spark, f"{base}/{n}") for n in nets if n not in have}
-        return cls(model, list(features), loaded)
+    def load(cls, path: str, features=C.FEATURE_COLUMNS) -> "TrainedEnsemble":
+        return cls(PipelineModel.load(f"{path.rstrip('/')}/pipeline"), list(features))
 
 
-def _gbt(label: str, pred: str, p: TreeParams, seed: int, features_col="features", **extra) -> GBTRegressor:
+def _gbt(label: str, pred: str, p: TreeParams, seed: int, features_col="features") -> GBTRegressor:
     return GBTRegressor(featuresCol=features_col, labelCol=label, predictionCol=pred, maxIter=p.max_iter,
-                        stepSize=p.step_size, maxDepth=p.max_depth, subsamplingRate=p.subsampling_rate,
-                        featureSubsetStrategy=p.feature_subset, seed=seed, checkpointInterval=10,
-                        cacheNodeIds=True, **extra)
+                        stepSize=p.learning_rate / 2, maxDepth=p.max_depth, subsamplingRate=p.subsampling_rate,
+                        featureSubsetStrategy=p.feature_subset, seed=seed, checkpointInterval=10, cacheNodeIds=True)
 
 
 def _ridge(label: str, pred: str, reg: float, max_iter: int) -> LinearRegression:
     return LinearRegression(featuresCol="features_scaled", labelCol=label, predictionCol=pred,
-                            regParam=reg, elasticNetParam=0.0, maxIter=min(max_iter, 1000), standardization=False)
+                            regParam=reg, elasticNetParam=0.0, maxIter=max_iter, standardization=False)
 
 
 def fit_population_scaler(rows: DataFrame, features, out_col: str = "features_scaled") -> list:
@@ -106,73 +118,79 @@ def fit_population_scaler(rows: DataFrame, features, out_col: str = "features_sc
     return [sql, asm]
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Cut the lineage (panel -> features) before iterative fits: a reliable
     checkpoint in the shared folder, so a lost executor does not replay the scan.
 
-    Iterative learners run one task per partition per pass; when the frame
-    has fewer partitions than the cluster has cores (a small panel after AQE
-    coalescing) it is rebalanced to the default parallelism. A large frame
-    keeps its partitioning.
+    The rows are always dealt by the hash of their key into ``partitions``
+    (default: the cluster's parallelism) and sorted, so row sampling inside a
+    learner sees the same rows whatever the layout of the input.
     """
     shared_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if out.rdd.getNumPartitions() < cores:
-        out = out.repartition(cores)
-    return out
+    n = partitions or df.sparkSession.sparkContext.defaultParallelism
+    keys = ["station_id", "year", "month"]
+    return df.repartition(n, *keys).sortWithinPartitions(*keys).checkpoint(eager=True)
 
 
 def fit_ensemble(frame: DataFrame, cfg: TrainConfig = TrainConfig(), features=C.FEATURE_COLUMNS,
                  checkpoint: bool = True) -> TrainedEnsemble:
-    """Fit the four learners. ``checkpoint=False`` when ``frame`` is already a
-    checkpoint (``plans.training_run`` checkpoints once for fit and scoring)."""
+    """Fit the learners of both targets (the trees only if ``cfg.tree`` is given).
+
+    ``checkpoint=False`` when ``frame`` is already a checkpoint
+    (``plans.training_run`` checkpoints once for fit and scoring).
+    """
     features = list(features)
     data = frame.select("station_id", "year", "month", "split", *features, C.TARGET_A, C.TARGET_B)
-    data = checkpointed(data) if checkpoint else data
-    data.persist(StorageLevel.MEMORY_AND_DISK)
+    data = checkpointed(data, cfg.partitions) if checkpoint else data
+    assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
+    scaler = fit_population_scaler(data.where(F.col("split").isin("train", "val")), features)
+    train = PipelineModel([assembler, *scaler]).transform(data.where(F.col("split") == "train"))
+    train.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
-        scaler = fit_population_scaler(data.where(F.col("split").isin("train", "val")), features)
-        prep = PipelineModel([assembler, *scaler])
-        train = prep.transform(data.where(F.col("split") == "train"))
-        train.persist(StorageLevel.MEMORY_AND_DISK)
-        stages = [assembler, *scaler]
-        jobs = {}
-        for tgt, suffix, seed in ((C.TARGET_A, "A", cfg.tree.seed_a), (C.TARGET_B, "B", cfg.tree.seed_b)):
-            if cfg.net.kind == "mlp":
-                mp = MLPParams(hidden=tuple(cfg.net.hidden), alpha=cfg.net.reg_param, max_rounds=cfg.net.max_rounds,
-                               local_epochs=cfg.net.local_epochs, learning_rate=cfg.net.learning_rate, seed=seed)
-                rows = train.select(vector_to_array(F.col("features_scaled")).alias("x"), tgt,
-                                    "station_id", "year", "month")
-                key = F.xxhash64("station_id", "year", "month")
-                jobs[f"net_{suffix}"] = (lambda r=rows, t=tgt, m=mp, k=key: fit_mlp(r, "x", t, m, holdout_key=k))
-            else:
-                est = _ridge(tgt, f"net_{suffix}", cfg.net.reg_param, cfg.net.max_iter)
-                jobs[f"net_{suffix}"] = (lambda e=est: e.fit(train))
-            est_t = _gbt(tgt, f"tree_{suffix}", cfg.tree, seed)
-            jobs[f"tree_{suffix}"] = (lambda e=est_t: e.fit(train))
-        # The four fits are independent: submit them from driver threads so
-        # their (many, small) jobs share the executors, as Spark ML's own
+        learners = []
+        for target, suffix in ((C.TARGET_A, "A"), (C.TARGET_B, "B")):
+            learners.append(_ridge(target, f"net_{suffix}", cfg.net.reg_param, cfg.net.max_iter))
+            if cfg.tree is not None:
+                learners.append(_gbt(target, f"tree_{suffix}", cfg.tree, cfg.tree.seed_a if suffix == "A" else cfg.tree.seed_b))
+        # The fits are independent: submit them from driver threads so their
+        # (many, small) jobs share the executors, as Spark ML's own
         # CrossValidator(parallelism=...) does.
-        with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
-            fitted = {name: f.result() for name, f in {n: pool.submit(fn) for n, fn in jobs.items()}.items()}
-        nets = {n: m for n, m in fitted.items() if isinstance(m, MLPModel)}
-        for n in ("net_A", "tree_A", "net_B", "tree_B"):
-            if not isinstance(fitted[n], MLPModel):
-                stages.append(fitted[n])
-        train.unpersist()
+        with ThreadPoolExecutor(max_workers=len(learners)) as pool:
+            fitted = list(pool.map(lambda e: e.fit(train), learners))
     finally:
-        data.unpersist()
-    return TrainedEnsemble(PipelineModel(stages), features, nets)
+        train.unpersist()
+    return TrainedEnsemble(PipelineModel([assembler, *scaler, *fitted]), features)
 
 
 @dataclass
 class LegacyModel:
-    """Legacy trainer output: Spark ML stages (assembler, scaler, tree, ridge net if any) + MLP net."""
+    """Legacy trainer output: assembler, scaler, scaled learner and tree in one pipeline."""
 
     pipeline: PipelineModel
-    net: MLPModel | None = None
+    rounds: int = 0
+    weights: tuple[float, float] = C.LEGACY_LEARNER_WEIGHTS
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return _drop_scratch(self.pipeline.transform(df)).withColumn("ensemble", U.learner_average("net", "tree", self.weights))
+
+    def save(self, path: str) -> None:
+        self.pipeline.write().overwrite().save(f"{path.rstrip('/')}/pipeline")
+
+    @classmethod
+    def load(cls, path: str, weights=C.LEGACY_LEARNER_WEIGHTS) -> "LegacyModel":
+        pipeline = PipelineModel.load(f"{path.rstrip('/')}/pipeline")
+        return cls(pipeline, pipeline.stages[-1].getNumTrees, weights)
+
+
+def best_round(errors: list[float], patience: int) -> int:
+    """The round (from 1) with the least error before ``patience`` rounds without a better one."""
+    best = 0
+    for k, e in enumerate(errors):
+        if e < errors[best]:
+            best = k
+        elif k - best >= patience:
+            break
+    return best + 1
 
 
 def fit_legacy(frame: DataFrame, p: LegacyParams = LegacyParams()) -> tuple[LegacyModel, DataFrame]:
@@ -180,53 +198,52 @@ def fit_legacy(frame: DataFrame, p: LegacyParams = LegacyParams()) -> tuple[Lega
 
     Features: raw year, month, meteo and lags of the this-month flow (E6);
     target: this-month flow. An 80/20 stable hash holdout (I7) replaces the
-    shuffled split; the tree stops early on the holdout through
-    ``validationIndicatorCol``. Returns the model and the holdout rows scored
-    with both learners and the 0.6 / 0.4 ensemble.
+    shuffled split. The tree is fitted with its full budget; the holdout error
+    of each round gives the round at which it would have stopped with
+    ``p.patience``, and the same seed is fitted to that round (boosting adds
+    trees one by one, so these are the first trees of the full fit). Returns the
+    model and the holdout rows scored by both learners and the 0.6 / 0.4 ensemble.
     """
     feats = C.LEGACY_FEATURE_COLUMNS
-    data = feat.hash_holdout(frame, p.holdout_pct).withColumn("_is_val", F.col("holdout") == "test")
-    data = checkpointed(data.select("station_id", "year", "month", "flow", "_is_val", "holdout",
-                                    *[c for c in feats if c not in ("year", "month")]))
-    data.persist(StorageLevel.MEMORY_AND_DISK)
+    data = feat.hash_holdout(frame, p.holdout_pct)
+    data = checkpointed(data.select("station_id", "year", "month", "flow", "holdout",
+                                    *[c for c in feats if c not in ("year", "month")]), p.partitions)
+    is_train = F.col("holdout") == "train"
+    assembler = VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="keep")
+    prep = [assembler, *fit_population_scaler(data.where(is_train), feats)]
+    rows = PipelineModel(prep).transform(data).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        assembler = VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="keep")
-        scaler = PipelineModel([assembler, *fit_population_scaler(data.where(F.col("holdout") == "train"), feats)])
-        train_s = scaler.transform(data.where(F.col("holdout") == "train"))
-        if p.net_kind == "mlp":
-            rows = train_s.select(vector_to_array(F.col("features_scaled")).alias("x"), "flow",
-                                  "station_id", "year", "month")
-            mp = MLPParams(hidden=tuple(p.hidden), alpha=p.reg_param, max_rounds=p.net_rounds, seed=42)
-            net_model = fit_mlp(rows, "x", "flow", mp, holdout_key=F.xxhash64("station_id", "year", "month"))
-            net_stages = []
-        else:
-            net_model = None
-            net_stages = [LinearRegression(featuresCol="features_scaled", labelCol="flow", predictionCol="net",
-                                           regParam=p.reg_param, elasticNetParam=0.0,
-                                           standardization=False).fit(train_s)]
-        tree_params = TreeParams(max_iter=p.tree_rounds, step_size=p.tree_step, max_depth=p.tree_depth,
-                                 subsampling_rate=p.subsampling_rate, feature_subset="0.8")
-        tree = _gbt("flow", "tree", tree_params, 42, validationIndicatorCol="_is_val",
-                    validationTol=0.0).fit(scaler.transform(data))
-        model = PipelineModel([*scaler.stages, *net_stages, tree])
-        scored = model.transform(data.where(F.col("holdout") == "test"))
-        if net_model is not None:
-            scored = scored.withColumn("net", net_model.predict_col(vector_to_array(F.col("features_scaled"))))
-        scored = scored.withColumn("ensemble", U.learner_average("net", "tree", p.weights))
+        train = rows.where(is_train)
+        net = _ridge("flow", "net", p.reg_param, p.net_max_iter).fit(train)
+        params = TreeParams(max_iter=p.tree_rounds, learning_rate=p.tree_rate, max_depth=p.tree_depth,
+                            subsampling_rate=p.subsampling_rate, feature_subset="0.8")
+        tree = _gbt("flow", "tree", params, 42).fit(train)
+        rounds = best_round(tree.evaluateEachIteration(rows.where(~is_train), "squared"), p.patience)
+        if rounds < p.tree_rounds:
+            tree = _gbt("flow", "tree", replace(params, max_iter=rounds), 42).fit(train)
     finally:
-        data.unpersist()
-    return LegacyModel(model, net_model), scored.drop("features", "features_scaled",
-                                                        *[c for c in scored.columns if c.startswith("_z_")])
+        rows.unpersist()
+    model = LegacyModel(PipelineModel([*prep, net, tree]), rounds, p.weights)
+    return model, model.transform(data.where(~is_train))
 
 
 def legacy_metrics(scored: DataFrame) -> DataFrame:
-    """RMSE and R^2 on the holdout for each learner and the ensemble (one row per learner)."""
-    from fluvio.operators.metrics import skill_exprs
-    parts = []
-    for learner in ("net", "tree", "ensemble"):
-        m = scored.agg(F.count(F.lit(1)).alias("n"), *skill_exprs("flow", learner))
-        parts.append(m.select(F.lit(learner).alias("learner"), "n", "rmse", "r2"))
-    out = parts[0]
-    for p_ in parts[1:]:
-        out = out.unionByName(p_)
-    return out
+    """RMSE and R^2 on the holdout for each learner and the ensemble: one aggregate, then a row per learner."""
+    from fluvio.operators.metrics import skill_expr_map
+
+    learners = ("net", "tree", "ensemble")
+    maps = {m: skill_expr_map("flow", m) for m in learners}
+    one = scored.agg(F.count(F.lit(1)).alias("n"), *[maps[m][k].alias(f"{m}_{k}") for m in learners for k in ("rmse", "r2")])
+    return one.select("n", F.expr("stack(3, " + ", ".join(f"'{m}', {m}_rmse, {m}_r2" for m in learners) + ")").alias("learner", "rmse", "r2")).select(
+        "learner", "n", "rmse", "r2")
+
+
+def legacy_report(scored: DataFrame) -> DataFrame:
+    """Per-station holdout skill of the legacy ensemble, for the run registry."""
+    from fluvio.operators.metrics import skill_expr_map
+
+    aggs = [F.count(F.lit(1)).alias("n_test"), *[e.alias(k) for k, e in skill_expr_map("flow", "ensemble").items()]]
+    for m in ("net", "tree", "ensemble"):
+        e = skill_expr_map("flow", m)
+        aggs += [e["rmse"].alias(f"{m}_rmse"), e["r2"].alias(f"{m}_r2")]
+    return scored.groupBy("station_id").agg(*aggs)

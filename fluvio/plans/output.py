@@ -6,37 +6,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DIGITS = 6
+#: Significant digits kept, and the finest decimal place.
+DIGITS, PLACES = 9, 6
 # Relative nudge applied before rounding: a value that sits on a rounding
 # tie (x.xxxxxx5) can be computed one ulp below or above it depending on
 # summation order; the nudge moves both onto the same side.
 NUDGE = 1e-12
 
 
-# Decimal places by magnitude: about 9-10 significant digits everywhere, so
-# a sum whose last bits depend on the order of addition (relative error
-# ~1e-15) rounds the same way in any engine, also for huge values such as a
-# width ratio over the 1e-6 width floor.
-BANDS = ((1e3, DIGITS), (1e6, 3), (1e9, 0))
-LAST_BAND_DIGITS = -3
-
-
-def round_value(c, digits: int = DIGITS):
+def round_value(c, digits: int = DIGITS, places: int = PLACES):
+    """Nine significant digits, none finer than 1e-6: one rule for every value."""
     v = c.cast("double") * F.lit(1.0 + NUDGE)
-    a = F.abs(c.cast("double"))
-    out = None
-    for limit, d in BANDS:
-        d = min(d, digits)
-        out = F.when(a < limit, F.round(v, d)) if out is None else out.when(a < limit, F.round(v, d))
-    return out.otherwise(F.round(v, LAST_BAND_DIGITS))
+    k = F.least(F.lit(places), F.lit(digits - 1) - F.floor(F.log10(F.abs(v))))
+    scale = F.pow(F.lit(10.0), F.abs(k).cast("double"))
+    return F.when(v == 0, F.lit(0.0)).when(k >= 0, F.round(v * scale) / scale).otherwise(F.round(v / scale) * scale)
 
 
-def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
+def rounded(df: DataFrame) -> DataFrame:
     """Round every double column (engines sum in different orders)."""
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(round_value(F.col(f.name), digits).alias(f.name))
+            cols.append(round_value(F.col(f.name)).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)

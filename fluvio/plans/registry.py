@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from fluvio import config as C
 from fluvio.operators.selection import latest_by
-from fluvio.plans.score import metric_struct
+from fluvio.plans.score import METRICS, metric_struct
 from fluvio.sources.schemas import MODEL_RUNS
 
 
@@ -22,6 +22,9 @@ def run_rows(report: DataFrame, model_path: str, run_id: str | None = None,
              features=C.FEATURE_COLUMNS, version: str = C.MODEL_VERSION) -> DataFrame:
     """A8 rows from a per-station report (``plans.score.run_report``)."""
     rid = run_id or uuid.uuid4().hex
+    # A report without some metric (the legacy trainer's has no band) gives null there.
+    absent = ["sigma_A", "sigma_B", "s_opt", "coverage", "n_train", "nse_peaks", *[f"train_{m}" for m in METRICS]]
+    report = report.select("*", *[F.lit(None).cast("double").alias(c) for c in absent if c not in report.columns])
     return report.select(
         F.lit(rid).alias("run_id"),
         F.col("station_id").cast("long").alias("station_id"),
@@ -54,27 +57,34 @@ def latest_runs(runs: DataFrame) -> DataFrame:
     return latest_by(runs, ["station_id"], "trained_on")
 
 
-def model_files_present(spark: SparkSession, runs: DataFrame) -> DataFrame:
-    """A7 check: do the model directories of the runs exist? (one row per distinct path).
+#: Stages that a saved model must hold: assembler, scaler (two stages) and at least one learner for each target.
+PARTS = ("pipeline/metadata", "pipeline/stages/0_", "pipeline/stages/1_", "pipeline/stages/2_", "pipeline/stages/3_", "pipeline/stages/4_")
 
-    The distinct model paths are few (one per training run), so they are
-    checked on the driver through the Hadoop file system of each path.
+
+def model_files_present(runs: DataFrame, root: str, parts=PARTS) -> DataFrame:
+    """A7 check: ``model_path, files_present`` for the runs' distinct model paths below ``root``.
+
+    Spark lists the files below ``root`` (names only, no content is read) and
+    joins them to the paths; a model counts as present when every part of it
+    has files.
     """
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    rows = []
-    for r in runs.select("model_path").where(F.col("model_path").isNotNull()).distinct().collect():
-        p = jvm.org.apache.hadoop.fs.Path(r["model_path"])
-        fs = p.getFileSystem(conf)
-        pipe = jvm.org.apache.hadoop.fs.Path(r["model_path"].rstrip("/") + "/pipeline")
-        rows.append((r["model_path"], bool(fs.exists(p) and fs.exists(pipe))))
-    return spark.createDataFrame(rows, "model_path string, files_present boolean")
-
-
-def model_status(runs: DataFrame) -> DataFrame:
-    """Per station, whether its latest model is present and its run summary."""
+    spark = runs.sparkSession
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*")
+             .load(root).select(F.col("path").alias("file")))
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    models = runs.select("model_path").where("model_path IS NOT NULL").distinct()
+    split = F.regexp_extract(plain(F.col("file")), "^(.*?)/(pipeline/.*)$", 1)
+    inside = F.regexp_extract(plain(F.col("file")), "^(.*?)/(pipeline/.*)$", 2)
+    found = files.select(split.alias("at"), inside.alias("inside")).groupBy("at").agg(
+        *[F.max(F.col("inside").startswith(p)).alias(f"p{i}") for i, p in enumerate(parts)])
+    whole = F.coalesce(F.expr(" AND ".join(f"p{i}" for i in range(len(parts)))), F.lit(False))
+    return models.join(found, plain(F.rtrim(F.col("model_path"), F.lit("/"))) == F.col("at"), "left").select("model_path", whole.alias("files_present"))
+
+
+def model_status(runs: DataFrame, model_root: str) -> DataFrame:
+    """Per station, whether its latest model (below ``model_root``) is whole, and its run summary."""
     last = latest_runs(runs)
-    present = model_files_present(runs.sparkSession, last)
+    present = model_files_present(last, model_root)
     last = last.join(present, "model_path", "left")
     ok = F.coalesce(F.col("files_present"), F.lit(False))
     return last.select(

@@ -29,13 +29,12 @@ def train_evaluate_register(frame: DataFrame, cfg: TrainConfig, model_path: str,
                             run_id: str | None = None) -> RunResult:
     # one reliable checkpoint of the feature frame serves the fit and the
     # scoring: the fact table is scanned once per run
-    frame = learn.checkpointed(frame).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        ens = learn.fit_ensemble(frame, cfg, checkpoint=False)
-        ens.save(model_path)
-        band = score.scored_band(frame, ens, cfg.scale, cfg.calibration_split)
-        report = score.run_report(band)
-        registry.append_runs(registry.run_rows(report, model_path, run_id), runs_path)
-    finally:
-        frame.unpersist()
+    frame = learn.checkpointed(frame, cfg.partitions)
+    ens = learn.fit_ensemble(frame, cfg, checkpoint=False)
+    ens.save(model_path)
+    # the scored rows are kept once for the scale search and the report
+    scored = score.Scored(ens.transform(frame).persist(StorageLevel.MEMORY_AND_DISK))
+    band = score.scored_band(frame, scored, cfg.scale, cfg.calibration_split)
+    report = score.run_report(band)
+    registry.append_runs(registry.run_rows(report, model_path, run_id), runs_path)
     return RunResult(ens, band, report, model_path, runs_path)

@@ -86,9 +86,10 @@ def read_station_month_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def write_station_month(panel: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Stored panel: parquet partitioned by ``year`` (a year filter prunes
-    directories), rows clustered by station inside each year (a station
-    filter skips row groups through min/max statistics)."""
-    (panel.repartition("year").sortWithinPartitions("station_id", "month")
+    directories), dealt by ranges of (year, station): a year is spread over as
+    many tasks and files as its rows ask for, and a station filter skips files
+    and row groups through min/max statistics."""
+    (panel.repartitionByRange("year", "station_id").sortWithinPartitions("year", "station_id", "month")
      .write.mode(mode).partitionBy("year").parquet(path))
 
 

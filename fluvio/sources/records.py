@@ -78,8 +78,12 @@ def _lon_lat() -> tuple[Column, Column]:
     return lon, lat
 
 
-def _raw_geometry() -> Column:
-    """Raw geometry with VARIANT coordinates: even event ids are points, odd ones 5-point closed squares."""
+def _raw_geometry(defects: bool = False) -> Column:
+    """Raw geometry with VARIANT coordinates: even event ids are points, odd ones 5-point closed squares.
+
+    With ``defects`` some ids have an unknown type, a point of one coordinate,
+    a ring of two points or an open ring (for the quality rules).
+    """
     lon, lat = _lon_lat()
     d = F.lit(0.1)
     ring = F.array(F.array(lon, lat), F.array(lon + d, lat), F.array(lon + d, lat - d),
@@ -87,9 +91,29 @@ def _raw_geometry() -> Column:
     is_point = F.col("event_id") % 2 == 0
     t = F.when(is_point, F.lit("Point")).otherwise(F.lit("Polygon"))
     coords = F.when(is_point, F.to_variant_object(F.array(lon, lat))).otherwise(F.to_variant_object(F.array(ring)))
+    if defects:
+        i = F.col("event_id")
+        bad_type, short_point = i % 29 == 3, is_point & (i % 31 == 4)
+        short_ring, open_ring = ~is_point & (i % 37 == 5), ~is_point & (i % 41 == 7)
+        t = F.when(bad_type, F.lit("Line")).otherwise(t)
+        coords = (F.when(short_point, F.to_variant_object(F.array(lon)))
+                  .when(short_ring, F.to_variant_object(F.array(F.slice(ring, 1, 2))))
+                  .when(open_ring, F.to_variant_object(F.array(F.slice(ring, 1, 4)))).otherwise(coords))
     return F.struct(t.alias("type"), coords.alias("coordinates"))
 
 
+def flawed_records(events: DataFrame) -> DataFrame:
+    """Forecast records with planted defects, and the location of the observation at the same event (``obs_location``)."""
+    i = F.col("event_id")
+    raw = events.select(
+        i.alias("id"), _raw_geometry(defects=True).alias("geometry"),
+        F.when(i % 43 == 8, F.lit(" ")).otherwise(F.concat(F.lit("Area "), F.col("user_id").cast("string"))).alias("location_name"),
+        F.when(i % 59 == 11, F.lit(None)).otherwise(F.concat(F.lit("Station "), F.col("user_id").cast("string"))).alias("obs_location"),
+        F.when(i % 47 == 9, F.lit(1.5)).otherwise((i % 100) / 100.0).alias("confidence"),
+        F.when(i % 53 != 10, F.col("ts") + F.expr("INTERVAL 6 HOURS")).alias("forecast_time"))
+    return normalize_forecasts(raw)
+
+
 def observations_raw_from_events(events: DataFrame) -> DataFrame:
     return events.select(
         F.col("event_id").alias("id"),
@@ -130,8 +154,8 @@ def forecasts_raw_from_events(events: DataFrame) -> DataFrame:
         F.concat(F.lit("Area "), F.col("user_id").cast("string")).alias("location_name"),
         F.when(kind == 1, F.lit("C")).alias("unit"),
         F.when(kind == 0, F.col("value") % 100).alias("precipitation_probability"),
-        F.when(F.col("event_type") == "error", F.lit("moderate")).alias("alert_level"),
-        F.when(F.col("event_type") == "error", F.array(F.lit("thunderstorm"), F.lit("heavy_rain")))
+        F.when(F.col("event_type") == "error", F.lit("amber")).alias("alert_level"),
+        F.when(F.col("event_type") == "error", F.array(F.lit("queue"), F.lit("detour")))
         .alias("phenomena"),
     )
 

@@ -12,15 +12,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fluvio import config as C
+from fluvio.sources.panel import nan_to_null
 from fluvio.sources.schemas import REQUEST
 
 CORRUPTION_MODULUS = 7
 
 
+CORRUPT = "_corrupt_record"
+
+
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(REQUEST).json(path)
+    """A4: JSON request lines with the declared schema; NaN counts as missing.
+
+    A line that is no valid JSON keeps its text in ``_corrupt_record`` (and is
+    rejected by validation), so nothing is lost silently.
+    """
+    schema = T.StructType([*REQUEST.fields, T.StructField(CORRUPT, T.StringType())])
+    return nan_to_null(spark.read.schema(schema).option("columnNameOfCorruptRecord", CORRUPT).json(path))
 
 
 def request_id() -> F.Column:
@@ -28,7 +39,7 @@ def request_id() -> F.Column:
                        F.format_string("%02d", F.col("month")))
 
 
-def requests_from_frame(frame: DataFrame, split: str = "test") -> DataFrame:
+def requests_from_frame(frame: DataFrame, split: str = "test", keep: tuple[str, ...] = ()) -> DataFrame:
     rows = frame.where(F.col("split") == split)
     key = F.pmod(F.col("station_id") + F.col("month"), F.lit(CORRUPTION_MODULUS))
     cols = [request_id().alias("request_id"), F.col("station_id").cast("long").alias("station_id"),
@@ -41,4 +52,4 @@ def requests_from_frame(frame: DataFrame, split: str = "test") -> DataFrame:
         elif c in ("pr_sum3", "u2_min"):
             v = F.when(key != 3, v)
         cols.append(v.alias(c))
-    return rows.select(*cols)
+    return rows.select(*cols, *keep)

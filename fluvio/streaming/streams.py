@@ -14,11 +14,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from fluvio.operators.catalog import filter_observations
 from fluvio.operators.validate import with_violations
-from fluvio.plans.learn import TrainedEnsemble
-from fluvio.plans.score import score_requests
+from fluvio.plans.score import Predictor, score_requests
 from fluvio.sources.records import normalize_observations, observations_raw_from_events
 from fluvio.sources.schemas import REQUEST
 
@@ -27,10 +27,10 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files_per_trig
     """A driver table as a file stream (schema from the parquet footer, no inference)."""
     base = sf_dir.rstrip("/")
     schema = spark.read.parquet(f"{base}/{name}.parquet").schema
-    r = spark.readStream.schema(schema).option("basePath", base)
+    r = spark.readStream.schema(schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.parquet(f"{base}/{name}.parquet*")
+    return r.parquet(f"{base}/{name}.parque[t]")  # a pattern that only this name fits: a stream takes a lone file by pattern
 
 
 def observation_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,24 +42,35 @@ def request_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(REQUEST).json(path)
 
 
-def run_available_now(df: DataFrame, sink_path: str, checkpoint: str, fmt: str = "parquet",
-                      timeout_s: int = 600) -> None:
-    """Process everything available, then stop (the test and batch-catch-up trigger)."""
-    q = (df.writeStream.format(fmt).option("path", sink_path).option("checkpointLocation", checkpoint)
-         .outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
-    if q.isActive:
+def finish(q: StreamingQuery, timeout_s: float | None = None) -> None:
+    """Wait until an ``availableNow`` query has processed everything.
+
+    Without ``timeout_s`` it takes as long as it takes. A given limit that
+    expires stops the query and raises: what was committed so far is not the
+    whole result, and a restart on the same checkpoint goes on from there.
+    """
+    if timeout_s is None:
+        q.awaitTermination()
+    elif not q.awaitTermination(timeout_s):
         q.stop()
+        raise TimeoutError(f"the stream was not done after {timeout_s} s; its sink is incomplete")
     if q.exception() is not None:
         raise q.exception()
 
 
+def run_available_now(df: DataFrame, sink_path: str, checkpoint: str, fmt: str = "parquet",
+                      timeout_s: float | None = None) -> None:
+    """Process everything available, then stop (the test and batch-catch-up trigger)."""
+    finish(df.writeStream.format(fmt).option("path", sink_path).option("checkpointLocation", checkpoint)
+           .outputMode("append").trigger(availableNow=True).start(), timeout_s)
+
+
 def filtered_observations(spark: SparkSession, sf_dir: str, geometry_type=None, data_type=None) -> DataFrame:
     return filter_observations(observation_stream(spark, sf_dir), geometry_type, data_type)
 
 
-def score_request_stream(requests: DataFrame, ens: TrainedEnsemble, runs: DataFrame | None,
-                         accepted_path: str, quarantine_path: str, checkpoint: str, timeout_s: int = 600) -> None:
+def score_request_stream(requests: DataFrame, ens: Predictor, runs: DataFrame | None,
+                         accepted_path: str, quarantine_path: str, checkpoint: str, timeout_s: float | None = None) -> None:
     """B14 + I6 on a request stream: accepted requests are scored, rejected ones quarantined.
 
     One ``foreachBatch`` writes both outputs of a micro-batch; the batch id
@@ -77,9 +88,4 @@ def score_request_stream(requests: DataFrame, ens: TrainedEnsemble, runs: DataFr
          .write.mode("overwrite").parquet(f"{quarantine_path.rstrip('/')}/batch={batch_id}"))
         batch.unpersist()
 
-    q = v.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-    if q.exception() is not None:
-        raise q.exception()
+    finish(v.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(), timeout_s)

@@ -6,9 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from fluvio.queries import ORACLES, QUERIES
 from fluvio.sources.tables import TABLES
 
-SLOW = {"train_eval", "train_legacy", "score_requests", "model_status", "stream_score"}
+SLOW = {"train_eval"}
 
 
 def test_entry_smoke(spark, sf_small):
@@ -42,7 +43,7 @@ def duck(sf_small):
     return con
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_oracle(spark, sf_small, duck, name):
     df = E.queries()[name](spark, sf_small)
     s_cols = df.columns
@@ -55,6 +56,6 @@ def test_query_matches_oracle(spark, sf_small, duck, name):
     assert s_rows == o_rows
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - set(E.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - SLOW))
 def test_rows_only_queries_run(spark, sf_small, name):
     assert E.queries()[name](spark, sf_small).count() >= 0

@@ -1,34 +1,129 @@
-"""I1-I6, I11, streaming scoring on sf0.001 with a small tree budget (rows-only + invariants)."""
+"""I1-I6, I8, I11, streaming scoring on sf0.001: learners, serving, registry."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
+from fluvio import config as C
+from fluvio.plans import learn
 
 
-def test_train_score_and_status(spark, sf_small):
+def _train_frame(spark, sf_small):
+    from fluvio.queries import _frame
+    return _frame(spark, sf_small)
+
+
+def test_train_eval_and_serving(spark, sf_small):
     q = E.queries()
     runs = q["train_eval"](spark, sf_small).collect()
     assert runs and all(0.5 <= r.s_opt <= 3.0 for r in runs)
-    scored = q["score_requests"](spark, sf_small)
-    rows = scored.collect()
+    rows = q["score_requests"](spark, sf_small).collect()
     assert rows
     for r in rows:
         assert r.lower_bound <= r.predicted_flow <= r.upper_bound or r.lower_bound == 0.0
         assert r.lower_bound >= 0.0 and r.confidence_level == 0.83
-    assert q["model_status"](spark, sf_small).where(F.col("status") == "loaded").count() == len(runs)
+
+
+def test_learners_learn_and_do_not_depend_on_the_layout(spark, sf_small):
+    frame = _train_frame(spark, sf_small).checkpoint()
+    cfg = C.TrainConfig(tree=C.TreeParams(max_iter=5, max_depth=3, learning_rate=0.5), partitions=4)
+    got = []
+    for n in (1, 8):
+        ens = learn.fit_ensemble(frame.repartition(n), cfg)
+        rows = ens.transform(frame.where("split = 'train'")).select(
+            "station_id", "year", "month", C.TARGET_A, C.TARGET_B, "net_A", "tree_A", "net_B", "tree_B").toPandas()
+        got.append(rows.sort_values(["station_id", "year", "month"]).reset_index(drop=True))
+    for t, target in (("A", C.TARGET_A), ("B", C.TARGET_B)):
+        for m in ("net", "tree"):
+            error = ((got[0][f"{m}_{t}"] - got[0][target]) ** 2).mean() ** 0.5
+            assert error < got[0][target].std(ddof=0), (m, t)
+            assert np.allclose(got[0][f"{m}_{t}"], got[1][f"{m}_{t}"])
+
+
+def test_tree_step_is_the_learning_rate(spark):
+    # Two leaves with means 10 and 20: the first tree fits them whole, the second gets residual 0;
+    # a wider second level shows the step: 4 values, depth 1.
+    rows = [(1, 2000, m, float(m), y) for m, y in ((1, 0.0), (2, 4.0), (3, 20.0), (4, 24.0))]
+    df = spark.createDataFrame(rows, "station_id long, year int, month int, x double, y double")
+    from pyspark.ml.feature import VectorAssembler
+    data = VectorAssembler(inputCols=["x"], outputCol="features").transform(df)
+    p = C.TreeParams(max_iter=2, learning_rate=0.2, max_depth=1, subsampling_rate=1.0, feature_subset="all")
+    out = {r.month: r.p for r in learn._gbt("y", "p", p, 1).fit(data).transform(data).collect()}
+    # First tree: x <= 2 -> 2, else 22. Residuals -2, 2, -2, 2; the best stump splits off month 1 (-2 | 2/3)
+    # or month 4 (2 | -2/3); Spark fits twice the residual with half the rate: 0.2 times the residual's leaf mean.
+    first = {1: 2.0, 2: 2.0, 3: 22.0, 4: 22.0}
+    step = {m: out[m] - first[m] for m in first}
+    left = {1: 0.2 * -2, 2: 0.2 * 2 / 3, 3: 0.2 * 2 / 3, 4: 0.2 * 2 / 3}
+    right = {1: 0.2 * -2 / 3, 2: 0.2 * -2 / 3, 3: 0.2 * -2 / 3, 4: 0.2 * 2}
+    assert any(all(abs(step[m] - want[m]) < 1e-9 for m in want) for want in (left, right)), step
+
+
+def test_best_round_waits_for_patience():
+    assert learn.best_round([5, 4, 4.5, 3, 3.1, 3.2], 2) == 4
+    assert learn.best_round([5, 4, 4.5, 4.2, 1], 2) == 2
+    assert learn.best_round([1], 20) == 1
+
+
+def test_legacy_trainer_saves_serves_and_registers(spark, sf_small, tmp_path):
+    from fluvio.operators import features as feat
+    from fluvio.plans import registry
+    from fluvio.queries import _panel
+    lf = feat.legacy_frame(_panel(spark, sf_small))
+    model, scored = learn.fit_legacy(lf, C.LegacyParams(tree_rounds=4, tree_depth=3, partitions=4))
+    rows = {r.learner: r for r in learn.legacy_metrics(scored).collect()}
+    assert set(rows) == {"net", "tree", "ensemble"} and all(r.rmse >= 0 for r in rows.values())
+    model.save(str(tmp_path / "legacy"))
+    again = learn.LegacyModel.load(str(tmp_path / "legacy"))
+    a = sorted(r.ensemble for r in model.transform(lf).select("ensemble").collect())
+    b = sorted(r.ensemble for r in again.transform(lf).select("ensemble").collect())
+    assert np.allclose(a, b) and again.rounds == model.rounds
+    runs = registry.run_rows(learn.legacy_report(scored), str(tmp_path / "legacy"), "legacy")
+    registry.append_runs(runs, str(tmp_path / "runs"))
+    status = registry.model_status(registry.read_runs(spark, str(tmp_path / "runs")), str(tmp_path)).collect()
+    assert status and all(r.status == "loaded" for r in status)
+
+
+def test_wet_forecast_above_dry_and_bare_features(spark, sf_small):
+    frame = _train_frame(spark, sf_small)
+    ens = learn.fit_ensemble(frame, C.TrainConfig(tree=None, partitions=4))
+    rows = ens.predict_bare(frame.where("split = 'test'").select("station_id", "year", "month", *C.FEATURE_COLUMNS[::-1]))
+    g = rows.select("pred", "pred_A", "pred_B", "month_sin").collect()
+    assert g and all(min(r.pred_A, r.pred_B) - 1e-9 <= r.pred <= max(r.pred_A, r.pred_B) + 1e-9 for r in g)
+    none = ens.predict_bare(spark.createDataFrame([(1,)], "id int")).collect()[0]
+    assert none.pred is not None  # every feature absent counts as 0
 
 
 def test_stream_score_accounts_for_every_request(spark, sf_small):
     out = E.queries()["stream_score"](spark, sf_small)
-    from fluvio.queries import _frame
-    n_test = _frame(spark, sf_small).where("split = 'test'").count()
-    assert out.count() == n_test
+    assert out.count() == _train_frame(spark, sf_small).where("split = 'test'").count()
+
+
+def test_expired_stream_limit_raises(spark, sf_small, tmp_path):
+    from fluvio.streaming.streams import filtered_observations, run_available_now
+    s = filtered_observations(spark, sf_small, geometry_type="Point").select("id", "type")
+    with pytest.raises(TimeoutError):
+        run_available_now(s, str(tmp_path / "out"), str(tmp_path / "ck"), timeout_s=0.001)
+    run_available_now(s, str(tmp_path / "out"), str(tmp_path / "ck"))
+    want = spark.read.parquet(f"{sf_small}/events.parquet").where("event_id % 2 = 0").count()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == want
+
+
+def test_broken_request_line_keeps_its_text(spark, tmp_path):
+    from fluvio.operators.validate import split_valid
+    from fluvio.sources.requests import read_requests
+    (tmp_path / "r.json").write_text('{"request_id": "a", "year": 2001, "month": 3}\nno json\n')
+    ok, bad = split_valid(read_requests(spark, str(tmp_path)))
+    assert ok.count() == 0
+    got = {r.request_id: r for r in bad.collect()}
+    assert got[None].violations == ["unreadable request"] and got[None]["_corrupt_record"] == "no json"
 
 
-def test_legacy_trainer(spark, sf_small):
-    rows = {r.learner: r for r in E.queries()["train_legacy"](spark, sf_small).collect()}
-    assert set(rows) == {"net", "tree", "ensemble"}
-    assert all(r.rmse is not None and r.rmse >= 0 for r in rows.values())
+def test_station_without_test_rows_has_null_skill_and_risk(spark):
+    from fluvio.operators import metrics as M
+    df = spark.createDataFrame([(None, 1.0)], "o double, p double")
+    r = df.agg(*M.skill_exprs()).withColumn("coverage", F.lit(None).cast("double")).select("r2", M.risk_class("coverage", "pbias").alias("risk")).first()
+    assert r.r2 is None and r.risk is None
 
 
 def test_status_reports_missing_model_files(spark, tmp_path):
@@ -42,7 +137,7 @@ def test_status_reports_missing_model_files(spark, tmp_path):
              datetime.datetime(2024, 1, 1)),
             ("r0", 5, ["a"], m, m, lm, 1.0, 1.0, 1.2, 0.8, 10, 5, str(tmp_path / "older"), "v",
              datetime.datetime(2023, 1, 1))]
-    st = registry.model_status(spark.createDataFrame(rows, MODEL_RUNS)).collect()
+    st = registry.model_status(spark.createDataFrame(rows, MODEL_RUNS), str(tmp_path)).collect()
     assert len(st) == 1 and st[0].run_id == "r1"
     assert st[0].status == "not_loaded" and st[0].ready_for_prediction is False and st[0].message
 
@@ -64,16 +159,14 @@ def test_population_scaler_matches_original_convention(spark):
 
 def test_legacy_gate_mode_changes_prediction_not_reported_gate(spark, sf_small):
     from fluvio.operators.validate import split_valid
-    from fluvio.plans import learn, registry, score
-    from fluvio.queries import _frame, _trained
+    from fluvio.plans import score
+    from fluvio.queries import _frame, _serving
     from fluvio.sources.requests import requests_from_frame
-    t = _trained(spark, sf_small)
-    ens = learn.TrainedEnsemble.load(t["model"])
-    runs = registry.latest_runs(registry.read_runs(spark, t["runs"]))
+    model, runs = _serving(spark, sf_small)
     acc, _ = split_valid(requests_from_frame(_frame(spark, sf_small)))
     acc = acc.drop("violations").where("month = 6")  # recovered month 1 (wet) vs true month 6 (dry)
-    a = {r.request_id: r for r in score.score_requests(acc, ens, runs).collect()}
-    b = {r.request_id: r for r in score.score_requests(acc, ens, runs, gate_mode="legacy_sin").collect()}
+    a = {r.request_id: r for r in score.score_requests(acc, model, runs).collect()}
+    b = {r.request_id: r for r in score.score_requests(acc, model, runs, gate_mode="legacy_sin").collect()}
     assert a and set(a) == set(b)
     for k in a:
         assert a[k].model_components.gate == b[k].model_components.gate == 0.7

@@ -5,9 +5,31 @@ import re
 import pytest
 
 import __spark_entry__ as E
+from fluvio.queries import QUERIES
 
-SIDE_EFFECTS = {"train_eval", "train_legacy", "score_requests", "model_status", "stream_score",
-                "stream_obs_filter", "csv_scan", "scored_series", "export_tables"}
+SIDE_EFFECTS = {"train_eval", "score_requests", "model_status", "stream_score",
+                "stream_obs_filter", "csv_scan", "scored_series", "export_tables", "json_records", "json_requests"}
+OWN = [n for n in sorted(E.queries()) if n in set(QUERIES) - SIDE_EFFECTS]
+
+
+def _scans(plan, table):
+    return len(re.findall(rf"FileScan parquet [^\n]*{table}\.parquet", plan))
+
+
+@pytest.mark.parametrize("name,table", [("impute_train_mean", "lineitem"), ("geo_quality", "events"), ("station_skill", "lineitem")])
+def test_facts_are_scanned_once(spark, sf_small, name, table):
+    assert _scans(_plan(spark, name, sf_small), table) == 1
+
+
+def test_stored_panel_spreads_a_year(spark, sf_small, tmp_path):
+    from fluvio.sources import panel as P
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        P.write_station_month(P.station_month(spark, sf_small).where("year = 1997"), str(tmp_path / "p"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert len(list((tmp_path / "p" / "year=1997").glob("*.parquet"))) > 1
 
 
 def _plan(spark, name, sf):
@@ -39,7 +61,7 @@ def test_panel_scan_prunes_columns(spark, sf_small):
            "l_extendedprice:double,l_discount:double,l_tax:double,l_shipdate:timestamp_ntz>" in plan
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - SIDE_EFFECTS))
+@pytest.mark.parametrize("name", OWN)
 def test_no_cartesian_or_nested_loop(spark, sf_small, name):
     plan = _plan(spark, name, sf_small)
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
