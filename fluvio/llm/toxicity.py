@@ -225,7 +225,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0) -> np.ndarray:
 BROADCAST_LABELS = 1 << 21
 
 
-def fit(docs: DataFrame, labels: DataFrame, min_docs: int = 3, least: float = 2.0, max_features: int = 200_000, max_train_rows: int = 50_000) -> Toxicity:
+def fit(docs: DataFrame, labels: DataFrame, min_docs: int = 3, least: float = 1.5, max_features: int = 200_000, max_train_rows: int = 50_000) -> Toxicity:
     """The model from ``docs`` (all texts for the character model) and ``labels`` (``doc_id, label``)."""
     spark = docs.sparkSession
     channel = Channel.learned(letter_counts(docs))
