@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
 
@@ -44,6 +46,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder (checkpoints, model and run tables)")
         d = tempfile.mkdtemp(prefix="fluvio-ckpt-")
+        atexit.register(shutil.rmtree, d, ignore_errors=True)  # our own folder; one that the session names is its owner's
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)

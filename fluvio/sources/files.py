@@ -56,7 +56,7 @@ def response_projection(series: DataFrame, digits: int = 2) -> DataFrame:
 
 def served_test_data(spark: SparkSession, path: str, station_id: int | None = None) -> DataFrame:
     """The stored test series as served: optionally one station (a pushed
-    ``station_id = k`` filter on the range-partitioned files), ordered by
+    ``station_id = k`` filter), ordered by
     month, values rounded for the response (B18)."""
     series = read_scored_series(spark, path)
     if station_id is not None:
