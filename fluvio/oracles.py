@@ -19,7 +19,7 @@ def rnd(expr: str) -> str:
     x = f"(CAST({expr} AS DOUBLE) * (1.0 + CAST({NUDGE!r} AS DOUBLE)))"
     k = f"least({PLACES}, {DIGITS - 1} - floor(log10(abs({x}))))"
     scale = f"pow(CAST(10 AS DOUBLE), abs({k}))"
-    return (f"(CASE WHEN {x} = 0 THEN CAST(0 AS DOUBLE) WHEN {k} >= 0 THEN round({x} * {scale}) / {scale} "
+    return (f"(CASE WHEN abs({x}) < 0.5 * pow(CAST(10 AS DOUBLE), -{PLACES}) THEN CAST(0 AS DOUBLE) WHEN {k} >= 0 THEN round({x} * {scale}) / {scale} "
             f"ELSE round({x} / {scale}) * {scale} END)")
 
 

@@ -15,11 +15,17 @@ NUDGE = 1e-12
 
 
 def round_value(c, digits: int = DIGITS, places: int = PLACES):
-    """Nine significant digits, none finer than 1e-6: one rule for every value."""
-    v = c.cast("double") * F.lit(1.0 + NUDGE)
-    k = F.least(F.lit(places), F.lit(digits - 1) - F.floor(F.log10(F.abs(v))))
-    scale = F.pow(F.lit(10.0), F.abs(k).cast("double"))
-    return F.when(v == 0, F.lit(0.0)).when(k >= 0, F.round(v * scale) / scale).otherwise(F.round(v / scale) * scale)
+    """Nine significant digits, none finer than 1e-6: one rule for every value.
+
+    The lambda over a one-element array names the value once, which keeps the
+    generated code of wide results small.
+    """
+    def rule(v):
+        k = F.least(F.lit(places), F.lit(digits - 1) - F.floor(F.log10(F.abs(v))))
+        scale = F.pow(F.lit(10.0), F.abs(k).cast("double"))
+        return F.when(F.abs(v) < 0.5 * 10.0 ** -places, F.lit(0.0)).when(k >= 0, F.round(v * scale) / scale).otherwise(F.round(v / scale) * scale)
+
+    return F.transform(F.array(c.cast("double") * F.lit(1.0 + NUDGE)), rule)[0]
 
 
 def rounded(df: DataFrame) -> DataFrame:
