@@ -15,11 +15,14 @@
    tree once; overlaps counted on a shared path are kept for all sets below it,
    and a subtree goes when its overlap so far plus the length that remains
    cannot reach what is needed.
-4. A group of classes at one n-gram is never paired with itself as a whole.
-   First all its classes are compared with its least class, then with the least
-   that is still apart from it; groups whose classes have become one component
-   are done. Only classes still in different components are compared pairwise.
-   Components, not links, are wanted, so a pair inside one need not be looked at.
+4. A group of classes at one n-gram is not paired with itself as a whole. It is
+   compared with one of its classes at a time, the likeliest centre first (the
+   class with the fewest n-grams of its own); that class is then settled there,
+   and so is a group whose classes have become one component. Components, not
+   links, are wanted, so a pair inside one need not be looked at. When few
+   pairs are left for a row, those still in different components are compared
+   pairwise, which ends it exactly. Sizes, n-grams of their own and a 256-bit
+   parity sketch rule out most dissimilar pairs before any is formed.
 
 Defined results: null or empty texts have no n-grams and link with nothing;
 a text of fewer than ``n`` words has its whole sequence as its one n-gram;
@@ -34,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fluvio.llm import words as W
@@ -43,11 +46,23 @@ from fluvio.llm.components import components
 from fluvio.llm.decontaminate import document_key
 
 #: N-grams of a block of documents.
-BLOCK = 1 << 22
+BLOCK = 1 << 21
 #: Bytes of input (as stored) for each part of the n-grams.
 PART_BYTES = 8 << 20
 #: Set elements of a prefix tree.
 TREE = 1 << 20
+#: Groups are compared with one probe at a time while more than so many pairs for a row are left, and for so many rounds.
+FEW, ROUNDS = 3, 3
+
+
+#: Columns of a set's sketch: the parities of its shareable n-grams in 256 hash buckets.
+SKETCH = ("k0", "k1", "k2", "k3")
+
+
+def parity(key: np.ndarray) -> np.ndarray:
+    """Two sets' sketches differ in no more bits than the sets differ in elements."""
+    bits = (np.bincount((key >> np.uint64(17)).astype(np.int64) & 255, minlength=256) & 1).astype(np.uint8)
+    return np.packbits(bits).view(np.int64)
 
 
 def needed(n: np.ndarray | int, percent: int):
@@ -200,6 +215,19 @@ def verified(pairs: DataFrame, classes: DataFrame, percent: int, tree: int = TRE
     return others.groupBy("probe", "block").cogroup(probes.groupBy("own", "own_block")).applyInArrow(walk, "a bigint, b bigint")
 
 
+def _apart(met: DataFrame) -> DataFrame:
+    """The rows (``token, cid, n, private, label`` and sketch) of n-grams whose classes are not all of one component."""
+    apart = met.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("token")
+    return write_table(met.join(apart, "token").select("token", "cid", "n", "private", "label", *SKETCH), "jaccard-met")
+
+
+def _left(met: DataFrame) -> tuple[int, int]:
+    """(rows, pairs of classes of different components at one n-gram)."""
+    each = met.groupBy("token", "label").agg(F.count("*").alias("k")).groupBy("token").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("same"))
+    r = each.agg(F.sum("k").alias("rows"), F.sum((F.col("k") * F.col("k") - F.col("same")) / 2).alias("pairs")).first()
+    return r.rows or 0, int(r.pairs or 0)
+
+
 def similar(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """``rid, doc_id, doc_key, n_shingles, component_id``, one row for a row of ``docs``."""
     spark = docs.sparkSession
@@ -210,39 +238,45 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [W.unpack(t)[:p] for t, p in zip(batch.column("tokens").to_pylist(), batch.column("prefix").to_pylist())]
+            sets_ = [W.unpack(t) for t in batch.column("tokens").to_pylist()]
+            keys = [k[:p] for k, p in zip(sets_, batch.column("prefix").to_pylist())]
             if keys:
                 each = np.array([len(k) for k in keys])
-                yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(batch.column("cid").to_numpy(), each)),
-                                       pa.array(np.repeat(batch.column("n").to_numpy(), each))], names=["token", "cid", "n"])
-
-    met = map_arrow(classes.select("cid", "n", "tokens", "prefix"), prefixes, "token bigint, cid bigint, n int")
-    several = met.groupBy("token").agg(F.min("cid").alias("probe"), F.max("cid").alias("last")).where("probe < last").select("token", "probe")
-    met = write_table(met.join(several.select("token"), "token"), "jaccard-met")
+                size = batch.column("n").to_numpy()
+                private = size - np.array([len(k) for k in sets_], dtype=np.int32)
+                sketch = np.stack([parity(k) for k in sets_])
+                yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), *[pa.array(np.repeat(c, each)) for c in (
+                    batch.column("cid").to_numpy(), size, private.astype(np.int32), *sketch.T)]], names=["token", "cid", "n", "private", *SKETCH])
+
+    met = map_arrow(classes.select("cid", "n", "tokens", "prefix"), prefixes, "token bigint, cid bigint, n int, private int, " + ", ".join(f"{k} bigint" for k in SKETCH))
+    met = _apart(met.withColumn("label", F.col("cid")))
     edges = spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
-    near = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
-    size = classes.select(F.col("cid").alias("probe"), F.col("n").alias("probe_n"))
-    label = None
-    for _ in range(2):
-        # All classes at an n-gram against the least one, then against the least one outside its component.
-        if label is None:
-            probes = met.groupBy("token").agg(F.min("cid").alias("probe"))
-        else:
-            least = met.groupBy("token").agg(F.min(F.struct("cid", "label")).alias("l"))
-            probes = met.join(least, "token").where(F.col("label") != F.col("l.label")).groupBy("token").agg(F.min("cid").alias("probe"))
-        pairs = met.join(write_table(probes.join(size, "probe"), "jaccard-probes"), "token").where((F.col("cid") != F.col("probe")) & near(F.col("n"), F.col("probe_n")))
-        if label is not None:
-            own = label.select(F.col("node").alias("probe"), F.col("label").alias("probe_label"))
-            pairs = pairs.join(own, "probe", "left").where(F.col("label") != F.coalesce("probe_label", "probe"))
-        pairs = pairs.select("probe", F.col("cid").alias("other")).distinct()
+
+    def may_link(other: str) -> Column:
+        """Whether sizes and sketches allow a class and one whose columns start with ``other`` to be similar."""
+        n, m = F.col("n"), F.col(f"{other}n")
+        both = n + m
+        differ = sum((F.bit_count(F.col(k).bitwiseXOR(F.col(f"{other}{k}"))) for k in SKETCH), F.col("private") + F.col(f"{other}private"))
+        overlap = F.ceil(percent * both / (100 + percent))
+        return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (differ <= both - 2 * overlap)
+
+    for _ in range(ROUNDS):
+        rows, pairs = _left(met)
+        if pairs <= FEW * rows:
+            break
+        # The class with the fewest n-grams of its own is the likeliest centre of a group.
+        row = ["private", "cid", "n", "label", *SKETCH]
+        probes = write_table(met.groupBy("token").agg(F.min(F.struct(*row)).alias("p")).select("token", *[F.col(f"p.{c}").alias(f"p_{c}") for c in row]), "jaccard-probes")
+        faced = met.join(probes, "token")
+        pairs = met.join(probes, (met.token == probes.token) & (F.col("label") != F.col("p_label")) & may_link("p_")).select(F.col("p_cid").alias("probe"), F.col("cid").alias("other")).distinct()
         edges = write_table(edges.union(verified(pairs, classes, percent)), "jaccard-edges")
-        label = write_table(components(edges), "jaccard-labels")
-        met = met.drop("label").join(label.select(F.col("node").alias("cid"), "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-        apart = met.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("token")
-        met = write_table(met.join(apart, "token"), "jaccard-met")
-    other = met.select("token", F.col("cid").alias("other"), F.col("n").alias("other_n"), F.col("label").alias("other_label"))
-    rest = met.join(other, "token").where((F.col("cid") < F.col("other")) & (F.col("label") != F.col("other_label")) & near(F.col("n"), F.col("other_n")))
-    edges = write_table(edges.union(verified(rest.select(F.col("cid").alias("probe"), "other").distinct(), classes, percent)), "jaccard-edges")
+        label = components(edges).select(F.col("node").alias("cid"), F.col("label").alias("now"))
+        # A probe has met its whole group, so its pairs there are settled.
+        rest = faced.where("cid <> p_cid").select(*met.columns).join(label, "cid", "left")
+        met = _apart(rest.withColumn("label", F.coalesce("now", "label")).drop("now"))
+    other = met.select(*[F.col(c).alias(f"o_{c}") for c in met.columns])
+    rest = met.join(other, (F.col("token") == F.col("o_token")) & (F.col("cid") < F.col("o_cid")) & (F.col("label") != F.col("o_label")) & may_link("o_"))
+    edges = write_table(edges.union(verified(rest.select(F.col("cid").alias("probe"), F.col("o_cid").alias("other")).distinct(), classes, percent)), "jaccard-edges")
     label = components(edges).select(F.col("node").alias("cid"), "label")
     classes = classes.join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     least = classes.groupBy("label").agg(F.min("least").alias("component_id"))
