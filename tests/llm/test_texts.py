@@ -256,6 +256,24 @@ def test_jaccard_chains_and_apart_groups(spark):
     assert rows_of(got) == sorted(components_by_hand(rows), key=repr)
 
 
+def test_jaccard_star_of_copies(spark, monkeypatch):
+    """Copies that are similar to their base but not to one another, over many partitions; rounds and the exact end agree."""
+    import random
+    rng = random.Random(2)
+    base = sentence(rng, 200).split()
+    rows = [(1000, " ".join(base))]
+    for i in range(60):
+        w = list(base)
+        for k in rng.sample(range(200), 5):
+            w[k] = f"edit{i}x{k}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    want = sorted(components_by_hand(rows), key=repr)
+    for few in (3, 10**9):
+        monkeypatch.setattr(jaccard, "FEW", few)
+        assert rows_of(jaccard.similar(docs).select("doc_id", "n_shingles", "component_id")) == want
+
+
 def test_prefix_tree_counts_overlaps():
     rng = np.random.default_rng(0)
     sets = [np.sort(rng.choice(60, rng.integers(1, 40), replace=False)).astype(np.uint64) for _ in range(80)]
