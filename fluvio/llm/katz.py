@@ -49,7 +49,7 @@ K = 5
 #: Bound on the words that are broadcast (16 bytes each, and 16 more with their backoff).
 HEADS = 1 << 20
 #: Tokens of a block of documents.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 #: Bytes of input (as stored) for each part of the bigrams.
 PART_BYTES = 8 << 20
 
