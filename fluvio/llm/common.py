@@ -50,6 +50,9 @@ def send_package(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.applicationId in _SENT:
         return
+    for key, most in _BATCHES.items():
+        if not sc.getConf().contains(key):
+            spark.conf.set(key, str(most))
     root = Path(__file__).resolve().parents[1]
     folder = tempfile.mkdtemp(prefix=f"{root.name}-package-")  # the driver serves the file from here until it ends
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
@@ -61,8 +64,12 @@ def send_package(spark: SparkSession) -> None:
     _SENT.add(sc.applicationId)
 
 
+#: Bounds of the batches that Spark hands to a Python worker, set where the session has Spark's own.
+_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20, "spark.sql.execution.arrow.maxRecordsPerBatch": 2_000}
+
+
 def map_arrow(df: DataFrame, function, schema) -> DataFrame:
-    """``df.mapInArrow`` with this package at hand on the executors."""
+    """``df.mapInArrow`` with this package at hand on the executors and batches of a few megabytes."""
     send_package(df.sparkSession)
     return df.mapInArrow(function, schema)
 

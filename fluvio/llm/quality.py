@@ -82,7 +82,7 @@ def statistics(col: pa.Array) -> np.ndarray:
 def document_features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, features array<float>``, one row for a row of ``docs``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text", 1 << 21):
+        for batch in chunks(batches, "text", 1 << 20):
             flat = pa.array(statistics(batch.column("text")).reshape(-1), pa.float32())
             offsets = pa.array(np.arange(batch.num_rows + 1) * len(FEATURES), pa.int32())
             yield pa.record_batch([batch.column("doc_id"), pa.ListArray.from_arrays(offsets, flat)], names=["doc_id", "features"])
@@ -189,12 +189,11 @@ def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold
     model = fit(f, need(labels, doc_id="doc_id", label="quality").where(~held_out("doc_id", 4, 2)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "__text", 1 << 21):
-            x = statistics(batch.column(batch.num_columns - 1))
-            yield batch.filter(pa.array(model.score(x) >= threshold)).select(range(batch.num_columns - 1))
+        for batch in chunks(batches, "text", 1 << 20):
+            x = statistics(batch.column("text").cast(pa.binary()))
+            yield batch.filter(pa.array(model.score(x) >= threshold))
 
-    rows = docs.withColumn("__text", F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
-    return map_arrow(rows, run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 def op8_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
