@@ -26,6 +26,7 @@ result; further columns play no part.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -57,9 +58,13 @@ _INDEX = {c: i + 1 for i, c in enumerate(LETTERS)}
 
 _SIGNS = "".join(STANDS_FOR)
 _WORD = regex.compile(r"\p{L}+")
-#: A token with a sign or separator next to a letter inside it, or a letter three times in a row.
+#: A sign or separator between letters, a leading sign, a sign after a letter, or a letter three times in a row.
 _DISGUISED = regex.compile(
-    r"(?<!\S)\S*?(?:\p{L}[%s]+(?=[%s]*\p{L})|(?<![^\s])[%s]+\p{L}|\p{L}[0-9@$!|+]|(\p{L})\1\1)\S*" % ((regex.escape(_SIGNS + SEPARATORS, special_only=False),) * 2 + (regex.escape(_SIGNS, special_only=False),)))
+    r"\p{L}[%s]+(?=\p{L})|^[%s]+\p{L}|\p{L}[0-9@$!|+]|(\p{L})\1\1" % (regex.escape(_SIGNS + SEPARATORS, special_only=False), regex.escape(_SIGNS, special_only=False)))
+#: Identifiers are no disguised words: addresses and long hexadecimal strings.
+_IDENTIFIER = regex.compile(r"://|@[\w-]+\.\p{L}|^[0-9a-f]{8,}$")
+#: The longest disguised word, separators included.
+LONGEST = 32
 #: Single characters kept apart by blanks.
 _SPACED = regex.compile(r"(?<!\S)(?:[\p{L}%s] ){3,}[\p{L}%s](?!\S)" % ((regex.escape(_SIGNS, special_only=False),) * 2))
 
@@ -151,20 +156,36 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
+def read_token(token: str, channel: Channel) -> tuple[list[str], str]:
+    """(plain words in a lower-case token, the restored word behind it or nothing)."""
+    plain = _WORD.findall(token)
+    core = token.strip(".,;:?\"'#%&*()[]{}-_~")
+    if len(core) > 2 and core[-1] in "$!|+" and core[-2] in "$!|+":
+        core = core.rstrip("$!|+")  # decoration; a single sign may stand for the last letter
+    if 2 < len(core) <= LONGEST and _DISGUISED.search(core) and not _IDENTIFIER.search(core):
+        return plain, channel.restore(core)
+    return plain, ""
+
+
+def read_spaced(text: str, channel: Channel) -> set[str]:
+    """The words of a lower-case text whose letters are kept apart by blanks."""
+    return {channel.restore(m[0].replace(" ", "")) for m in _SPACED.finditer(text)} - {""}
+
+
+def may_be_spaced(texts: list[bytes]) -> list[bool]:
+    """Whether single characters stand between blanks twice running: only such texts can hold spaced words."""
+    out = []
+    for t in texts:
+        b = np.frombuffer(t, dtype=np.uint8) == 0x20
+        out.append(len(b) > 6 and bool((b[:-4] & b[2:-2] & b[4:]).any() or (len(b) < 16 and b.any())))
+    return out
+
+
 def words(text: str, channel: Channel) -> tuple[set[str], set[str], int]:
-    """(distinct words of the text, distinct restored words, number of words)."""
-    text = text.lower()
-    plain = _WORD.findall(text)
-    restored = set()
-    for m in _DISGUISED.finditer(text):
-        token = m[0].strip(".,;:?\"'#%&*()[]{}-_~")
-        while token and token[-1] in "$!|+" and token[-2:-1] in "$!|+":
-            token = token[:-1]
-        if 2 < len(token) <= 64:
-            restored.add(channel.restore(token))
-    for m in _SPACED.finditer(text):
-        restored.add(channel.restore(m[0].replace(" ", "")))
-    return set(plain), restored - {""}, len(plain)
+    """(distinct words of the text, distinct restored words, number of tokens)."""
+    tokens = text.lower().split()
+    read = [read_token(t, channel) for t in set(tokens)]
+    return {w for plain, _ in read for w in plain}, ({r for _, r in read} | read_spaced(text.lower(), channel)) - {""}, len(tokens)
 
 
 def features(word: str) -> list[str]:
@@ -181,22 +202,33 @@ class Toxicity:
     def __post_init__(self):
         whole = sorted((f for f in self.weights if f[-1] != "-" and len(f) > 3), key=len, reverse=True)
         self.inside = regex.compile("|".join(map(regex.escape, whole))) if whole else None
-        self.memo: dict[str, float] = {}
-
-    def evidence(self, text: str) -> tuple[float, float, float]:
-        plain, restored, n = words(text, self.channel)
-        found = []
-        for w in plain | restored:
-            e = self.memo.get(w)
+        self.memo: dict[str, tuple] = {}
+
+    def _of(self, w: str) -> float:
+        return max((self.weights.get(f, 0.0) for f in features(w)), default=0.0)
+
+    def evidence(self, text: str, spaced: bool = True) -> tuple[float, float, float]:
+        """(strongest evidence, log of 1 + words with evidence, their share in percent). Equal tokens are read once in a task."""
+        text, memo = text.lower(), self.memo
+        tokens = text.split()
+        found: dict[str, float] = {}
+        for t in set(tokens):
+            e = memo.get(t)
             if e is None:
-                if len(self.memo) > 500_000:
-                    self.memo.clear()
-                e = self.memo[w] = max((self.weights.get(f, 0.0) for f in features(w)), default=0.0)
+                if len(memo) > 1_000_000:
+                    memo.clear()
+                plain, restored = read_token(t, self.channel)
+                e = memo[t] = tuple((w, x) for w in {*plain, restored} - {""} if (x := self._of(w)))
             if e:
-                found.append(e)
-        if self.inside is not None and not found:  # several words spelt apart read as one
-            found = [self.weights[m] for w in restored if len(w) > 6 for m in self.inside.findall(w)]
-        return max(found, default=0.0), math.log1p(len(found)), 100.0 * len(found) / max(n, 1)
+                found.update(e)
+        if spaced:
+            for w in read_spaced(text, self.channel):
+                x = self._of(w)
+                if not x and self.inside is not None and len(w) > 6:  # several words spelt apart read as one
+                    x = max((self.weights[m] for m in self.inside.findall(w)), default=0.0)
+                if x:
+                    found[w] = x
+        return max(found.values(), default=0.0), math.log1p(len(found)), 100.0 * len(found) / max(len(tokens), 1)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.beta[0] + x @ self.beta[1:], -500, 500)))
@@ -234,29 +266,51 @@ def fit(docs: DataFrame, labels: DataFrame, min_docs: int = 3, least: float = 1.
     labelled = lambda y: _rows(docs).join(F.broadcast(y) if small else y, "doc_id")
     known = spark.sparkContext.broadcast(channel)
 
-    def of(batches: Iterator[pa.RecordBatch], wanted: set[str] | None) -> Iterator[pa.RecordBatch]:
-        import xxhash
+    # Equal texts count once: one labelled row stands for them.
+    texts = labelled(y).groupBy(F.xxhash64("text").alias("key")).agg(F.min("doc_id").alias("doc_id"), F.max("label").alias("label"))
+    y = write_table(texts.select("doc_id", "label"), "toxic-texts")
+
+    def count(batches: Iterator[pa.RecordBatch], wanted: set[str] | None) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, list[str]] = {}
+        seen: tuple[Counter, Counter] = Counter(), Counter()
+
+        def send() -> pa.RecordBatch:
+            f = list(seen[0].keys() | seen[1].keys())
+            return pa.record_batch([pa.array(f, pa.string()), *[pa.array([seen[k][x] for x in f], pa.int64()) for k in (1, 0)]], names=["f", "a", "b"])
 
         for batch in chunks(batches, "text", 1 << 20):
-            key, found, size = [], [], []
-            for text in batch.column("text").to_pylist():
-                plain, restored, n = words(text.decode("utf-8", "replace"), known.value)
-                f = {x for w in plain | restored for x in features(w)}
-                key.append(xxhash.xxh3_64_intdigest(text) - (1 << 63))
-                found.append(list(f if wanted is None else f & wanted))
-                size.append(n)
-            yield pa.record_batch([pa.array(key, pa.int64()), batch.column("label"), pa.array(found, pa.list_(pa.string()))], names=["key", "label", "found"])
-
-    schema = "key bigint, label int, found array<string>"
-    one = lambda df: df.groupBy("key").agg(F.max("label").alias("label"), F.first("found").alias("found"))  # noqa: E731  equal texts count once
-    toxic = one(map_arrow(labelled(y.where("label = 1")), lambda b: of(b, None), schema))
-    often = toxic.select(F.explode("found").alias("f")).groupBy("f").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
-    candidates = set(often.orderBy(F.desc("n"), "f").limit(max_features).toArrow().column("f").to_pylist())
-    wanted = spark.sparkContext.broadcast(candidates)
-    rows = write_table(one(map_arrow(labelled(y), lambda b: of(b, wanted.value), schema)), "toxic-features")
-    size = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+            texts_ = batch.column("text").to_pylist()
+            for raw, spaced, label in zip(texts_, may_be_spaced(texts_), batch.column("label").to_pylist()):
+                text, found = raw.decode("utf-8", "replace").lower(), set()
+                for t in set(text.split()):
+                    have = memo.get(t)
+                    if have is None:
+                        if len(memo) > 300_000:
+                            memo.clear()
+                        plain, restored = read_token(t, known.value)
+                        have = {x for w in {*plain, restored} - {""} for x in features(w)}
+                        have = memo[t] = list(have if wanted is None else have & wanted)
+                    found.update(have)
+                if spaced:
+                    more = {x for w in read_spaced(text, known.value) for x in features(w)}
+                    found |= more if wanted is None else more & wanted
+                seen[label].update(found)
+            if len(seen[0]) + len(seen[1]) > 400_000:
+                yield send()
+                seen[0].clear()
+                seen[1].clear()
+        yield send()
+
+    def counted(y: DataFrame, wanted=None) -> DataFrame:
+        """``f, a, b``: texts with a feature, toxic and other."""
+        run = lambda batches: count(batches, wanted.value if wanted else None)
+        return map_arrow(labelled(y).select("text", "label"), run, "f string, a bigint, b bigint").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+
+    often = counted(y.where("label = 1")).where(F.col("a") >= min_docs)
+    candidates = set(often.orderBy(F.desc("a"), "f").limit(max_features).toArrow().column("f").to_pylist())
+    seen = counted(y, spark.sparkContext.broadcast(candidates))
+    size = {r.label: r.n for r in y.groupBy("label").agg(F.count("*").alias("n")).collect()}
     pos, neg = size.get(1, 0), size.get(0, 0)
-    seen = rows.select("label", F.explode("found").alias("f")).groupBy("f").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
     a, b = F.col("a") + 0.5, F.col("b") + 0.5
     weight = F.log(a / (pos + 1)) - F.log(b / (neg + 1)) - 2 * F.sqrt(1 / a + 1 / b)
     got = seen.select("f", weight.alias("w")).where(F.col("w") >= least).toArrow()  # candidates at most
@@ -276,7 +330,8 @@ def _evidence(rows: DataFrame, model: Toxicity, *keep: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = known.value
         for batch in chunks(batches, "text", 1 << 20):
-            x = np.array([m.evidence(t.decode("utf-8", "replace")) for t in batch.column("text").to_pylist()]).reshape(-1, 3)
+            texts = batch.column("text").to_pylist()
+            x = np.array([m.evidence(t.decode("utf-8", "replace"), s) for t, s in zip(texts, may_be_spaced(texts))]).reshape(-1, 3)
             yield pa.record_batch([*[batch.column(c) for c in keep], *[pa.array(np.ascontiguousarray(c)) for c in x.T], pa.array(m.score(x))],
                                   names=[*keep, "strongest", "words", "share", "score"])
 
