@@ -9,8 +9,9 @@
    nothing as quotient and remainder together are the whole fingerprint. A
    text copied a billion times is one entry of each partition's filter.
 3. Fingerprints counted once are unique texts. Those counted more often route
-   their documents to byte verification: rows are grouped by the normalised
-   bytes themselves, so a fingerprint collision cannot join different texts.
+   their documents to byte verification: their texts are grouped by the
+   normalised bytes themselves, so a fingerprint collision cannot join
+   different texts; each row then meets its group by the text's SHA-256.
 
 Defined results: null text counts as empty; of equal texts the row with the
 largest id stays (a null id loses against any other); of wholly repeated rows
@@ -26,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fluvio.llm import words as W
@@ -136,19 +137,36 @@ def repeated_fingerprints(prints: DataFrame, range_rows: int = RANGE_ROWS) -> Da
     return filters.groupBy("range").applyInArrow(merge, "fp bigint, n bigint")
 
 
+def verified_groups(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``fp, sha, keep_id, group_size`` of the texts with a repeated fingerprint, grouped by their very bytes.
+
+    Copies collapse within a task before any shuffle, so a hot text sends one
+    row a task. After the bytes have decided, the SHA-256 names the group; two
+    texts with one SHA-256 would end the job.
+    """
+    rows = fingerprinted(docs, texts=True).join(repeated, "fp")
+    groups = rows.groupBy("fp", "norm").agg(F.first("sha").alias("sha"), F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).drop("norm")
+    groups = write_table(groups, "dedup-groups")
+    if groups.groupBy("fp", "sha").count().where("count > 1").limit(1).count():
+        raise RuntimeError("two different texts have the same SHA-256")
+    return groups
+
+
 def exact_groups(docs: DataFrame) -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256``, one row for a row of ``docs``."""
     prints = write_table(fingerprinted(docs, texts=False), "dedup-prints")
     repeated = write_table(repeated_fingerprints(prints), "dedup-repeated").select("fp")
-    alone = prints.join(repeated, "fp", "left_anti").select(
+    groups = verified_groups(docs, repeated)
+    # Both sides are plain tables of narrow rows, so Spark splits the rows of a hot text over tasks.
+    rows = write_table(prints.join(groups, ["fp", "sha"], "left"), "dedup-rows")
+    keeper = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    alone = rows.where("group_size IS NULL").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
-    # Byte verification. The id is in the first key, so rows of a hot text meet in many tasks; equal rows become one with a count.
-    rows = fingerprinted(docs, texts=True).join(repeated, "fp").groupBy("fp", "norm", "doc_id").agg(F.count("*").alias("times"), F.first("sha").alias("sha"))
-    groups = rows.groupBy("fp", "norm").agg(F.max("doc_id").alias("keep_id"), F.sum("times").alias("group_size"))
-    copies = rows.join(groups, ["fp", "norm"]).select(
-        "doc_id", "keep_id", "group_size", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("nth"), F.col("sha").alias("text_sha256"))
-    copies = copies.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)).alias("kept"), "text_sha256")
-    return alone.union(copies)
+    grouped = rows.where("group_size IS NOT NULL")
+    cols = ["doc_id", "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256")]
+    others = grouped.where(~keeper).withColumn("kept", F.lit(False)).select(*cols)
+    nth = F.row_number().over(Window.partitionBy("fp", "sha").orderBy("doc_id"))  # over the keepers alone: one, unless a row is repeated
+    return alone.union(others).union(grouped.where(keeper).withColumn("kept", nth == 1).select(*cols))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
