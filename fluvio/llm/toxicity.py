@@ -2,7 +2,8 @@
 
 1. A character trigram model is counted over the plain words of all documents.
 2. Disguised tokens - digits or signs for letters, letters repeated three or
-   more times, letters kept apart by signs or blanks - become a lattice: every
+   more times, letters kept apart by signs or white space, of any length -
+   become a lattice: every
    character may be itself, a letter it stands for, a shorter run, or nothing (a
    separator), each at a channel cost. Viterbi search under the character
    model picks the restored word. Equal tokens are decoded once in a task.
@@ -61,12 +62,16 @@ _WORD = regex.compile(r"\p{L}+")
 #: A sign or separator between letters, a leading sign, a sign after a letter, or a letter three times in a row.
 _DISGUISED = regex.compile(
     r"\p{L}[%s]+(?=\p{L})|^[%s]+\p{L}|\p{L}[0-9@$!|+]|(\p{L})\1\1" % (regex.escape(_SIGNS + SEPARATORS, special_only=False), regex.escape(_SIGNS, special_only=False)))
-#: Identifiers are no disguised words: addresses and long hexadecimal strings.
-_IDENTIFIER = regex.compile(r"://|@[\w-]+\.\p{L}|^[0-9a-f]{8,}$")
-#: The longest disguised word, separators included.
-LONGEST = 32
-#: Single characters kept apart by blanks.
-_SPACED = regex.compile(r"(?<!\S)(?:[\p{L}%s] ){3,}[\p{L}%s](?!\S)" % ((regex.escape(_SIGNS, special_only=False),) * 2))
+#: Identifiers are no disguised words: web addresses and long hexadecimal strings, as whole tokens.
+_IDENTIFIER = regex.compile(r"^(?:https?|ftp)://|^[0-9a-f]{8,}$")
+#: Signs that end a word where the blank after them is missing.
+_STOPS = regex.compile(r"[.,;:?]+")
+#: White space as ``str.split`` takes it.
+_BLANK = r"\s\x1c-\x1f"
+#: Single characters kept apart by white space.
+_SPACED = regex.compile(r"(?<![^%s])(?:[\p{L}%s][%s]+){3,}[\p{L}%s](?![^%s])" % (_BLANK, *(regex.escape(_SIGNS, special_only=False), _BLANK) * 2))
+#: Longer tokens are read each time and not kept.
+KEPT = 64
 
 
 def letter_counts(docs: DataFrame) -> DataFrame:
@@ -114,9 +119,11 @@ class Channel:
         """The likeliest word (lower case) behind a disguised token."""
         known = self.memo.get(token)
         if known is None:
-            if len(self.memo) > 200_000:
-                self.memo.clear()
-            known = self.memo[token] = self._viterbi(token)
+            known = self._viterbi(token)
+            if len(token) <= KEPT:
+                if len(self.memo) > 200_000:
+                    self.memo.clear()
+                self.memo[token] = known
         return known
 
     def _viterbi(self, token: str) -> str:
@@ -156,36 +163,41 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def read_token(token: str, channel: Channel) -> tuple[list[str], str]:
-    """(plain words in a lower-case token, the restored word behind it or nothing)."""
+def read_token(token: str, channel: Channel) -> tuple[list[str], set[str]]:
+    """(plain words in a lower-case token, the restored words behind it: of the whole, and of its parts between stops)."""
     plain = _WORD.findall(token)
     core = token.strip(".,;:?\"'#%&*()[]{}-_~")
     if len(core) > 2 and core[-1] in "$!|+" and core[-2] in "$!|+":
         core = core.rstrip("$!|+")  # decoration; a single sign may stand for the last letter
-    if 2 < len(core) <= LONGEST and _DISGUISED.search(core) and not _IDENTIFIER.search(core):
-        return plain, channel.restore(core)
-    return plain, ""
-
-
-def read_spaced(text: str, channel: Channel) -> set[str]:
-    """The words of a lower-case text whose letters are kept apart by blanks."""
-    return {channel.restore(m[0].replace(" ", "")) for m in _SPACED.finditer(text)} - {""}
-
-
-def may_be_spaced(texts: list[bytes]) -> list[bool]:
-    """Whether single characters stand between blanks twice running: only such texts can hold spaced words."""
-    out = []
-    for t in texts:
-        b = np.frombuffer(t, dtype=np.uint8) == 0x20
-        out.append(len(b) > 6 and bool((b[:-4] & b[2:-2] & b[4:]).any() or (len(b) < 16 and b.any())))
-    return out
+    if not _DISGUISED.search(core) or _IDENTIFIER.search(core):
+        return plain, set()
+    parts = _STOPS.split(core)
+    return plain, {channel.restore(p) for p in (core, *(parts if len(parts) > 1 else ())) if len(p) > 2 and _DISGUISED.search(p)} - {""}
+
+
+def read_spaced(text: str, tokens: list[str], channel: Channel) -> set[str]:
+    """The words of a lower-case text (of these tokens) whose letters are kept apart by white space.
+
+    Of a run with gaps of several widths, the whole and the words between its wider gaps.
+    """
+    single = [i for i, t in enumerate(tokens) if len(t) == 1]
+    if not any(b - a == 3 for a, b in zip(single, single[3:])):
+        return set()
+    out = set()
+    for m in _SPACED.finditer(text):
+        out.add(channel.restore("".join(m[0].split())))
+        gaps = regex.findall(r"[%s]+" % _BLANK, m[0])
+        if (narrow := min(map(len, gaps))) < max(map(len, gaps)):
+            words_ = regex.split(r"[%s]{%d,}" % (_BLANK, narrow + 1), m[0])
+            out |= {channel.restore(w) for w in ("".join(x.split()) for x in words_) if len(w) > 3}
+    return out - {""}
 
 
 def words(text: str, channel: Channel) -> tuple[set[str], set[str], int]:
     """(distinct words of the text, distinct restored words, number of tokens)."""
     tokens = text.lower().split()
     read = [read_token(t, channel) for t in set(tokens)]
-    return {w for plain, _ in read for w in plain}, ({r for _, r in read} | read_spaced(text.lower(), channel)) - {""}, len(tokens)
+    return {w for plain, _ in read for w in plain}, {w for _, restored in read for w in restored} | read_spaced(text.lower(), tokens, channel), len(tokens)
 
 
 def features(word: str) -> list[str]:
@@ -207,7 +219,7 @@ class Toxicity:
     def _of(self, w: str) -> float:
         return max((self.weights.get(f, 0.0) for f in features(w)), default=0.0)
 
-    def evidence(self, text: str, spaced: bool = True) -> tuple[float, float, float]:
+    def evidence(self, text: str) -> tuple[float, float, float]:
         """(strongest evidence, log of 1 + words with evidence, their share in percent). Equal tokens are read once in a task."""
         text, memo = text.lower(), self.memo
         tokens = text.split()
@@ -215,19 +227,20 @@ class Toxicity:
         for t in set(tokens):
             e = memo.get(t)
             if e is None:
-                if len(memo) > 1_000_000:
-                    memo.clear()
                 plain, restored = read_token(t, self.channel)
-                e = memo[t] = tuple((w, x) for w in {*plain, restored} - {""} if (x := self._of(w)))
+                e = tuple((w, x) for w in {*plain, *restored} if (x := self._of(w)))
+                if len(t) <= KEPT:
+                    if len(memo) > 1_000_000:
+                        memo.clear()
+                    memo[t] = e
             if e:
                 found.update(e)
-        if spaced:
-            for w in read_spaced(text, self.channel):
-                x = self._of(w)
-                if not x and self.inside is not None and len(w) > 6:  # several words spelt apart read as one
-                    x = max((self.weights[m] for m in self.inside.findall(w)), default=0.0)
-                if x:
-                    found[w] = x
+        for w in read_spaced(text, tokens, self.channel):
+            x = self._of(w)
+            if not x and self.inside is not None and len(w) > 6:  # several words spelt apart read as one
+                x = max((self.weights[m] for m in self.inside.findall(w)), default=0.0)
+            if x:
+                found[w] = x
         return max(found.values(), default=0.0), math.log1p(len(found)), 100.0 * len(found) / max(len(tokens), 1)
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -279,21 +292,22 @@ def fit(docs: DataFrame, labels: DataFrame, min_docs: int = 3, least: float = 1.
             return pa.record_batch([pa.array(f, pa.string()), *[pa.array([seen[k][x] for x in f], pa.int64()) for k in (1, 0)]], names=["f", "a", "b"])
 
         for batch in chunks(batches, "text", 1 << 20):
-            texts_ = batch.column("text").to_pylist()
-            for raw, spaced, label in zip(texts_, may_be_spaced(texts_), batch.column("label").to_pylist()):
+            for raw, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
                 text, found = raw.decode("utf-8", "replace").lower(), set()
-                for t in set(text.split()):
+                tokens = text.split()
+                for t in set(tokens):
                     have = memo.get(t)
                     if have is None:
-                        if len(memo) > 300_000:
-                            memo.clear()
                         plain, restored = read_token(t, known.value)
-                        have = {x for w in {*plain, restored} - {""} for x in features(w)}
-                        have = memo[t] = list(have if wanted is None else have & wanted)
+                        have = {x for w in {*plain, *restored} for x in features(w)}
+                        have = list(have if wanted is None else have & wanted)
+                        if len(t) <= KEPT:
+                            if len(memo) > 300_000:
+                                memo.clear()
+                            memo[t] = have
                     found.update(have)
-                if spaced:
-                    more = {x for w in read_spaced(text, known.value) for x in features(w)}
-                    found |= more if wanted is None else more & wanted
+                more = {x for w in read_spaced(text, tokens, known.value) for x in features(w)}
+                found |= more if wanted is None else more & wanted
                 seen[label].update(found)
             if len(seen[0]) + len(seen[1]) > 400_000:
                 yield send()
@@ -331,7 +345,7 @@ def _evidence(rows: DataFrame, model: Toxicity, *keep: str) -> DataFrame:
         m = known.value
         for batch in chunks(batches, "text", 1 << 20):
             texts = batch.column("text").to_pylist()
-            x = np.array([m.evidence(t.decode("utf-8", "replace"), s) for t, s in zip(texts, may_be_spaced(texts))]).reshape(-1, 3)
+            x = np.array([m.evidence(t.decode("utf-8", "replace")) for t in texts]).reshape(-1, 3)
             yield pa.record_batch([*[batch.column(c) for c in keep], *[pa.array(np.ascontiguousarray(c)) for c in x.T], pa.array(m.score(x))],
                                   names=[*keep, "strongest", "words", "share", "score"])
 

@@ -393,6 +393,20 @@ def test_toxicity_restores_and_scores(spark):
     assert (got.predicted == got.toxic).mean() > 0.9 and got.score.between(0, 1).all()
 
 
+def test_toxicity_restores_long_and_unusual_disguises(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    channel = toxicity.Channel.learned(toxicity.letter_counts(docs))
+    clean = "and this with of the and was then of it"
+    for plain, hidden in (
+        ("stupid", "stu" + 40 * "u" + "pid"), ("worthless", "w...o...r...t...h...l...e...s...s"), ("trash", "tr@sh.you"), ("loser", "you,l0ser,go"),
+        ("loser", "l\to\n s  e\u00a0r"), ("loser", "l\no\ns\ne\nr"), ("stupid", "l o s e r   s t u p i d"), ("idiot", "1" + 3000 * "-" + "d10t"),
+    ):
+        restored = toxicity.words(f"{clean} {hidden} {clean}", channel)[1]
+        assert plain in restored, (hidden, restored)
+    for token in ("https://st0p.example/l0ser", "9233a8ecf7c5b09fe594"):
+        assert not toxicity.words(token, channel)[1]
+
+
 def test_toxicity_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 1), (8, 0), (9, 1), (9, 0), (None, 1), (10, None), (999, 1)], "doc_id long, toxic int")
     got = toxicity.toxicity_scores(odd, labels)
