@@ -13,8 +13,11 @@
    count. Equal texts count once.
 4. A document's score is a logistic function of its restored words' evidence.
 
-Fixed bounds, as parameters: at most ``max_features`` candidate features (those
-in most toxic texts) and ``max_train_rows`` rows for the logistic function's
+Every feature is counted and weighed. A table of features with evidence beyond
+``broadcast_features`` rows (or ``BROADCAST_BYTES``) is not sent to all tasks:
+blocks of texts name the features they hold and learn their weights in a join.
+
+Fixed bound, as a parameter: ``max_train_rows`` rows for the logistic function's
 few numbers. Everything else covers all rows and whole texts.
 
 Defined results: null and empty texts are scored as texts without evidence;
@@ -29,7 +32,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -210,12 +213,30 @@ class Toxicity:
     channel: Channel
     weights: dict[str, float]
     beta: np.ndarray  # of 1, strongest evidence, log of 1 + words with evidence, their share in percent
+    lengths: list[int]  # of the whole words (over 3 letters) with evidence
+    table: DataFrame | None = None  # f, w: the weights, where they are too many for a broadcast
 
     def __post_init__(self):
-        whole = sorted((f for f in self.weights if f[-1] != "-" and len(f) > 3), key=len, reverse=True)
-        self.inside = regex.compile("|".join(map(regex.escape, whole))) if whole else None
         self.memo: dict[str, tuple] = {}
 
+    def inside(self, w: str) -> set[str]:
+        """The parts of a word spelt apart that may be words with evidence."""
+        return {w[i:i + n] for n in self.lengths for i in range(len(w) - n + 1)} if len(w) > 6 else set()
+
+    def wanted(self, text: str, seen: dict[str, list[str]]) -> set[str]:
+        """All features whose weights ``evidence`` may ask for; ``seen`` holds those of tokens."""
+        text = text.lower()
+        tokens = text.split()
+        out = set()
+        for t in set(tokens):
+            if t not in seen:
+                plain, restored = read_token(t, self.channel)
+                seen[t] = [f for w in {*plain, *restored} for f in features(w)]
+            out.update(seen[t])
+        for w in read_spaced(text, tokens, self.channel):
+            out.update(features(w), self.inside(w))
+        return out
+
     def _of(self, w: str) -> float:
         return max((self.weights.get(f, 0.0) for f in features(w)), default=0.0)
 
@@ -237,8 +258,8 @@ class Toxicity:
                 found.update(e)
         for w in read_spaced(text, tokens, self.channel):
             x = self._of(w)
-            if not x and self.inside is not None and len(w) > 6:  # several words spelt apart read as one
-                x = max((self.weights[m] for m in self.inside.findall(w)), default=0.0)
+            if not x:  # several words spelt apart read as one
+                x = max((self.weights.get(m, 0.0) for m in self.inside(w)), default=0.0)
             if x:
                 found[w] = x
         return max(found.values(), default=0.0), math.log1p(len(found)), 100.0 * len(found) / max(len(tokens), 1)
@@ -268,9 +289,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0) -> np.ndarray:
 
 #: A label table up to so many rows (16 bytes each) is broadcast; a larger one is joined by a shuffle.
 BROADCAST_LABELS = 1 << 21
+#: Features with evidence up to so many, with so many bytes, are sent to all tasks.
+BROADCAST_FEATURES, BROADCAST_BYTES = 1 << 18, 8 << 20
+#: Bytes of text of a block that asks for its features' weights at once.
+BLOCK_BYTES = 8 << 20
 
 
-def fit(docs: DataFrame, labels: DataFrame, min_docs: int = 3, least: float = 1.5, max_features: int = 200_000, max_train_rows: int = 50_000) -> Toxicity:
+def fit(docs: DataFrame, labels: DataFrame, min_docs: int = 3, least: float = 1.5, broadcast_features: int = BROADCAST_FEATURES, max_train_rows: int = 50_000) -> Toxicity:
     """The model from ``docs`` (all texts for the character model) and ``labels`` (``doc_id, label``)."""
     spark = docs.sparkSession
     channel = Channel.learned(letter_counts(docs))
@@ -283,7 +308,7 @@ def fit(docs: DataFrame, labels: DataFrame, min_docs: int = 3, least: float = 1.
     texts = labelled(y).groupBy(F.xxhash64("text").alias("key")).agg(F.min("doc_id").alias("doc_id"), F.max("label").alias("label"))
     y = write_table(texts.select("doc_id", "label"), "toxic-texts")
 
-    def count(batches: Iterator[pa.RecordBatch], wanted: set[str] | None) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, list[str]] = {}
         seen: tuple[Counter, Counter] = Counter(), Counter()
 
@@ -299,15 +324,13 @@ def fit(docs: DataFrame, labels: DataFrame, min_docs: int = 3, least: float = 1.
                     have = memo.get(t)
                     if have is None:
                         plain, restored = read_token(t, known.value)
-                        have = {x for w in {*plain, *restored} for x in features(w)}
-                        have = list(have if wanted is None else have & wanted)
+                        have = list({x for w in {*plain, *restored} for x in features(w)})
                         if len(t) <= KEPT:
                             if len(memo) > 300_000:
                                 memo.clear()
                             memo[t] = have
                     found.update(have)
-                more = {x for w in read_spaced(text, tokens, known.value) for x in features(w)}
-                found |= more if wanted is None else more & wanted
+                found.update(x for w in read_spaced(text, tokens, known.value) for x in features(w))
                 seen[label].update(found)
             if len(seen[0]) + len(seen[1]) > 400_000:
                 yield send()
@@ -315,20 +338,19 @@ def fit(docs: DataFrame, labels: DataFrame, min_docs: int = 3, least: float = 1.
                 seen[1].clear()
         yield send()
 
-    def counted(y: DataFrame, wanted=None) -> DataFrame:
-        """``f, a, b``: texts with a feature, toxic and other."""
-        run = lambda batches: count(batches, wanted.value if wanted else None)
-        return map_arrow(labelled(y).select("text", "label"), run, "f string, a bigint, b bigint").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-
-    often = counted(y.where("label = 1")).where(F.col("a") >= min_docs)
-    candidates = set(often.orderBy(F.desc("a"), "f").limit(max_features).toArrow().column("f").to_pylist())
-    seen = counted(y, spark.sparkContext.broadcast(candidates))
+    seen = map_arrow(labelled(y).select("text", "label"), count, "f string, a bigint, b bigint").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     size = {r.label: r.n for r in y.groupBy("label").agg(F.count("*").alias("n")).collect()}
     pos, neg = size.get(1, 0), size.get(0, 0)
     a, b = F.col("a") + 0.5, F.col("b") + 0.5
     weight = F.log(a / (pos + 1)) - F.log(b / (neg + 1)) - 2 * F.sqrt(1 / a + 1 / b)
-    got = seen.select("f", weight.alias("w")).where(F.col("w") >= least).toArrow()  # candidates at most
-    model = Toxicity(channel, dict(zip(got.column("f").to_pylist(), got.column("w").to_pylist())), np.zeros(4))
+    kept = write_table(seen.where(F.col("a") >= min_docs).select("f", weight.alias("w")).where(F.col("w") >= least), "toxic-features")
+    whole = F.when(~F.endswith("f", F.lit("-")) & (F.length("f") > 3), F.length("f"))
+    of = kept.agg(F.count("*").alias("n"), F.sum(F.octet_length("f")).alias("bytes"), F.collect_set(whole).alias("lengths")).first()
+    if of.n <= broadcast_features and (of.bytes or 0) <= BROADCAST_BYTES:
+        got = kept.toArrow()
+        model = Toxicity(channel, dict(zip(got.column("f").to_pylist(), got.column("w").to_pylist())), np.zeros(4), sorted(of.lengths))
+    else:
+        model = Toxicity(channel, {}, np.zeros(4), sorted(of.lengths), kept)
     few = labelled(y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_rows))
     learned = _evidence(few, model, "label").toArrow()
     x = np.column_stack([learned.column(c).to_numpy() for c in ("strongest", "words", "share")]) if learned.num_rows else np.zeros((0, 3))
@@ -338,18 +360,44 @@ def fit(docs: DataFrame, labels: DataFrame, min_docs: int = 3, least: float = 1.
 
 def _evidence(rows: DataFrame, model: Toxicity, *keep: str) -> DataFrame:
     """``keep`` columns with the evidence ``strongest, words, share`` and ``score`` of each text."""
-    known = rows.sparkSession.sparkContext.broadcast(model)
+    known = rows.sparkSession.sparkContext.broadcast(replace(model, table=None))
     kinds = dict(rows.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in keep) + ", strongest double, words double, share double, score double"
+
+    def judged(m: Toxicity, batch: pa.RecordBatch) -> pa.RecordBatch:
+        x = np.array([m.evidence(t.decode("utf-8", "replace")) for t in batch.column("text").to_pylist()]).reshape(-1, 3)
+        return pa.record_batch([*[batch.column(c) for c in keep], *[pa.array(np.ascontiguousarray(c)) for c in x.T], pa.array(m.score(x))],
+                               names=[*keep, "strongest", "words", "share", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = known.value
         for batch in chunks(batches, "text", 1 << 20):
-            texts = batch.column("text").to_pylist()
-            x = np.array([m.evidence(t.decode("utf-8", "replace")) for t in texts]).reshape(-1, 3)
-            yield pa.record_batch([*[batch.column(c) for c in keep], *[pa.array(np.ascontiguousarray(c)) for c in x.T], pa.array(m.score(x))],
-                                  names=[*keep, "strongest", "words", "share", "score"])
-
-    return map_arrow(rows.select(*keep, "text"), run, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", strongest double, words double, share double, score double")
+            yield judged(known.value, batch)
+
+    if model.table is None:
+        return map_arrow(rows.select(*keep, "text"), run, schema)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks of texts, each with the distinct features it asks for."""
+        for batch in chunks(batches, "text", BLOCK_BYTES):
+            seen: dict[str, list[str]] = {}
+            wanted = set().union(*(known.value.wanted(t.decode("utf-8", "replace"), seen) for t in batch.column("text").to_pylist()))
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema) as stream:
+                stream.write_batch(batch)
+            yield pa.record_batch([pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([list(wanted)], pa.list_(pa.string()))], names=["body", "wanted"])
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for body, found in zip(batch.column("body").to_pylist(), batch.column("found").to_pylist()):
+                m = replace(known.value, weights={x["f"]: x["w"] for x in found or ()})
+                for part in pa.ipc.open_stream(body):
+                    yield judged(m, part)
+
+    blocks = map_arrow(rows.select(*keep, "text"), split, "body binary, wanted array<string>")
+    blocks = write_table(blocks.withColumn("block", F.monotonically_increasing_id()), "toxic-blocks")
+    # A feature is asked for once by a block, so a common word costs a row a block, not one a text.
+    found = blocks.select("block", F.explode("wanted").alias("f")).join(model.table, "f").groupBy("block").agg(F.collect_list(F.struct("f", "w")).alias("found"))
+    return map_arrow(blocks.select("block", "body").join(found, "block", "left").select("body", "found"), settle, schema)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:

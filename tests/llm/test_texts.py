@@ -407,6 +407,24 @@ def test_toxicity_restores_long_and_unusual_disguises(spark):
         assert not toxicity.words(token, channel)[1]
 
 
+def test_toxicity_weighs_every_feature(spark):
+    """A rare but purely toxic word counts however many neutral words are more frequent, broadcast or joined."""
+    neutral = [f"neutral{chr(97 + i)}" for i in range(20)]
+    rows = [(i, " ".join(neutral) + f" {'zonk' if i < 40 else 'fine'} x{chr(97 + i % 26)}{chr(97 + i // 26)}", int(i < 80)) for i in range(400)]
+    rows += [(1000, "z0nk you", None), (1001, "a b z o n k i s c d", None), (1002, " ".join(neutral), None), (1003, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label int").repartition(5)
+    got = {}
+    for most in (1 << 18, 0):
+        model = toxicity.fit(docs.drop("label"), docs.select("doc_id", "label"), broadcast_features=most)
+        assert (model.table is None) == (most > 0)
+        weights = model.weights if most else {r.f: r.w for r in model.table.collect()}
+        assert weights["zonk"] > 1.5 and not any(f.startswith("neut") for f in weights)
+        out = toxicity._evidence(toxicity._rows(docs), model, "doc_id")
+        got[most] = {r.doc_id: (r.strongest, r.words, r.share, round(r.score, 9)) for r in out.collect()}
+        assert got[most][1000][0] > 0 and got[most][1001][0] > 0 and got[most][1002][0] == got[most][1003][0] == 0
+    assert got[0] == got[1 << 18] and len(got[0]) == len(rows)
+
+
 def test_toxicity_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 1), (8, 0), (9, 1), (9, 0), (None, 1), (10, None), (999, 1)], "doc_id long, toxic int")
     got = toxicity.toxicity_scores(odd, labels)
