@@ -37,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluvio.llm import words as W
@@ -229,7 +229,11 @@ def _left(met: DataFrame) -> tuple[int, int]:
 
 
 def similar(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """``rid, doc_id, doc_key, n_shingles, component_id``, one row for a row of ``docs``."""
+    """``rid, doc_id, doc_key, n_shingles, component_id, group``, one row for a row of ``docs``.
+
+    ``group`` is the component itself (a row that links with none is its own),
+    whatever its ids: never null, and different components never share it.
+    """
     spark = docs.sparkSession
     sets = write_table(shingle_sets(docs, n, percent), "jaccard-sets")
     identity = ["n", "s1", "s2"]
@@ -280,23 +284,26 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     label = components(edges).select(F.col("node").alias("cid"), "label")
     classes = classes.join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     least = classes.groupBy("label").agg(F.min("least").alias("component_id"))
-    classes = classes.join(least, "label").select(*identity, "component_id", F.lit(True).alias("linked"))
+    classes = classes.join(least, "label").select(*identity, "component_id", "label", F.lit(True).alias("linked"))
     return sets.join(classes, identity, "left").select(
         "rid", "doc_id", "doc_key", F.col("n").cast("long").alias("n_shingles"),
-        F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("label", "rid").alias("group"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` for a component (that with the least id), columns unchanged."""
     found = write_table(similar(docs), "jaccard-similar")
-    # A component without ids cannot be told from another by its id, so such rows stay.
-    first = found.where("component_id IS NOT NULL").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("f"))
-    stays = found.join(first, "component_id", "left").withColumn("stays", F.coalesce(F.col("rid") == F.col("f.rid"), F.lit(True)))
+    first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("f"))
+    stays = found.join(first, "group").withColumn("stays", F.col("rid") == F.col("f.rid"))
     keys = stays.groupBy(F.col("doc_key").alias("__key")).agg(F.count("*").alias("__rows"), F.sum(F.col("stays").cast("int")).alias("__stay")).where("__stay < __rows")
+    keys = write_table(keys, "jaccard-keys")
     keyed = docs.withColumn("__key", document_key(docs["doc_id"], docs["text"]))
     others = keyed.join(keys, "__key", "left_anti").drop("__key")
-    nth = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
-    repeated = keyed.join(keys.where("__stay > 0"), "__key").withColumn("__nth", nth).where("__nth <= __stay")
+    twice = keys.where("__stay > 0").select("__key")
+    if twice.isEmpty():
+        return others
+    # Repeated rows (same id and text) are of one component, so one of them stays; they are written, so that a hot key's join can be split.
+    repeated = write_table(keyed.join(twice, "__key"), "jaccard-repeated").dropDuplicates(["__key"])
     return others.union(repeated.select(*docs.columns))
 
 

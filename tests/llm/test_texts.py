@@ -295,6 +295,19 @@ def test_keep_first_keeps_one_row_of_each_group(odd, none):
     assert jaccard.keep_first(none).count() == 0
 
 
+def test_keep_first_tells_components_apart_without_ids(spark):
+    import random
+
+    rng = random.Random(23)
+    a, b, c, d, e = (sentence(rng, 60) for _ in range(5))
+    near = " ".join(x if k != 30 else "changed" for k, x in enumerate(b.split()))
+    rows = [(None, a, 1), (None, a, 2), (None, a.upper(), 3), (None, b, 4), (None, near, 5), (7, c, 6), (7, d, 7), (7, d, 8), (8, d, 9), (None, e, 10), (9, e, 11), (None, "", 12), (None, "", 13)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, at int").repartition(3)
+    kept = [r["at"] for r in jaccard.keep_first(docs).collect()]
+    groups = [{1, 2, 3}, {4, 5}, {6}, {7, 8}, {11}, {12}, {13}]
+    assert len(kept) == len(groups) and all(len(g & set(kept)) == 1 for g in groups)
+
+
 # --- op6 -------------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("heads", [1, 50, 1 << 20])
