@@ -5,18 +5,23 @@ of a short window and ignores the others, so a seed survives substituted words
 at ignored positions. Seeds of all benchmark windows (a table whose size is
 checked; a large benchmark is taken in blocks of items) meet the seeds of every
 window of every document in a broadcast join. Around each hit the benchmark
-text is laid over the document at the hit's offset and compared word by word: a
+text is laid over the document at the hit's offset and compared word by word. An
+item shorter than the longest mask has masks of its own, over all its words, that
+find it wherever as many words differ as the rule allows. A
 document overlaps an item when, in some ``window`` aligned words (all of a
 shorter item), at most ``substitutions`` differ.
 
 Defined results: null or empty texts and items have no windows and match
-nothing, as do items shorter than the shortest mask; repeated rows of documents
-(same id and text) or items (same id) give one row of the result; empty
-tables give an empty result; further columns play no part.
+nothing; repeated rows of documents or items (same id and text, null ids
+included) give one row of the result, but items of one id with different texts
+are different items; empty tables give an empty result; further columns play no
+part.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,16 +40,34 @@ def word_array(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATOR), "")
 
 
-def seeds(words: DataFrame, masks: tuple[str, ...]) -> DataFrame:
-    """``words`` (with ``words`` and their hashes ``hs``) with ``pos`` and ``seed``: a row for every window and mask."""
+def may_differ(words: int, window: int, substitutions: int) -> int:
+    """How many of the ``words`` aligned words (``window`` at most) may differ."""
+    return min(substitutions, words * substitutions // window)
+
+
+def whole_masks(words: int, differ: int) -> list[str]:
+    """Masks over all ``words`` of an item, one of which is kept whole whichever ``differ`` of them are substituted.
+
+    The positions are dealt into ``differ + 2`` groups, of which a mask ignores ``differ``.
+    """
+    return list(dict.fromkeys("".join("0" if k % (differ + 2) in left_out else "1" for k in range(words)) for left_out in combinations(range(differ + 2), differ)))
+
+
+def seeds(words: DataFrame, masks: tuple[str, ...], whole: tuple[str, ...] = (), items: bool = False) -> DataFrame:
+    """``words`` (with ``words`` and their hashes ``hs``) with ``pos`` and ``seed``: a row for every window and mask.
+
+    Masks of ``whole`` are for short items: of ``items``, they are laid only over those of just their length.
+    """
     at = words.select("*", F.posexplode("hs").alias("pos", "h0"))
 
     def seed(m: int, mask: str) -> Column:
-        kept = [k for k, c in enumerate(mask) if c == "1" and k]
-        end = F.get("hs", F.col("pos") + len(mask) - 1)
-        return F.when(end.isNotNull(), F.xxhash64(F.lit(m), "h0", *[F.get("hs", F.col("pos") + k) for k in kept]))
+        kept = [F.get("hs", F.col("pos") + k) if k else F.col("h0") for k, c in enumerate(mask) if c == "1"]
+        fits = F.get("hs", F.col("pos") + len(mask) - 1).isNotNull()
+        if items and m >= len(masks):
+            fits &= F.size("hs") == len(mask)
+        return F.when(fits, F.xxhash64(F.lit(m), *kept))
 
-    return at.select(*words.columns, "pos", F.explode(F.array(*[seed(m, mask) for m, mask in enumerate(masks)])).alias("seed")).where("seed IS NOT NULL")
+    return at.select(*words.columns, "pos", F.explode(F.array(*[seed(m, mask) for m, mask in enumerate((*masks, *whole))])).alias("seed")).where("seed IS NOT NULL")
 
 
 def overlaps(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, window: int = WINDOW,
@@ -55,20 +78,25 @@ def overlaps(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS,
     document's first aligned word. ``doc_key`` is ``document_key`` of the row.
     """
     hashed = lambda df: df.withColumn("hs", F.transform("words", lambda w: F.xxhash64(w)))
-    tests = need(items, item_id="item_id", text="text").groupBy("item_id").agg(F.min("text").alias("text")).withColumn("item", word_array(F.col("text")))
-    need_seeds = tests.agg(F.sum(F.size("item") * len(masks))).first()[0] or 0
-    blocks = -(-int(need_seeds) // block_seeds)
+    tests = need(items, item_id="item_id", text="text").distinct().withColumn("item", word_array(F.col("text"))).select(
+        document_key(F.col("item_id"), F.col("text")).alias("item_key"), "item_id", "item")
+    longest = max(map(len, masks))
+    size = F.size("item")
+    got = tests.agg(F.sum(size).alias("words"), F.collect_set(F.when((size > 0) & (size < longest), size)).alias("short")).first()
+    # The longest mask's length bounds the distinct lengths of short items.
+    whole = tuple(m for n in sorted(got.short) for m in whole_masks(n, may_differ(min(n, window), window, substitutions)))
+    blocks = -(-(got.words or 0) * (len(masks) + len(whole)) // block_seeds)
     rows = need(docs, doc_id="doc_id", text="text").select("doc_id", document_key(F.col("doc_id"), F.col("text")).alias("doc_key"), word_array(F.col("text")).alias("words"))
     found = None
     for b in range(max(1, blocks)):
-        block = tests.where(F.pmod(F.xxhash64("item_id"), F.lit(max(1, blocks))) == b)
-        known = seeds(hashed(block.select("item_id", F.col("item").alias("words"))), masks).select("seed", "item_id", F.col("pos").alias("item_pos"))
-        hits = seeds(hashed(rows), masks).join(F.broadcast(known), "seed").select(
-            "doc_id", "doc_key", "words", "item_id", (F.col("pos") - F.col("item_pos")).alias("offset"))
-        one = _verified(hits.join(F.broadcast(block.select("item_id", "item")), "item_id"), window, substitutions)
+        block = tests.where(F.pmod("item_key", F.lit(max(1, blocks))) == b)
+        known = seeds(hashed(block.select("item_key", F.col("item").alias("words"))), masks, whole, items=True).select("seed", "item_key", F.col("pos").alias("item_pos"))
+        hits = seeds(hashed(rows), masks, whole).join(F.broadcast(known), "seed").select(
+            "doc_id", "doc_key", "words", "item_key", (F.col("pos") - F.col("item_pos")).alias("offset"))
+        one = _verified(hits.join(F.broadcast(block), "item_key"), window, substitutions)
         found = one if found is None else found.union(one)
     best = F.max(F.struct("matched", (-F.col("compared")).alias("less"), (-F.col("doc_start")).alias("at"))).alias("best")
-    return found.groupBy("doc_id", "doc_key", "item_id").agg(best).select(
+    return found.groupBy("doc_id", "doc_key", "item_key", "item_id").agg(best).select(
         "doc_id", "item_id", "doc_key", "best.matched", (-F.col("best.less")).alias("compared"), (-F.col("best.at")).alias("doc_start"))
 
 
@@ -87,7 +115,7 @@ def _verified(hits: DataFrame, window: int, substitutions: int) -> DataFrame:
     # The lambda over a one-element array evaluates the comparison once for a hit.
     hits = hits.withColumn("is", F.transform(F.array(same), judged)[0]).withColumn("w", w)
     return hits.where(F.col("is.most") >= F.col("w") - F.least(F.lit(substitutions), F.floor(F.col("w") * substitutions / window))).select(
-        "doc_id", "doc_key", "item_id", (F.col("offset") + first).alias("doc_start"), "is.matched", "is.compared")
+        "doc_id", "doc_key", "item_key", "item_id", (F.col("offset") + first).alias("doc_start"), "is.matched", "is.compared")
 
 
 def document_key(doc_id: Column, text: Column) -> Column:

@@ -359,6 +359,30 @@ def test_spaced_seeds_find_substituted_passages(spark, odd, none):
     assert decontaminate.clean(docs, bench.limit(0)).count() == len(rows)
 
 
+def test_spaced_seeds_find_items_of_any_length_and_id(spark):
+    import random
+
+    rng = random.Random(31)
+    items = [(n, " ".join(f"item{n}w{k}" for k in range(n))) for n in range(1, 14)]
+    items += [(5, "same id other text of the item five"), (None, "no id but a passage of some words here"), (None, "a second item with no id"), (None, "a second item with no id")]
+    rows, want = [], set()
+    for number, (i, t) in enumerate(items[:-1]):
+        w = t.split()
+        for at in (None, *range(len(w))):
+            d = 100 * number + (0 if at is None else at + 1)
+            rows.append((d, f"{sentence(rng, 9)} {' '.join('other' if k == at else x for k, x in enumerate(w))} {sentence(rng, 9)}"))
+            if at is None or len(w) > 6:
+                want.add((d, i))
+    rows.append((5000, f"{items[4][1]} {items[13][1]}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = [(r.doc_id, r.item_id) for r in decontaminate.overlaps(docs, bench).collect()]
+    assert sorted(got, key=repr) == sorted([*want, (5000, 5), (5000, 5)], key=repr)
+    blocks = decontaminate.overlaps(docs, bench, block_seeds=300)
+    assert sorted(((r.doc_id, r.item_id) for r in blocks.collect()), key=repr) == sorted(got, key=repr)
+    assert sorted(r.doc_id for r in decontaminate.clean(docs, bench).collect()) == sorted({d for d, _ in rows} - {d for d, _ in got})
+
+
 # --- op8 -------------------------------------------------------------------------------------------
 
 def test_quality_held_out_accuracy(spark):
