@@ -13,6 +13,7 @@ from fluvio.llm.jaccard import op5_jaccard_prefix_tree
 from fluvio.llm.katz import op1_katz_score
 from fluvio.llm.mixing import op3_entropy_mix
 from fluvio.llm.quality import op8_quality_trees
+from fluvio.llm.repair import OP11_SQL, op11_structure_repair
 from fluvio.llm.sharding import op4_hash_ring_shards
 from fluvio.llm.token_count import op6_token_counts
 from fluvio.llm.toxicity import op9_deobfuscated_toxicity
@@ -20,7 +21,7 @@ from fluvio.llm.toxicity import op9_deobfuscated_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_katz_score, op2_exact_dedup, op3_entropy_mix, op4_hash_ring_shards, op5_jaccard_prefix_tree, op6_token_counts,
-        op7_spaced_seeds, op8_quality_trees, op9_deobfuscated_toxicity, op10_preference_pairs,
+        op7_spaced_seeds, op8_quality_trees, op9_deobfuscated_toxicity, op10_preference_pairs, op11_structure_repair,
     )
 }
-ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op10_preference_pairs": OP10_SQL}
+ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op10_preference_pairs": OP10_SQL, "op11_structure_repair": OP11_SQL}
