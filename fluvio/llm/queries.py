@@ -17,11 +17,13 @@ from fluvio.llm.repair import OP11_SQL, op11_structure_repair
 from fluvio.llm.sharding import op4_hash_ring_shards
 from fluvio.llm.token_count import op6_token_counts
 from fluvio.llm.toxicity import op9_deobfuscated_toxicity
+from fluvio.llm.url_filter import OP13_SQL, op13_url_ratio
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_katz_score, op2_exact_dedup, op3_entropy_mix, op4_hash_ring_shards, op5_jaccard_prefix_tree, op6_token_counts,
         op7_spaced_seeds, op8_quality_trees, op9_deobfuscated_toxicity, op10_preference_pairs, op11_structure_repair,
+        op13_url_ratio,
     )
 }
-ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op10_preference_pairs": OP10_SQL, "op11_structure_repair": OP11_SQL}
+ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op10_preference_pairs": OP10_SQL, "op11_structure_repair": OP11_SQL, "op13_url_ratio": OP13_SQL}
