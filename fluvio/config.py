@@ -95,6 +95,8 @@ class TreeParams:
     feature_subset: str = "0.9"
     seed_a: int = 42
     seed_b: int = 43
+    segment: int = 50  # rounds that are fitted, saved and checkpointed together
+    patience: int | None = None  # rounds without a better held-out error that end the fit; None = all rounds
 
 
 @dataclass(frozen=True)

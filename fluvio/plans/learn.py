@@ -1,11 +1,15 @@
 """Two-target, two-learner ensemble on Spark ML.
 
 * Target A = next-month flow, target B = next-month maximum (I4).
-* Tree learner: ``GBTRegressor`` on raw features (I2). Spark samples
-  feature subsets per node, the original per tree, so trees are not
-  bit-equal; seeds are fixed (42 for A, 43 for B). Spark's squared loss fits
-  twice the residual, so its step is half the learning rate asked for; its
-  first tree always has full weight.
+* Tree learner: ``GBTRegressor`` on raw features (I2), boosted in segments:
+  each segment fits what the ones before leave of the target, is saved when it
+  is fitted and cuts the lineage, so a run that ended goes on from its last
+  saved segment, and with a held-out part the error after a segment decides
+  whether the next one starts (I8). Spark samples feature subsets per node, the
+  original per tree, so trees are not bit-equal; seeds are fixed (42 for A, 43
+  for B). Spark's squared loss fits twice the residual, so its step is half the
+  learning rate asked for; the first tree of a fit, here of each segment,
+  always has full weight.
 * Scaled learner (I3): Spark ML's ``LinearRegression`` with an L2 penalty on
   standardised features. Spark ML has no neural regressor, and rebuilding one
   would be rebuilding a learner's internals.
@@ -22,13 +26,15 @@ saved and loaded as one directory (A7).
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import DecisionTreeRegressionModel, GBTRegressionModel, GBTRegressor, LinearRegression
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluvio import config as C
@@ -36,15 +42,17 @@ from fluvio.config import LegacyParams, TrainConfig, TreeParams
 from fluvio.functions import uncertainty as U
 from fluvio.operators import features as feat
 from fluvio.operators.validate import fill_zero
-from fluvio.session import shared_dir
+from fluvio.session import scratch_path, shared_dir
 
 
 def _outputs(model: PipelineModel) -> set[str]:
-    return {s.getPredictionCol() for s in model.stages if hasattr(s, "getPredictionCol")}
+    """Names of the learners: prediction columns, and sums over a learner's segments."""
+    sums = {s.getStatement().rsplit("`", 2)[1] for s in model.stages if isinstance(s, SQLTransformer)}
+    return sums | {s.getPredictionCol() for s in model.stages if hasattr(s, "getPredictionCol")}
 
 
 def _drop_scratch(df: DataFrame) -> DataFrame:
-    return df.drop("features", "features_scaled", *[c for c in df.columns if c.startswith("_z_")])
+    return df.drop("features", "features_scaled", *[c for c in df.columns if c.startswith(("_z_", "_s_"))])
 
 
 @dataclass
@@ -88,7 +96,101 @@ class TrainedEnsemble:
 def _gbt(label: str, pred: str, p: TreeParams, seed: int, features_col="features") -> GBTRegressor:
     return GBTRegressor(featuresCol=features_col, labelCol=label, predictionCol=pred, maxIter=p.max_iter,
                         stepSize=p.learning_rate / 2, maxDepth=p.max_depth, subsamplingRate=p.subsampling_rate,
-                        featureSubsetStrategy=p.feature_subset, seed=seed, checkpointInterval=10, cacheNodeIds=True)
+                        featureSubsetStrategy=p.feature_subset, seed=seed, checkpointInterval=-1)
+
+
+def best_round(errors: list[float], patience: int) -> int:
+    """The round (from 1) with the least error before ``patience`` rounds without a better one."""
+    best = 0
+    for k, e in enumerate(errors):
+        if e < errors[best]:
+            best = k
+        elif k - best >= patience:
+            break
+    return best + 1
+
+
+#: Row keys that training frames carry, where they have them.
+KEYS = ("station_id", "year", "month")
+
+
+def _digest(rows: DataFrame, label: str) -> str:
+    """Identity of the training rows, whatever their order: number and sum of row hashes."""
+    keys = [c for c in (*KEYS, "features", "held", label) if c in rows.columns]
+    h = F.xxhash64(*[vector_to_array(c) if c == "features" else F.col(c) for c in keys]).cast("decimal(38,0)")
+    r = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(h).alias("h")).first()
+    return f"{r.n}:{r.h}"
+
+
+def _saved(spark: SparkSession, path: str, signature: str) -> GBTRegressionModel | None:
+    """A segment that was saved whole: its marker is written last, and names rows, label and parameters."""
+    try:
+        marker = [r.value for r in spark.read.text(f"{path}/done").collect()]
+    except AnalysisException:
+        return None  # no such folder: the segment was never saved whole
+    if not marker:
+        return None
+    if marker != [signature]:
+        raise ValueError(f"{path} was fitted to other rows or parameters")
+    return GBTRegressionModel.load(f"{path}/model")
+
+
+@dataclass
+class Boosted:
+    """A fitted tree learner: pipeline stages that end in its column, its rounds, and the held-out error of each round fitted."""
+
+    stages: list
+    rounds: int
+    errors: list[float]
+
+
+def boost(rows: DataFrame, label: str, pred: str, p: TreeParams, seed: int, path: str | None = None) -> Boosted:
+    """Boosting in segments of ``p.segment`` rounds.
+
+    ``rows`` has ``features``, ``label`` and, with ``p.patience``, ``held``
+    (boolean: for the error only). ``path`` keeps the segments (a folder below
+    the shared one if not given); a call with the same path, rows and
+    parameters goes on after the last one saved. Without ``p.patience`` all
+    ``p.max_iter`` rounds are fitted. With it, no segment starts once that many
+    rounds brought no better error, and the learner has the trees up to the
+    best round: those of the last segment needed are taken one by one.
+    """
+    spark = rows.sparkSession
+    path = (path or scratch_path(spark, f"boost-{pred}")).rstrip("/")
+    held = F.col("held") if p.patience else F.lit(False)
+    signature = f"{label} {p} {seed} {_digest(rows, label)}"
+    keys = [c for c in KEYS if c in rows.columns]
+    left = rows.select(*keys, "features", held.alias("held"), F.col(label).cast("double").alias("_left"))
+    models, errors, fitted = [], [], 0
+    while fitted < p.max_iter:
+        n = min(p.segment, p.max_iter - fitted)
+        at = f"{path}/segment-{len(models):04d}"
+        model = _saved(spark, at, signature)
+        if model is None:
+            model = _gbt("_left", f"_s_{pred}_{len(models)}", replace(p, max_iter=n), seed + len(models)).fit(left.where("NOT held"))
+            model.write().overwrite().save(f"{at}/model")
+            spark.createDataFrame([(signature,)], "value string").coalesce(1).write.mode("overwrite").text(f"{at}/done")
+        models.append(model)
+        fitted += n
+        if p.patience:
+            errors += model.evaluateEachIteration(left.where("held"), "squared")
+            if fitted - best_round(errors, p.patience) >= p.patience:
+                break
+        if fitted < p.max_iter:
+            left = model.transform(left).select(*keys, "features", "held", (F.col("_left") - F.col(model.getPredictionCol())).alias("_left")).checkpoint(eager=True)
+    rounds = best_round(errors, p.patience) if p.patience else fitted
+    whole, rest = divmod(rounds, p.segment)
+    stages = models[:whole]
+    parts = [f"`{m.getPredictionCol()}`" for m in stages]
+    if rest and whole < len(models) and models[whole].getNumTrees == rest:
+        stages.append(models[whole])
+        parts.append(f"`{models[whole].getPredictionCol()}`")
+    elif rest:
+        last = models[whole]
+        for i, (tree, weight) in enumerate(zip(last.trees[:rest], last.treeWeights)):
+            stages.append(tree.setFeaturesCol("features").setPredictionCol(f"_s_{pred}_{whole}_{i}"))
+            parts.append(f"{weight!r}D * `_s_{pred}_{whole}_{i}`")
+    return Boosted([*stages, SQLTransformer(statement=f"SELECT *, {' + '.join(parts)} AS `{pred}` FROM __THIS__")], rounds, errors)
 
 
 def _ridge(label: str, pred: str, reg: float, max_iter: int) -> LinearRegression:
@@ -133,32 +235,36 @@ def checkpointed(df: DataFrame, partitions: int | None = None) -> DataFrame:
 
 
 def fit_ensemble(frame: DataFrame, cfg: TrainConfig = TrainConfig(), features=C.FEATURE_COLUMNS,
-                 checkpoint: bool = True) -> TrainedEnsemble:
+                 checkpoint: bool = True, path: str | None = None) -> TrainedEnsemble:
     """Fit the learners of both targets (the trees only if ``cfg.tree`` is given).
 
     ``checkpoint=False`` when ``frame`` is already a checkpoint
-    (``plans.training_run`` checkpoints once for fit and scoring).
+    (``plans.training_run`` checkpoints once for fit and scoring). ``path`` is
+    where the trees' segments are kept, so that a second call goes on from them.
+    With ``cfg.tree.patience`` the validation years are the held-out part.
     """
     features = list(features)
     data = frame.select("station_id", "year", "month", "split", *features, C.TARGET_A, C.TARGET_B)
     data = checkpointed(data, cfg.partitions) if checkpoint else data
     assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
     scaler = fit_population_scaler(data.where(F.col("split").isin("train", "val")), features)
-    train = PipelineModel([assembler, *scaler]).transform(data.where(F.col("split") == "train"))
-    train.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = PipelineModel([assembler, *scaler]).transform(data.where(F.col("split").isin("train", "val"))).withColumn("held", F.col("split") == "val")
+    rows.persist(StorageLevel.MEMORY_AND_DISK)
+    train = rows.where("NOT held")
+    fits = []
+    for target, t, seed in ((C.TARGET_A, "A", cfg.tree and cfg.tree.seed_a), (C.TARGET_B, "B", cfg.tree and cfg.tree.seed_b)):
+        fits.append(lambda target=target, t=t: [_ridge(target, f"net_{t}", cfg.net.reg_param, cfg.net.max_iter).fit(train)])
+        if cfg.tree is not None:
+            fits.append(lambda target=target, t=t, seed=seed: boost(
+                rows if cfg.tree.patience else train, target, f"tree_{t}", cfg.tree, seed, path and f"{path}/tree_{t}").stages)
     try:
-        learners = []
-        for target, suffix in ((C.TARGET_A, "A"), (C.TARGET_B, "B")):
-            learners.append(_ridge(target, f"net_{suffix}", cfg.net.reg_param, cfg.net.max_iter))
-            if cfg.tree is not None:
-                learners.append(_gbt(target, f"tree_{suffix}", cfg.tree, cfg.tree.seed_a if suffix == "A" else cfg.tree.seed_b))
         # The fits are independent: submit them from driver threads so their
         # (many, small) jobs share the executors, as Spark ML's own
         # CrossValidator(parallelism=...) does.
-        with ThreadPoolExecutor(max_workers=len(learners)) as pool:
-            fitted = list(pool.map(lambda e: e.fit(train), learners))
+        with ThreadPoolExecutor(max_workers=len(fits)) as pool:
+            fitted = [stage for stages in pool.map(lambda f: f(), fits) for stage in stages]
     finally:
-        train.unpersist()
+        rows.unpersist()
     return TrainedEnsemble(PipelineModel([assembler, *scaler, *fitted]), features)
 
 
@@ -169,6 +275,7 @@ class LegacyModel:
     pipeline: PipelineModel
     rounds: int = 0
     weights: tuple[float, float] = C.LEGACY_LEARNER_WEIGHTS
+    errors: list[float] = field(default_factory=list)
 
     def transform(self, df: DataFrame) -> DataFrame:
         return _drop_scratch(self.pipeline.transform(df)).withColumn("ensemble", U.learner_average("net", "tree", self.weights))
@@ -179,30 +286,18 @@ class LegacyModel:
     @classmethod
     def load(cls, path: str, weights=C.LEGACY_LEARNER_WEIGHTS) -> "LegacyModel":
         pipeline = PipelineModel.load(f"{path.rstrip('/')}/pipeline")
-        return cls(pipeline, pipeline.stages[-1].getNumTrees, weights)
-
-
-def best_round(errors: list[float], patience: int) -> int:
-    """The round (from 1) with the least error before ``patience`` rounds without a better one."""
-    best = 0
-    for k, e in enumerate(errors):
-        if e < errors[best]:
-            best = k
-        elif k - best >= patience:
-            break
-    return best + 1
+        trees = [s for s in pipeline.stages if isinstance(s, (GBTRegressionModel, DecisionTreeRegressionModel))]
+        return cls(pipeline, sum(s.getNumTrees if isinstance(s, GBTRegressionModel) else 1 for s in trees), weights)
 
 
-def fit_legacy(frame: DataFrame, p: LegacyParams = LegacyParams()) -> tuple[LegacyModel, DataFrame]:
+def fit_legacy(frame: DataFrame, p: LegacyParams = LegacyParams(), path: str | None = None) -> tuple[LegacyModel, DataFrame]:
     """I8: the legacy trainer.
 
     Features: raw year, month, meteo and lags of the this-month flow (E6);
     target: this-month flow. An 80/20 stable hash holdout (I7) replaces the
-    shuffled split. The tree is fitted with its full budget; the holdout error
-    of each round gives the round at which it would have stopped with
-    ``p.patience``, and the same seed is fitted to that round (boosting adds
-    trees one by one, so these are the first trees of the full fit). Returns the
-    model and the holdout rows scored by both learners and the 0.6 / 0.4 ensemble.
+    shuffled split. The tree is boosted in segments of ``p.patience`` rounds and
+    stops by the holdout error (``boost``). Returns the model and the holdout
+    rows scored by both learners and the 0.6 / 0.4 ensemble.
     """
     feats = C.LEGACY_FEATURE_COLUMNS
     data = feat.hash_holdout(frame, p.holdout_pct)
@@ -211,19 +306,15 @@ def fit_legacy(frame: DataFrame, p: LegacyParams = LegacyParams()) -> tuple[Lega
     is_train = F.col("holdout") == "train"
     assembler = VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="keep")
     prep = [assembler, *fit_population_scaler(data.where(is_train), feats)]
-    rows = PipelineModel(prep).transform(data).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = PipelineModel(prep).transform(data).withColumn("held", ~is_train).persist(StorageLevel.MEMORY_AND_DISK)
+    params = TreeParams(max_iter=p.tree_rounds, learning_rate=p.tree_rate, max_depth=p.tree_depth, subsampling_rate=p.subsampling_rate,
+                        feature_subset="0.8", segment=p.patience, patience=p.patience)
     try:
-        train = rows.where(is_train)
-        net = _ridge("flow", "net", p.reg_param, p.net_max_iter).fit(train)
-        params = TreeParams(max_iter=p.tree_rounds, learning_rate=p.tree_rate, max_depth=p.tree_depth,
-                            subsampling_rate=p.subsampling_rate, feature_subset="0.8")
-        tree = _gbt("flow", "tree", params, 42).fit(train)
-        rounds = best_round(tree.evaluateEachIteration(rows.where(~is_train), "squared"), p.patience)
-        if rounds < p.tree_rounds:
-            tree = _gbt("flow", "tree", replace(params, max_iter=rounds), 42).fit(train)
+        net = _ridge("flow", "net", p.reg_param, p.net_max_iter).fit(rows.where(is_train))
+        tree = boost(rows, "flow", "tree", params, 42, path)
     finally:
         rows.unpersist()
-    model = LegacyModel(PipelineModel([*prep, net, tree]), rounds, p.weights)
+    model = LegacyModel(PipelineModel([*prep, net, *tree.stages]), tree.rounds, p.weights, tree.errors)
     return model, model.transform(data.where(~is_train))
 
 

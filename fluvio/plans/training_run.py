@@ -2,11 +2,12 @@
 
 frame -> fit ensemble -> save model -> score the band (searched or fixed
 scale, calibrated on 'test' for parity or 'val' out of sample) -> per-station
-report -> append run rows to the registry.
+report -> run rows and model committed together by one manifest.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -21,20 +22,26 @@ class RunResult:
     ensemble: learn.TrainedEnsemble
     band: DataFrame
     report: DataFrame
+    run_id: str
     model_path: str
     runs_path: str
 
 
-def train_evaluate_register(frame: DataFrame, cfg: TrainConfig, model_path: str, runs_path: str,
-                            run_id: str | None = None) -> RunResult:
+def train_evaluate_register(frame: DataFrame, cfg: TrainConfig, root: str, run_id: str | None = None) -> RunResult:
+    """Train, evaluate and commit below ``root``: ``models/``, ``runs/``, ``manifests/`` and the trees' ``segments/``.
+
+    A call with the ``run_id`` of one that ended goes on from its saved segments.
+    """
     # one reliable checkpoint of the feature frame serves the fit and the
     # scoring: the fact table is scanned once per run
+    root, run_id = root.rstrip("/"), run_id or uuid.uuid4().hex
     frame = learn.checkpointed(frame, cfg.partitions)
-    ens = learn.fit_ensemble(frame, cfg, checkpoint=False)
+    ens = learn.fit_ensemble(frame, cfg, checkpoint=False, path=f"{root}/segments/{run_id}")
+    model_path = f"{root}/models/{run_id}"
     ens.save(model_path)
     # the scored rows are kept once for the scale search and the report
     scored = score.Scored(ens.transform(frame).persist(StorageLevel.MEMORY_AND_DISK))
     band = score.scored_band(frame, scored, cfg.scale, cfg.calibration_split)
     report = score.run_report(band)
-    registry.append_runs(registry.run_rows(report, model_path, run_id), runs_path)
-    return RunResult(ens, band, report, model_path, runs_path)
+    registry.commit_run(registry.run_rows(report, model_path, run_id), root, run_id, model_path)
+    return RunResult(ens, band, report, run_id, model_path, f"{root}/runs")
