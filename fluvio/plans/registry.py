@@ -80,6 +80,8 @@ def commit_run(rows: DataFrame, root: str, run_id: str, model_path: str) -> None
     SHA-256 and is written last, as one file; committing a run twice raises.
     """
     spark, root = rows.sparkSession, root.rstrip("/")
+    if manifests(spark, root).where(F.col("run_id") == run_id).limit(1).count():
+        raise ValueError(f"run {run_id} is committed already")
     rows.write.mode("overwrite").parquet(f"{root}/runs/{run_id}")
     files = _files(spark, model_path, f"{root}/runs/{run_id}")
     parts = files.select("path").count()

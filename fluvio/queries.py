@@ -901,27 +901,42 @@ def clipped_series(spark, sf_dir):
     return rounded(b.select("station_id", "year", "month", "obs", "pred", "lower_bound", "upper_bound", "sigma"))
 
 
+def _model_folders(spark, frame, root: str) -> None:
+    """Three saved models of the four-learner layout: ``whole``; ``one_target`` without the learners of target B;
+    ``no_data`` whose stages have their metadata and nothing else."""
+    from pyspark.ml import PipelineModel
+
+    from fluvio.plans import learn
+    small = C.TrainConfig(splits=SPLITS, tree=C.TreeParams(max_iter=2, segment=1, max_depth=2))
+    ens = learn.fit_ensemble(frame, small)
+    ens.save(f"{root}/whole")
+    of_b = lambda stage: "_B" in (stage.getStatement() if hasattr(stage, "getStatement") else stage.getPredictionCol() if hasattr(stage, "getPredictionCol") else "")
+    learn.TrainedEnsemble(PipelineModel([x for x in ens.model.stages if not of_b(x)]), ens.features).save(f"{root}/one_target")
+    texts = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "part-{00000,*.txt}").text(f"{root}/whole")
+    inside = F.regexp_extract("_metadata.file_path", "/whole/(.*metadata)/[^/]*$", 1)
+    for r in texts.select(inside.alias("folder"), "value").where("folder <> '' AND folder NOT LIKE '%/treesMetadata'").collect():  # one short line for a stage
+        spark.createDataFrame([(r.value,)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/no_data/{r.folder}")
+
+
 @query("model_status", f"""WITH rep AS ({O.station_report_sql(SPLITS)})
-SELECT station_id, 'second' AS run_id, CASE WHEN station_id % 2 = 0 THEN 'loaded' ELSE 'not_loaded' END AS status,
-       station_id % 2 = 0 AS ready_for_prediction, CAST(n_train AS BIGINT) AS train_samples, CAST(n_test AS BIGINT) AS test_samples,
+SELECT station_id, 'second' AS run_id, CASE WHEN station_id % 3 = 0 THEN 'loaded' ELSE 'not_loaded' END AS status,
+       station_id % 3 = 0 AS ready_for_prediction, CAST(n_train AS BIGINT) AS train_samples, CAST(n_test AS BIGINT) AS test_samples,
        rmse AS test_rmse, nse AS test_nse, train_rmse, coverage FROM rep""")
 def model_status(spark, sf_dir):
-    """I11 + F5 + A7 + A8 + H26: two runs of each station; the latest counts. One of its two models is whole,
-    the other lacks all but its first part."""
-    from fluvio.plans import registry, score
+    """I11 + F5 + A7 + A8 + H26: two runs of each station; the latest counts. Of three models one is whole, one
+    lacks its target B, one lacks its learners' data."""
+    from fluvio.plans import registry
     from fluvio.session import scratch_path
     frame = _frame(spark, sf_dir)
     rep = ev.station_report(_band(spark, sf_dir), extra=[F.lit(1.2).alias("s_opt")])
     root, runs_path = scratch_path(spark, "models"), scratch_path(spark, "model_runs")
-    one = frame.select("station_id").limit(1)
-    for part in registry.PARTS:
-        one.write.mode("overwrite").parquet(f"{root}/whole/{part}")
-    one.write.mode("overwrite").parquet(f"{root}/broken/{registry.PARTS[0]}")
-    whole = F.when(F.col("station_id") % 2 == 0, f"{root}/whole").otherwise(f"{root}/broken")
+    _model_folders(spark, frame, root)
+    third = F.col("station_id") % 3
+    model = F.when(third == 0, f"{root}/whole").when(third == 1, f"{root}/one_target").otherwise(f"{root}/no_data")
     rows = registry.run_rows(rep, root, "first")
     both = rows.withColumn("n", F.explode(F.array(F.lit(0), F.lit(1)))).select(
         F.when(F.col("n") == 0, "first").otherwise("second").alias("run_id"),
-        *[whole.alias(c) if c == "model_path" else (F.col(c) + F.make_interval(hours=F.col("n"))).alias(c) if c == "trained_on" else F.col(c)
+        *[model.alias(c) if c == "model_path" else (F.col(c) + F.make_interval(hours=F.col("n"))).alias(c) if c == "trained_on" else F.col(c)
           for c in rows.columns if c != "run_id"])
     registry.append_runs(both, runs_path)
     out = registry.model_status(registry.read_runs(spark, runs_path), root)

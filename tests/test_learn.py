@@ -14,10 +14,12 @@ def _train_frame(spark, sf_small):
     return _frame(spark, sf_small)
 
 
-def test_train_eval_and_serving(spark, sf_small):
+def test_train_eval_and_serving(spark, sf_small, monkeypatch):
+    import fluvio.queries
+    monkeypatch.setattr(fluvio.queries, "QUERY_CFG", C.TrainConfig(splits=C.Splits(), tree=C.TreeParams(max_iter=20, segment=10, patience=10)))
     q = E.queries()
     runs = q["train_eval"](spark, sf_small).collect()
-    assert runs and all(0.5 <= r.s_opt <= 3.0 for r in runs)
+    assert runs and all(0.5 <= r.s_opt <= 3.0 and r.tree_rmse > 0 and r.net_rmse > 0 for r in runs)
     rows = q["score_requests"](spark, sf_small).collect()
     assert rows
     for r in rows:
@@ -84,6 +86,85 @@ def test_legacy_trainer_saves_serves_and_registers(spark, sf_small, tmp_path):
     assert status and all(r.status == "loaded" for r in status)
 
 
+def _boost_rows(spark, n=400):
+    import math
+
+    from pyspark.ml.feature import VectorAssembler
+    rows = [(i % 7, 2000 + i // 12, i % 12 + 1, math.sin(i), float(i % 13), 10 * math.sin(i) + (i * 7919 % 101) / 20, i % 4 == 0) for i in range(n)]
+    df = spark.createDataFrame(rows, "station_id long, year int, month int, a double, b double, y double, held boolean")
+    return VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(learn.checkpointed(df, 2))
+
+
+def _boosted(rows, stages):
+    from pyspark.ml import PipelineModel
+    return [r.p for r in PipelineModel(stages).transform(rows).orderBy("station_id", "year", "month").select("p").collect()]
+
+
+def test_a_killed_fit_goes_on_to_equal_predictions(spark, tmp_path, monkeypatch):
+    rows = _boost_rows(spark)
+    p = C.TreeParams(max_iter=12, segment=4, max_depth=3, learning_rate=0.3)
+    whole = _boosted(rows, learn.boost(rows, "y", "p", p, 7, str(tmp_path / "a")).stages)
+    fits, gbt = [], learn._gbt
+
+    class Killed(Exception):
+        pass
+
+    def dies(*args):
+        fits.append(args)
+        if len(fits) == 2:
+            raise Killed
+        return gbt(*args)
+
+    monkeypatch.setattr(learn, "_gbt", dies)
+    with pytest.raises(Killed):
+        learn.boost(rows, "y", "p", p, 7, str(tmp_path / "b"))
+    (tmp_path / "b/segment-0001/model/metadata").mkdir(parents=True)  # what a fit leaves that ends while it saves
+    again = learn.boost(rows, "y", "p", p, 7, str(tmp_path / "b"))
+    assert len(fits) == 4 and again.rounds == 12  # the first segment was not fitted again
+    assert np.allclose(_boosted(rows, again.stages), whole, atol=1e-12)
+    with pytest.raises(ValueError):
+        learn.boost(rows.where("month < 12"), "y", "p", p, 7, str(tmp_path / "b"))
+
+
+def test_segments_stop_at_the_best_round_without_a_refit(spark, monkeypatch):
+    rows = _boost_rows(spark)
+    p = C.TreeParams(max_iter=40, segment=5, max_depth=4, learning_rate=0.6, patience=5)
+    n, gbt = [], learn._gbt
+    monkeypatch.setattr(learn, "_gbt", lambda *a: (n.append(a), gbt(*a))[1])
+    got = learn.boost(rows, "y", "p", p, 3)
+    fitted = len(got.errors)
+    assert len(n) * 5 == fitted < 40 and got.rounds == learn.best_round(got.errors, 5)  # no fit beyond, none again
+    full = learn.boost(rows, "y", "p", C.TreeParams(**{**p.__dict__, "patience": 1000}), 3)
+    assert np.allclose(full.errors[:fitted], got.errors) and learn.best_round(full.errors, 5) == got.rounds
+    held = rows.where("held")
+    mse = np.mean([(a - r.y) ** 2 for a, r in zip(_boosted(held, got.stages), held.orderBy("station_id", "year", "month").collect())])
+    assert abs(mse - min(got.errors)) < 1e-9
+
+
+def test_a_crash_between_model_and_rows_leaves_no_run(spark, sf_small, tmp_path, monkeypatch):
+    from fluvio.plans import evaluate as ev, registry
+    frame, root = _train_frame(spark, sf_small), str(tmp_path / "store")
+    ens = learn.fit_ensemble(frame, C.TrainConfig(tree=None, partitions=2))
+    band = ev.with_band(ev.stand_in_predictions(frame), 1.2)
+    rep = ev.station_report(band, extra=[F.lit(1.2).alias("s_opt")])
+    assert registry.committed_runs(spark, root).count() == 0
+    rows = lambda r: registry.run_rows(rep, f"{root}/models/{r}", r)
+    for r in ("one", "two", "three"):
+        ens.save(f"{root}/models/{r}")
+    registry.commit_run(rows("one"), root, "one", f"{root}/models/one")
+    rows("two").write.parquet(f"{root}/runs/two")  # ended before the manifest
+    registry.commit_run(rows("three"), root, "three", f"{root}/models/three")
+    assert {r.run_id for r in registry.committed_runs(spark, root).select("run_id").distinct().collect()} == {"one", "three"}
+    with pytest.raises(ValueError, match="committed already"):
+        registry.commit_run(rows("one"), root, "one", f"{root}/models/one")
+    status = lambda: registry.model_status(registry.committed_runs(spark, root), root, root).select("run_id", "status").distinct().collect()
+    assert [tuple(r) for r in status()] == [("three", "loaded")]
+    part = next((tmp_path / "store/models/three/pipeline/stages").glob("3_*/data/part-*.parquet"))
+    part.write_bytes(part.read_bytes() + b"x")
+    assert {r.run_id: r.holds for r in registry.manifest_holds(spark, root).collect()} == {"one": True, "three": False}
+    assert [tuple(r) for r in status()] == [("three", "not_loaded")]
+
+
 def test_wet_forecast_above_dry_and_bare_features(spark, sf_small):
     frame = _train_frame(spark, sf_small)
     ens = learn.fit_ensemble(frame, C.TrainConfig(tree=None, partitions=4))
