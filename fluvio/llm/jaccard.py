@@ -2,27 +2,35 @@
 
 1. One scan turns every text into its set of word n-grams (64-bit hashes). The
    pairs (n-gram, document) are dealt by n-gram, as compressed blocks, and each
-   n-gram learns how many documents have it. Those of one document only can
-   never be shared; the others go back to their document's block, so every
-   document knows its shareable n-grams in the global order (rare first).
+   n-gram learns how many documents have it. One that several documents of a
+   block have travels once, with their number, and its documents stay with the
+   block. N-grams of one document only can never be shared; the others go back
+   to their block, so every document knows its shareable n-grams in the global
+   order (rare first).
 2. A document whose shareable n-grams are fewer than any partner would need in
    common has no partner. Of the others, equal sets form a class, represented
    once. Partners must have one of the first ``shareable - needed + 1``
    n-grams of each in common (prefix filter), so classes that meet at such an
-   n-gram are the candidates.
+   n-gram are the candidates. At the first n-gram that two similar sets have in
+   common, both have all their overlap from there on (positional filter): a row
+   (n-gram, class) knows the largest partner that this allows, and of any pair
+   the smaller class must allow one of its own size. An n-gram without such a
+   class is done; so a template's n-grams, which its pages have behind more
+   n-grams of their own than similar pages may, form no pair at all.
 3. Candidates of a probe class are stored in prefix trees: their ordered sets
    sorted, each with the length it shares with its neighbour. A probe walks the
    tree once; overlaps counted on a shared path are kept for all sets below it,
    and a subtree goes when its overlap so far plus the length that remains
    cannot reach what is needed.
 4. A group of classes at one n-gram is not paired with itself as a whole. It is
-   compared with one of its classes at a time, the likeliest centre first (the
-   class with the fewest n-grams of its own); that class is then settled there,
-   and so is a group whose classes have become one component. Components, not
-   links, are wanted, so a pair inside one need not be looked at. When few
-   pairs are left for a row, those still in different components are compared
-   pairwise, which ends it exactly. Sizes, n-grams of their own and a 256-bit
-   parity sketch rule out most dissimilar pairs before any is formed.
+   compared with one of its classes first, the likeliest centre (of those that
+   allow their own size, that with the fewest n-grams of its own), which is then
+   settled there; later rounds take sixteen times as many each, and large groups
+   are salted by class. A group whose classes have become one component is done:
+   components, not links, are wanted. When few pairs are left for a row, those
+   still in different components are compared pairwise, which ends it exactly.
+   Sizes, positions, n-grams of their own and a 256-bit parity sketch rule out
+   most dissimilar pairs before any is formed.
 
 Defined results: null or empty texts have no n-grams and link with nothing;
 a text of fewer than ``n`` words has its whole sequence as its one n-gram;
@@ -51,8 +59,10 @@ BLOCK = 1 << 21
 PART_BYTES = 8 << 20
 #: Set elements of a prefix tree.
 TREE = 1 << 20
-#: Groups are compared with one probe at a time while more than so many pairs for a row are left, and for so many rounds.
-FEW, ROUNDS = 3, 3
+#: Groups are compared with probes while more than so many pairs for a row are left, each round with so many times the probes of the last.
+FEW, MORE = 3, 16
+#: Classes of a group that one task compares with a round's probes.
+SALT = 2048
 
 
 #: Columns of a set's sketch: the parities of its shareable n-grams in 256 hash buckets.
@@ -102,14 +112,20 @@ def shingle_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
             order = np.argsort(key)
             key, doc = key[order], doc[order]
             edges = np.array([-(-(p << 64) // parts) for p in range(parts)], dtype=np.uint64)
-            cut = np.searchsorted(key, edges)
-            out = [(p, block, W.pack_sorted(key[a:b]), W.pack(doc[a:b])) for p, (a, b) in enumerate(zip(cut, [*cut[1:], len(key)])) if b > a]
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+            times = np.diff(np.concatenate((first, [len(key)])))
+            many = times > 1
+            here, docs_, again, count_ = key[first[~many]], doc[first[~many]], key[first[many]], times[many]
+            cut, cut2 = np.searchsorted(here, edges), np.searchsorted(again, edges)
+            out = [(p, block, W.pack_sorted(here[a:b]), W.pack(docs_[a:b]), W.pack_sorted(again[c:d]), W.pack(count_[c:d]))
+                   for p, (a, b, c, d) in enumerate(zip(cut, [*cut[1:], len(here)], cut2, [*cut2[1:], len(again)])) if b > a or d > c]
+            stay = np.repeat(many, times)
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table_.schema) as stream:
                 stream.write_table(table_)
-            out.append((-1 - block, block, sink.getvalue().to_pybytes(), b""))
+            out.append((-1 - block, block, sink.getvalue().to_pybytes(), W.pack_sorted(key[stay]), W.pack(doc[stay]), b""))
             cols = list(zip(*out))
-            return pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["part", "block", "a", "b"])
+            return pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), *[pa.binary()] * 4))], names=["part", "block", *"abcd"])
 
         for batch in chunks(batches, "text", 1 << 20):
             key, at = W.shingles(batch.column("text"), n)
@@ -121,33 +137,42 @@ def shingle_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
     def share(group: pa.Table) -> pa.Table:
         """The n-grams of a part that several documents have, sorted back to their blocks with the number of documents."""
+        names = ["block", *"abcde"]
         if group.num_rows == 0 or group.column("part")[0].as_py() < 0:
-            return group.select(["block", "a", "b"]).append_column("c", pa.array([b""] * group.num_rows, pa.binary()))
+            return group.select(["block", "a", "b", "c"]).append_column("d", pa.array([b""] * group.num_rows, pa.binary())).append_column("e", pa.array([b""] * group.num_rows, pa.binary()))
         blocks = group.column("block").to_pylist()
         keys = [W.unpack_sorted(x) for x in group.column("a").to_pylist()]
         docs_ = [W.unpack(x) for x in group.column("b").to_pylist()]
-        key = np.concatenate(keys)
+        again = [W.unpack_sorted(x) for x in group.column("c").to_pylist()]
+        key = np.concatenate([*keys, *again])
+        times = np.concatenate([*[np.ones(len(k), np.uint64) for k in keys], *[W.unpack(x) for x in group.column("d").to_pylist()]])
         order = np.argsort(key, kind="stable")
         sorted_ = key[order]
         first = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
-        times = np.diff(np.concatenate((first, [len(key)])))
         df = np.empty(len(key), dtype=np.uint64)
-        df[order] = np.repeat(times, times)
-        out, at = [], 0
-        for block, k, d in zip(blocks, keys, docs_):
-            f = df[at:at + len(k)]
-            at += len(k)
+        df[order] = np.repeat(np.add.reduceat(times[order], first), np.diff(np.concatenate((first, [len(key)]))))
+        ends = np.cumsum([len(k) for k in (*keys, *again)])
+        df_of = np.split(df, ends[:-1])
+        out = []
+        for block, k, d, f, k2, f2 in zip(blocks, keys, docs_, df_of, again, df_of[len(keys):]):
             many = f > 1
-            if many.any():
-                out.append((block, W.pack_sorted(k[many]), W.pack(d[many]), W.pack(f[many])))
-        cols = list(zip(*out)) or [(), (), (), ()]
-        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["block", "a", "b", "c"])
+            if many.any() or len(k2):
+                out.append((block, W.pack_sorted(k[many]), W.pack(d[many]), W.pack(f[many]), W.pack_sorted(k2), W.pack(f2)))
+        cols = list(zip(*out)) or [()] * 6
+        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), *[pa.binary()] * 5))], names=names)
 
     def assemble(group: pa.Table) -> pa.Table:
-        rows_ = list(zip(*(group.column(c).to_pylist() for c in "abc")))
-        tables = [pa.ipc.open_stream(a).read_all() for a, b, c in rows_ if not c]
-        info_ = tables[0]
-        parts_ = [(W.unpack_sorted(a), W.unpack(b), W.unpack(c)) for a, b, c in rows_ if c]
+        rows_ = list(zip(*(group.column(c).to_pylist() for c in "abcde")))
+        own = next(r for r in rows_ if not r[3])  # the block's own row: its documents, and the n-grams that stayed
+        info_ = pa.ipc.open_stream(own[0]).read_all()
+        stayed, holders = W.unpack_sorted(own[1]), W.unpack(own[2])
+        parts_ = [(W.unpack_sorted(a), W.unpack(b), W.unpack(c)) for a, b, c, d, _ in rows_ if d]
+        known = [(W.unpack_sorted(d), W.unpack(e)) for _, _, _, d, e in rows_ if d]
+        if parts_:
+            again, times = (np.concatenate(x) for x in zip(*known))
+            order = np.argsort(again)
+            if len(stayed):
+                parts_.append((stayed, holders, times[order][np.searchsorted(again[order], stayed)]))
         key, doc, df = (np.concatenate(x) for x in zip(*parts_)) if parts_ else (np.zeros(0, np.uint64),) * 3
         order = np.lexsort((key, df, doc))
         key, doc = key[order], doc[order]
@@ -159,8 +184,8 @@ def shingle_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
         tokens = [W.pack(key[a:b]) if p else None for a, b, p in zip(at[:-1], at[1:], prefix)]
         return info_.append_column("tokens", pa.array(tokens, pa.binary())).append_column("prefix", pa.array(prefix, pa.int32(), mask=prefix == 0))
 
-    dealt = map_arrow(rows, split, "part bigint, block bigint, a binary, b binary")
-    back = dealt.groupBy("part").applyInArrow(share, "block bigint, a binary, b binary, c binary")
+    dealt = map_arrow(rows, split, "part bigint, block bigint, a binary, b binary, c binary, d binary")
+    back = dealt.groupBy("part").applyInArrow(share, "block bigint, a binary, b binary, c binary, d binary, e binary")
     return back.groupBy("block").applyInArrow(
         assemble, f"rid bigint, doc_id {kind}, doc_key bigint, n int, s1 bigint, s2 bigint, tokens binary, prefix int")
 
@@ -215,16 +240,28 @@ def verified(pairs: DataFrame, classes: DataFrame, percent: int, tree: int = TRE
     return others.groupBy("probe", "block").cogroup(probes.groupBy("own", "own_block")).applyInArrow(walk, "a bigint, b bigint")
 
 
+#: Columns of a row (n-gram, class): the class, its size, the largest partner that its position allows, n-grams of its own, component and sketch.
+MET = ("token", "cid", "n", "most", "private", "label", *SKETCH)
+
+
 def _apart(met: DataFrame) -> DataFrame:
-    """The rows (``token, cid, n, private, label`` and sketch) of n-grams whose classes are not all of one component."""
-    apart = met.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("token")
-    return write_table(met.join(apart, "token").select("token", "cid", "n", "private", "label", *SKETCH), "jaccard-met")
+    """The rows that may still find a partner of another component at their n-gram, with the group's size ``k``.
+
+    Of two similar classes that first meet there, the smaller one allows its own
+    size (``most >= n``), and each allows the other's.
+    """
+    able = F.col("most") >= F.col("n")
+    group = met.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("label").alias("x"), F.max("label").alias("y"), F.min(F.when(able, F.col("n"))).alias("low"), F.max(F.when(able, F.col("most"))).alias("high"))
+    group = group.where("x < y AND low IS NOT NULL").select("token", "k", "low", "high")
+    return write_table(met.select(*MET).join(group, "token").where("low <= most AND high >= n").select(*MET, "k"), "jaccard-met")
 
 
 def _left(met: DataFrame) -> tuple[int, int]:
-    """(rows, pairs of classes of different components at one n-gram)."""
-    each = met.groupBy("token", "label").agg(F.count("*").alias("k")).groupBy("token").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("same"))
-    r = each.agg(F.sum("k").alias("rows"), F.sum((F.col("k") * F.col("k") - F.col("same")) / 2).alias("pairs")).first()
+    """(rows, pairs of classes of different components at one n-gram, one of which allows its own size)."""
+    pairs = lambda k, s: F.col(s) * (F.col(k) - F.col(s)) + F.col(s) * (F.col(s) - 1) / 2
+    each = met.groupBy("token", "label").agg(F.count("*").alias("k"), F.count_if(F.col("most") >= F.col("n")).alias("s"))
+    each = each.groupBy("token").agg(F.sum("k").alias("k"), F.sum("s").alias("s"), F.sum(pairs("k", "s")).alias("same"))
+    r = each.agg(F.sum("k").alias("rows"), F.sum(pairs("k", "s") - F.col("same")).alias("pairs")).first()
     return r.rows or 0, int(r.pairs or 0)
 
 
@@ -246,38 +283,44 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
             keys = [k[:p] for k, p in zip(sets_, batch.column("prefix").to_pylist())]
             if keys:
                 each = np.array([len(k) for k in keys])
+                left = np.concatenate([len(s) - np.arange(len(k)) for s, k in zip(sets_, keys)])  # n-grams from here on
                 size = batch.column("n").to_numpy()
                 private = size - np.array([len(k) for k in sets_], dtype=np.int32)
                 sketch = np.stack([parity(k) for k in sets_])
-                yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), *[pa.array(np.repeat(c, each)) for c in (
-                    batch.column("cid").to_numpy(), size, private.astype(np.int32), *sketch.T)]], names=["token", "cid", "n", "private", *SKETCH])
+                most = left * (100 + percent) // percent - np.repeat(size, each)
+                yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(most.astype(np.int32)), *[pa.array(np.repeat(c, each)) for c in (
+                    batch.column("cid").to_numpy(), size, private.astype(np.int32), *sketch.T)]], names=["token", "most", "cid", "n", "private", *SKETCH])
 
-    met = map_arrow(classes.select("cid", "n", "tokens", "prefix"), prefixes, "token bigint, cid bigint, n int, private int, " + ", ".join(f"{k} bigint" for k in SKETCH))
+    met = map_arrow(classes.select("cid", "n", "tokens", "prefix"), prefixes, "token bigint, most int, cid bigint, n int, private int, " + ", ".join(f"{k} bigint" for k in SKETCH))
     met = _apart(met.withColumn("label", F.col("cid")))
     edges = spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
 
     def may_link(other: str) -> Column:
-        """Whether sizes and sketches allow a class and one whose columns start with ``other`` to be similar."""
+        """Whether sizes, positions and sketches allow a class and one whose columns start with ``other`` to be similar."""
         n, m = F.col("n"), F.col(f"{other}n")
         both = n + m
         differ = sum((F.bit_count(F.col(k).bitwiseXOR(F.col(f"{other}{k}"))) for k in SKETCH), F.col("private") + F.col(f"{other}private"))
         overlap = F.ceil(percent * both / (100 + percent))
-        return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (differ <= both - 2 * overlap)
+        return (m <= F.col("most")) & (n <= F.col(f"{other}most")) & (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (differ <= both - 2 * overlap)
 
-    for _ in range(ROUNDS):
+    probes_each = 1
+    while True:
         rows, pairs = _left(met)
         if pairs <= FEW * rows:
             break
         # The class with the fewest n-grams of its own is the likeliest centre of a group.
-        row = ["private", "cid", "n", "label", *SKETCH]
-        probes = write_table(met.groupBy("token").agg(F.min(F.struct(*row)).alias("p")).select("token", *[F.col(f"p.{c}").alias(f"p_{c}") for c in row]), "jaccard-probes")
-        faced = met.join(probes, "token")
-        pairs = met.join(probes, (met.token == probes.token) & (F.col("label") != F.col("p_label")) & may_link("p_")).select(F.col("p_cid").alias("probe"), F.col("cid").alias("other")).distinct()
-        edges = write_table(edges.union(verified(pairs, classes, percent)), "jaccard-edges")
+        place = F.expr("row_number() OVER (PARTITION BY token ORDER BY private, cid)")
+        probes = met.where("most >= n").withColumn("place", place).where(F.col("place") <= probes_each).drop("place")
+        probes = write_table(probes.select(*[F.col(c).alias(f"p_{c}") for c in met.columns], F.explode(F.expr(f"sequence(0L, (k - 1) DIV {SALT})")).alias("p_salt")), "jaccard-probes")
+        salted = met.withColumn("salt", F.pmod(F.xxhash64("cid"), F.expr(f"(k - 1) DIV {SALT} + 1")))
+        pairs = salted.join(probes, (F.col("token") == F.col("p_token")) & (F.col("salt") == F.col("p_salt")) & (F.col("label") != F.col("p_label")) & may_link("p_"))
+        edges = write_table(edges.union(verified(pairs.select(F.col("p_cid").alias("probe"), F.col("cid").alias("other")).distinct(), classes, percent)), "jaccard-edges")
         label = components(edges).select(F.col("node").alias("cid"), F.col("label").alias("now"))
         # A probe has met its whole group, so its pairs there are settled.
-        rest = faced.where("cid <> p_cid").select(*met.columns).join(label, "cid", "left")
+        settled = probes.where("p_salt = 0").select(F.col("p_token").alias("token"), F.col("p_cid").alias("cid"))
+        rest = met.join(settled, ["token", "cid"], "left_anti").join(label, "cid", "left")
         met = _apart(rest.withColumn("label", F.coalesce("now", "label")).drop("now"))
+        probes_each *= MORE
     other = met.select(*[F.col(c).alias(f"o_{c}") for c in met.columns])
     rest = met.join(other, (F.col("token") == F.col("o_token")) & (F.col("cid") < F.col("o_cid")) & (F.col("label") != F.col("o_label")) & may_link("o_"))
     edges = write_table(edges.union(verified(rest.select(F.col("cid").alias("probe"), F.col("o_cid").alias("other")).distinct(), classes, percent)), "jaccard-edges")

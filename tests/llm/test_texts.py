@@ -488,3 +488,31 @@ def test_viterbi_equals_exhaustive_search():
         paths = [("".join(x for x, _ in p), sum(c for _, c in p)) for p in product(*toxicity.lattice(token))]
         best = max(paths, key=lambda p: cost(p[0]) + p[1])
         assert channel.restore(token) == best[0]
+
+
+def test_template_pages_form_few_pairs(spark, monkeypatch):
+    """1,000 different pages of one template, each there twice: their template n-grams make no pairs."""
+    import random
+    rng = random.Random(4)
+    template = [f"t{i}" for i in range(120)]
+    rows = []
+    for i in range(1000):
+        at, own = rng.randrange(121), [f"o{rng.randrange(10**9)}" for _ in range(rng.randrange(20, 40))]
+        rows += [(2 * i + k, " ".join(template[:at] + own + template[at:])) for k in range(2)]
+    formed, verified = [], jaccard.verified
+    monkeypatch.setattr(jaccard, "verified", lambda pairs, *a: (formed.append(pairs.count()), verified(pairs, *a))[1])
+    got = jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert {(r.doc_id, r.component_id) for r in got.collect()} == {(d, d - d % 2) for d, _ in rows}
+    assert sum(formed) <= len(rows)
+
+
+def test_hot_ngrams_within_and_across_blocks(spark, monkeypatch):
+    """N-grams that many documents of a block have, of one block and of all: equal to brute force with small blocks."""
+    import random
+    rng = random.Random(9)
+    line = sentence(rng, 12)
+    rows = [(i, f"{line} {sentence(rng, 3 + i % 5)} {line if i % 3 else ''}") for i in range(60)] + [(100 + i, rows_text) for i, rows_text in enumerate([line] * 7)]
+    rows += [(200 + i, f"{line} {line} {'x y z' if i % 2 else 'x y'}") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = jaccard.similar(docs).select("doc_id", "n_shingles", "component_id")
+    assert rows_of(got) == sorted(components_by_hand(rows), key=repr)
