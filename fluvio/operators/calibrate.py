@@ -78,6 +78,19 @@ def scale_search(rows: DataFrame, obs="obs", pred="pred", sigma="sigma_base", ob
     (a fixed candidate repeated on several bins only duplicates an identical
     row). The population sd comes from the bin moments (sum, sum of squares).
     """
+    return search_bins(cover_bins(rows, obs, pred, sigma, obs_width, keys), keys)
+
+
+#: Sums of a bin; bins of different rows are merged by adding them.
+BIN_SUMS = ("_cnt", "_s_sb2", "_c_sb2", "_s_r", "_c_r", "_s_o", "_s_o2", "_c_o")
+
+
+def cover_bins(rows: DataFrame, obs="obs", pred="pred", sigma="sigma_base", obs_width="obs_width", keys=("station_id",)) -> DataFrame:
+    """The histogram of a search: a row for a group and first-covered index ``_k``, with ``BIN_SUMS``.
+
+    It can be stored and added to: the search over the bins of all parts of the
+    rows equals the search over the rows, as long as each row's sigma stays.
+    """
     keys = list(keys)
     sb2 = _c(sigma) * 2
     o = _c(obs)
@@ -90,12 +103,18 @@ def scale_search(rows: DataFrame, obs="obs", pred="pred", sigma="sigma_base", ob
         F.least(F.greatest(cover_index(obs, pred, sigma), F.lit(K_MIN)), F.lit(K_MAX + 1)).alias("_k"),
         sb2.alias("_sb2"), F.try_divide(sb2, _c(obs_width)).alias("_r"), o.alias("_o"),
     )
-    hist0 = base.groupBy(*keys, "_k").agg(
+    return base.groupBy(*keys, "_k").agg(
         F.count(F.lit(1)).alias("_cnt"),
         F.sum("_sb2").alias("_s_sb2"), F.count("_sb2").alias("_c_sb2"),
         F.sum("_r").alias("_s_r"), F.count("_r").alias("_c_r"),
         F.sum("_o").alias("_s_o"), F.sum(F.col("_o") * F.col("_o")).alias("_s_o2"), F.count("_o").alias("_c_o"),
     )
+
+
+def search_bins(bins: DataFrame, keys=("station_id",)) -> DataFrame:
+    """The best scale of each group from its bins, those of several parts added up first."""
+    keys = list(keys)
+    hist0 = bins.groupBy(*keys, "_k").agg(*[F.sum(c).alias(c) for c in BIN_SUMS])
     # group coefficients over the bins: r(s) = s*A, w(s) = s*B
     wg = Window.partitionBy(*keys)
     tot = {c: F.sum(c).over(wg) for c in ("_cnt", "_s_sb2", "_c_sb2", "_s_r", "_c_r", "_s_o", "_s_o2", "_c_o")}

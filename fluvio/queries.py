@@ -176,6 +176,25 @@ def upper_fence(spark, sf_dir):
     return rounded(robust.upper_fence_by_station(f, C.TARGET_A))
 
 
+@query("sketch_fence", f"""WITH {O.frame_cte(SPLITS)},
+s AS (SELECT station_id, CASE WHEN year <= 1996 THEN 'early' ELSE 'late' END AS span, flow_next_month AS v FROM frame WHERE split = 'train'
+      UNION ALL SELECT station_id, 'all', flow_next_month FROM frame WHERE split = 'train'),
+r AS (SELECT *, row_number() OVER (PARTITION BY station_id, span ORDER BY v) AS i, count(*) OVER (PARTITION BY station_id, span) AS n FROM s),
+q AS (SELECT station_id, span, max(n) AS n, min(v) FILTER (WHERE i >= 0.25 * n) AS q1, min(v) FILTER (WHERE i >= 0.75 * n) AS q3 FROM r GROUP BY station_id, span)
+SELECT station_id, span, n, {_R('q1', 'q1')}, {_R('q3', 'q3')}, {_R(f'q3 + {C.FENCE_K} * (q3 - q1)', 'upper_fence')} FROM q""")
+def sketch_fence(spark, sf_dir):
+    """D9 from a store of one sketch for a station and year: the fences of three spans read the store, not the months.
+    (A station has fewer months than a sketch holds, so its quartiles are exact; tests hold larger merges to the bound.)"""
+    from fluvio.operators import sketches
+    from fluvio.session import scratch_path
+    path = scratch_path(spark, "sketches")
+    sketches.sketch_store(_frame(spark, sf_dir).where(F.col("split") == "train"), C.TARGET_A).write.parquet(path)
+    store = spark.read.parquet(path)
+    span = F.array(F.lit("all"), F.when(F.col("year") <= 1996, "early").otherwise("late"))
+    store = store.withColumn("span", F.explode(span))
+    return rounded(sketches.fences(sketches.merged(store, ("station_id", "span")), ("station_id", "span")))
+
+
 @query("mad_sigma", f"""WITH {O.band_cte(SPLITS)}
 SELECT station_id, {_R('max(sigma_A)', 'sigma_A')}, {_R('max(sigma_B)', 'sigma_B')} FROM band
 WHERE split = 'test' GROUP BY station_id""")
@@ -293,6 +312,24 @@ def skill_metrics(spark, sf_dir):
     return rounded(_report(spark, sf_dir).select("station_id", *cols))
 
 
+@query("skill_stored", _report_subset_sql(["n_test"] + _SKILL))
+def skill_stored(spark, sf_dir):
+    """D1-D7 from stored moments: the scored rows come as a stream in five files, each adds its partial rows, and the
+    metrics read the store alone. Equals ``skill_metrics``."""
+    from fluvio.operators import moments
+    from fluvio.session import scratch_path
+    base = scratch_path(spark, "moments")
+    rows = _band(spark, sf_dir).where(F.col("split") == "test").select("station_id", "year", "month", "obs", "pred")
+    rows.write.parquet(base + "/all")
+    rows = spark.read.parquet(base + "/all")
+    for k in range(5):
+        rows.where((F.col("year") + F.col("month") * 3) % 5 == k).write.mode("append").parquet(base + "/rows")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 3).parquet(base + "/rows")
+    moments.moments_stream(stream, "obs", "pred", base + "/moments", base + "/_checkpoint")
+    merged = moments.merge_moments(moments.read_moments(spark, base + "/moments"))
+    return rounded(moments.skill_from_moments(merged).select("station_id", F.col("n").alias("n_test"), *_SKILL))
+
+
 @query("peak_nse", _report_subset_sql(["upper_fence", "nse_peaks", "train_nse_peaks"]))
 def peak_nse(spark, sf_dir):
     """D8 with B17: NSE over rows above the train upper fence."""
@@ -362,6 +399,20 @@ def scale_search(spark, sf_dir):
     return rounded(search(b))
 
 
+@query("scale_search_stored", _scale_search_sql())
+def scale_search_stored(spark, sf_dir):
+    """I9 / I10 after new months: each part of the test months adds its bins to the store, and the search reads bins only."""
+    from fluvio.operators.calibrate import cover_bins, search_bins
+    from fluvio.session import scratch_path
+    path = scratch_path(spark, "cover_bins")
+    rows = _band(spark, sf_dir).where(F.col("split") == "test").select("station_id", "month", "obs", "pred", "sigma_base", "obs_width")
+    rows.write.parquet(path + "/rows")
+    rows = spark.read.parquet(path + "/rows")
+    for first, last in ((1, 4), (5, 12)):
+        cover_bins(rows.where(F.col("month").between(first, last))).write.mode("append").parquet(path + "/bins")
+    return rounded(search_bins(spark.read.parquet(path + "/bins")))
+
+
 @query("scale_search_val", _scale_search_sql("val"))
 def scale_search_val(spark, sf_dir):
     """Out-of-sample mode: MAD sigmas and the scale search on the validation years."""
@@ -965,15 +1016,21 @@ def stream_obs_filter(spark, sf_dir):
 SELECT request_id, station_id, year, month, predicted_flow, uncertainty, CAST(NULL AS VARCHAR) AS violations FROM scored
 UNION ALL SELECT request_id, station_id, year, month, NULL, NULL, array_to_string(vs, '; ') FROM bad WHERE len(vs) > 0""")
 def stream_score(spark, sf_dir):
-    """A4 as a JSON request stream -> B14 -> I6 in foreachBatch (accepted + quarantined sinks)."""
+    """A4 as a JSON request stream -> B14 -> I6 in foreachBatch (accepted + quarantined sinks), in two runs on one
+    checkpoint; the second brings a third of the requests again, which are not answered twice."""
     from fluvio.session import scratch_path
     from fluvio.sources.requests import requests_from_frame
     from fluvio.streaming.streams import request_stream, score_request_stream
     model, runs = _serving(spark, sf_dir)
     base = scratch_path(spark, "stream_score")
-    requests_from_frame(_frame(spark, sf_dir)).write.mode("overwrite").json(base + "/requests")
-    score_request_stream(request_stream(spark, base + "/requests"), model, runs,
-                         base + "/accepted", base + "/quarantined", base + "/_checkpoint")
+    rows = requests_from_frame(_frame(spark, sf_dir))
+    rows.write.mode("overwrite").json(base + "/sent")
+    rows = spark.read.schema(rows.schema).json(base + "/sent")
+    part = F.pmod(F.xxhash64("request_id"), F.lit(3))
+    for again in (False, True):
+        rows.where(part > 0 if not again else part < 2).write.mode("append").json(base + "/requests")
+        score_request_stream(request_stream(spark, base + "/requests"), lambda: (model, runs, None),
+                             base + "/accepted", base + "/quarantined", base + "/_checkpoint")
     a = spark.read.parquet(base + "/accepted").select(
         "request_id", "station_id", "year", "month", "predicted_flow", "uncertainty", F.lit(None).cast("string").alias("violations"))
     q = spark.read.parquet(base + "/quarantined").select(
@@ -982,6 +1039,59 @@ def stream_score(spark, sf_dir):
     return a.unionByName(q)
 
 
+@query("stream_served", f"""WITH {_requests_sql(O.frame_cte(SPLITS))}
+SELECT request_id, CASE WHEN len(list_filter([{', '.join(_violations_sql())}], lambda x: x IS NOT NULL)) > 0 THEN NULL
+       WHEN CAST('0x' || substr(md5(request_id), 1, 4) AS BIGINT) % 2 = 0 THEN 'first' ELSE 'second' END AS run_id,
+       CASE WHEN len(list_filter([{', '.join(_violations_sql())}], lambda x: x IS NOT NULL)) = 0 THEN TRUE END AS in_band FROM requests""")
+def stream_served(spark, sf_dir):
+    """A8 + I6: requests answered by saved ensembles. Each part of the stream is answered by the run that was the
+    latest committed one when it came; a third run, whose commit did not end, is never used."""
+    from fluvio.plans import registry
+    from fluvio.plans.training_run import train_evaluate_register
+    from fluvio.session import scratch_path
+    from fluvio.sources.requests import requests_from_frame
+    from fluvio.streaming.streams import CommittedService, request_stream, score_request_stream
+    base = scratch_path(spark, "stream_served")
+    frame = _frame(spark, sf_dir).checkpoint()
+    rows = requests_from_frame(frame).checkpoint()
+    half = F.conv(F.substring(F.md5("request_id"), 1, 4), 16, 10).cast("int") % 2
+    service = CommittedService(spark, f"{base}/store")
+    for k, run in enumerate(("first", "second")):
+        train_evaluate_register(frame, C.TrainConfig(splits=SPLITS, tree=None, scale=C.SCALE_FIXED), f"{base}/store", run)
+        registry.read_runs(spark, f"{base}/store/runs/{run}").withColumn("run_id", F.lit("lost")).write.mode("overwrite").parquet(f"{base}/store/runs/lost")
+        rows.where(half == k).write.mode("append").json(base + "/requests")
+        score_request_stream(request_stream(spark, base + "/requests"), service, base + "/accepted", base + "/quarantined", base + "/_checkpoint")
+    a = spark.read.parquet(base + "/accepted")
+    band = F.col("predicted_flow").between(F.col("lower_bound"), F.col("upper_bound")) | (F.col("lower_bound") == 0)
+    return a.select("request_id", "run_id", band.alias("in_band")).unionByName(
+        spark.read.parquet(base + "/quarantined").select("request_id", F.lit(None).cast("string").alias("run_id"), F.lit(None).cast("boolean").alias("in_band")))
+
+
+_LAG_COLS = ("pr_mean", "pr_lag1", "pr_lag2", "pr_lag3", "pr_sum3", "pr_api3", "y_lag1", "y_lag2", "y_lag3", "y_rm3", "month_sin", "month_cos")
+
+
+@query("stream_lags", f"""WITH {O.features_cte()}
+SELECT {_KEYS}, {', '.join(_R(c, c) for c in _LAG_COLS)} FROM features""")
+def stream_lags(spark, sf_dir):
+    """E1-E5 on a stream: the panel comes in four parts that overlap in time, and is emitted behind a watermark."""
+    from fluvio.session import scratch_path
+    from fluvio.streaming.lags import closing_row, lag_stream, rocksdb
+    from fluvio.streaming.streams import run_available_now
+    base = scratch_path(spark, "stream_lags")
+    panel = _panel(spark, sf_dir).select("station_id", "year", "month", "pr_min", "pr_max", C.TARGET_A)
+    panel.write.parquet(base + "/panel")
+    panel = spark.read.parquet(base + "/panel")
+    first = panel.agg(F.min(F.col("year") * 12 + F.col("month"))).first()[0]
+    part = F.least(F.lit(3), F.expr(f"(year * 12 + month - {first} + station_id % 3) DIV 21"))
+    for k in range(4):
+        panel.where(part == k).write.mode("append").parquet(base + "/months")
+    closing_row(spark, panel).write.mode("append").parquet(base + "/months")
+    stream = spark.readStream.schema(panel.schema).option("maxFilesPerTrigger", 2).parquet(base + "/months")
+    with rocksdb(spark):
+        run_available_now(lag_stream(stream, "24 months"), base + "/lags", base + "/_checkpoint")
+    return rounded(spark.read.parquet(base + "/lags").select("station_id", "year", "month", *_LAG_COLS))
+
+
 # --- fixed band scale (the original's s = 1.258 mode) ------------------------------------------
 
 @query("fixed_scale_report", f"""SELECT station_id, n_test, coverage, rel_width, width_ratio, pbias, risk
