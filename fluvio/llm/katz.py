@@ -19,7 +19,10 @@ tokens (``heads`` at most, whatever the corpus) are broadcast with their
 counts. A bigram with a rare word goes to that word's part; one whose context
 is rare to the context's; one of two frequent words to its context's part, or
 by both words when the context alone outweighs a part. So no part grows with a
-hot word, a rare word's count is known where its bigrams are, and each document
+hot word, and a rare word's count is known where its bigrams are. Bigrams that
+make up 1/``heads`` of the training tokens (``heads`` at most, all of two
+frequent words) are broadcast as well and scored in the scan's task, so no part
+gets the occurrences of a hot bigram either. Of the others each document
 block sends its bigrams once: they meet the part's counts, back off there if
 unseen, and sums for each document return to the block. Only an unseen bigram
 of two rare words asks a second part for its context's backoff weight.
@@ -46,7 +49,7 @@ from fluvio.llm.quality import held_out
 
 #: Counts up to K are discounted.
 K = 5
-#: Bound on the words that are broadcast (16 bytes each, and 16 more with their backoff).
+#: Bound on the words that are broadcast (16 bytes each, and 16 more with their backoff), and on the bigrams (16 bytes each).
 HEADS = 1 << 20
 #: Tokens of a block of documents.
 BLOCK = 1 << 20
@@ -85,6 +88,18 @@ class Katz:
     # By frequent word, BEGIN last: log10 of Z and of alpha.
     log_z: np.ndarray = field(default_factory=lambda: np.zeros(0))
     log_alpha: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    # Frequent bigrams (context id and word id in one, sorted) and their counts.
+    hot: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    hot_counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+
+    def log_hot(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether a bigram is one of the frequent ones, log10 P(word | context) of those)."""
+        if not len(self.hot):
+            return np.zeros(len(word), bool), np.zeros(0)
+        key = (context << _U(32)) | word
+        i = np.minimum(np.searchsorted(self.hot, key), len(self.hot) - 1)
+        there = (context < _TOP) & (word < _TOP) & (self.hot[i] == key)
+        return there, self.log_seen(self.hot_counts[i[there]]) - self.log_z[context[there].astype(np.int64)]
 
     def log_word(self, n: np.ndarray) -> np.ndarray:
         """log10 P(w) of words counted ``n`` times."""
@@ -261,6 +276,23 @@ def contexts(bigrams: DataFrame, model: Katz) -> DataFrame:
     return all_.select("h", F.log10(z).alias("log_z"), F.log10((1 - F.col("kept") / z) / (1 - F.col("p"))).alias("log_alpha"))
 
 
+def hot_bigrams(bigrams: DataFrame, model: Katz, heads: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bigrams that make up at least 1/``heads`` of the training tokens, sorted, and their counts."""
+    least = -(-model.tokens // heads)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, n in zip(batch.column("a").to_pylist(), batch.column("n").to_pylist()):
+                n = W.unpack(n).astype(np.int64)
+                many = n >= max(least, 2)
+                yield pa.record_batch([pa.array(W.unpack_sorted(a)[many].view(np.int64)), pa.array(n[many])], names=["a", "n"])
+
+    rows = map_arrow(bigrams.where(F.col("class") == FREQUENT).select("a", "n"), run, "a bigint, n bigint").toArrow()  # at most ``heads`` rows
+    a = rows.column("a").to_numpy().view(np.uint64)
+    order = np.argsort(a)
+    return a[order], rows.column("n").to_numpy()[order]
+
+
 def packed_contexts(rows: DataFrame, model: Katz) -> DataFrame:
     """The rare contexts as a row for each part: sorted ids and the two logarithms."""
     known = rows.sparkSession.sparkContext.broadcast(model)
@@ -301,6 +333,7 @@ def fit(docs: DataFrame, train: Column, heads: int = HEADS, part_bytes: int = PA
     model.log_z, model.log_alpha = (np.zeros(len(model.heads) + 1) for _ in range(2))
     for c, out in (("log_z", model.log_z), ("log_alpha", model.log_alpha)):
         out[top.column("h").to_numpy()] = top.column(c).to_numpy()
+    model.hot, model.hot_counts = hot_bigrams(bigrams, model, heads)
     backoff = write_table(packed_contexts(rows.where("h < 0"), model), "katz-backoff")
     return model, bigrams.drop("times").union(backoff)
 
@@ -378,6 +411,9 @@ def score(docs: DataFrame, model: Katz, tables: DataFrame, train: Column) -> Dat
             info = info.append_column("n_tokens", pa.array(np.bincount(doc, minlength=rows)))
             info = info.append_column("n_known", pa.array(np.bincount(of, minlength=rows)))
             info = info.append_column("base", pa.array(np.bincount(of, logs, rows)))
+            hot, log_p = m.log_hot(context, word)
+            info = info.append_column("score", pa.array(np.bincount(doc[hot], log_p, rows)))
+            context, word, doc = context[~hot], word[~hot], doc[~hot]
             block = int(info.column("rid")[0].as_py())
             part, class_, a, b, order = m.deal(context, word)
             a, b, doc = a[order], b[order], doc[order].astype(np.uint64)
@@ -452,7 +488,7 @@ def score(docs: DataFrame, model: Katz, tables: DataFrame, train: Column) -> Dat
                         total[k, doc] += np.frombuffer(v)
         return pa.table([info.column("doc_id"), info.column("train"), info.column("n_tokens"),
                          pa.array(info.column("n_known").to_numpy() + np.rint(total[2]).astype(np.int64)),
-                         pa.array(info.column("base").to_numpy() + total[1]), pa.array(total[0])],
+                         pa.array(info.column("base").to_numpy() + total[1]), pa.array(info.column("score").to_numpy() + total[0])],
                         names=["doc_id", "train", "n_tokens", "n_known", "base", "score"])
 
     texts = _texts(docs, rid=F.monotonically_increasing_id(), doc_id=F.col("doc_id"), train=train)
