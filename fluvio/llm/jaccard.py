@@ -27,8 +27,8 @@
    allow their own size, that with the fewest n-grams of its own), which is then
    settled there; later rounds take sixteen times as many each, and large groups
    are salted by class. A group whose classes have become one component is done:
-   components, not links, are wanted. When few pairs are left for a row, those
-   still in different components are compared pairwise, which ends it exactly.
+   components, not links, are wanted. When the pairs that are left are few for
+   each row that there was at first, the next round takes all, which ends it.
    Sizes, positions, n-grams of their own and a 256-bit parity sketch rule out
    most dissimilar pairs before any is formed.
 
@@ -59,7 +59,7 @@ BLOCK = 1 << 21
 PART_BYTES = 8 << 20
 #: Set elements of a prefix tree.
 TREE = 1 << 20
-#: Groups are compared with probes while more than so many pairs for a row are left, each round with so many times the probes of the last.
+#: Groups are compared with probes while more than so many pairs are left for each first row, each round with so many times the probes of the last.
 FEW, MORE = 3, 16
 #: Classes of a group that one task compares with a round's probes.
 SALT = 2048
@@ -303,27 +303,30 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         overlap = F.ceil(percent * both / (100 + percent))
         return (m <= F.col("most")) & (n <= F.col(f"{other}most")) & (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (differ <= both - 2 * overlap)
 
-    probes_each = 1
+    probes_each, at_first = 1, None
     while True:
         rows, pairs = _left(met)
-        if pairs <= FEW * rows:
+        if not pairs:
             break
+        at_first = at_first or rows
+        last = pairs <= FEW * at_first
         # The class with the fewest n-grams of its own is the likeliest centre of a group.
         place = F.expr("row_number() OVER (PARTITION BY token ORDER BY private, cid)")
-        probes = met.where("most >= n").withColumn("place", place).where(F.col("place") <= probes_each).drop("place")
+        probes = met.where("most >= n")
+        probes = probes if last else probes.withColumn("place", place).where(F.col("place") <= probes_each).drop("place")
         probes = write_table(probes.select(*[F.col(c).alias(f"p_{c}") for c in met.columns], F.explode(F.expr(f"sequence(0L, (k - 1) DIV {SALT})")).alias("p_salt")), "jaccard-probes")
         salted = met.withColumn("salt", F.pmod(F.xxhash64("cid"), F.expr(f"(k - 1) DIV {SALT} + 1")))
-        pairs = salted.join(probes, (F.col("token") == F.col("p_token")) & (F.col("salt") == F.col("p_salt")) & (F.col("label") != F.col("p_label")) & may_link("p_"))
+        once = (F.col("cid") > F.col("p_cid")) | (F.col("most") < F.col("n")) if last else F.lit(True)
+        pairs = salted.join(probes, (F.col("token") == F.col("p_token")) & (F.col("salt") == F.col("p_salt")) & (F.col("label") != F.col("p_label")) & once & may_link("p_"))
         edges = write_table(edges.union(verified(pairs.select(F.col("p_cid").alias("probe"), F.col("cid").alias("other")).distinct(), classes, percent)), "jaccard-edges")
+        if last:
+            break
         label = components(edges).select(F.col("node").alias("cid"), F.col("label").alias("now"))
         # A probe has met its whole group, so its pairs there are settled.
         settled = probes.where("p_salt = 0").select(F.col("p_token").alias("token"), F.col("p_cid").alias("cid"))
         rest = met.join(settled, ["token", "cid"], "left_anti").join(label, "cid", "left")
         met = _apart(rest.withColumn("label", F.coalesce("now", "label")).drop("now"))
         probes_each *= MORE
-    other = met.select(*[F.col(c).alias(f"o_{c}") for c in met.columns])
-    rest = met.join(other, (F.col("token") == F.col("o_token")) & (F.col("cid") < F.col("o_cid")) & (F.col("label") != F.col("o_label")) & may_link("o_"))
-    edges = write_table(edges.union(verified(rest.select(F.col("cid").alias("probe"), F.col("o_cid").alias("other")).distinct(), classes, percent)), "jaccard-edges")
     label = components(edges).select(F.col("node").alias("cid"), "label")
     classes = classes.join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     least = classes.groupBy("label").agg(F.min("least").alias("component_id"))
