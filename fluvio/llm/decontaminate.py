@@ -4,8 +4,9 @@ Words are runs of letters and digits, lower-cased. A mask keeps some positions
 of a short window and ignores the others, so a seed survives substituted words
 at ignored positions. Seeds of all benchmark windows (a table whose size is
 checked; a large benchmark is taken in blocks of items) meet the seeds of every
-window of every document in a broadcast join. Around each hit the benchmark
-text is laid over the document at the hit's offset and compared word by word. An
+window of every document in a broadcast join. A hit that merely goes on from the
+hit one word before (same mask and offset) is left out, so a passage costs a
+few comparisons whatever its length. Around each other hit the benchmark text is laid over the document at the hit's offset and compared word by word. An
 item shorter than the longest mask has masks of its own, over all its words, that
 find it wherever as many words differ as the rule allows. A
 document overlaps an item when, in some ``window`` aligned words (all of a
@@ -54,7 +55,7 @@ def whole_masks(words: int, differ: int) -> list[str]:
 
 
 def seeds(words: DataFrame, masks: tuple[str, ...], whole: tuple[str, ...] = (), items: bool = False) -> DataFrame:
-    """``words`` (with ``words`` and their hashes ``hs``) with ``pos`` and ``seed``: a row for every window and mask.
+    """``words`` (with ``words`` and their hashes ``hs``) with ``pos``, ``mask`` and ``seed``: a row for every window and mask.
 
     Masks of ``whole`` are for short items: of ``items``, they are laid only over those of just their length.
     """
@@ -67,7 +68,19 @@ def seeds(words: DataFrame, masks: tuple[str, ...], whole: tuple[str, ...] = (),
             fits &= F.size("hs") == len(mask)
         return F.when(fits, F.xxhash64(F.lit(m), *kept))
 
-    return at.select(*words.columns, "pos", F.explode(F.array(*[seed(m, mask) for m, mask in enumerate((*masks, *whole))])).alias("seed")).where("seed IS NOT NULL")
+    return at.select(*words.columns, "pos", F.posexplode(F.array(*[seed(m, mask) for m, mask in enumerate((*masks, *whole))])).alias("mask", "seed")).where("seed IS NOT NULL")
+
+
+def goes_on(masks: tuple[str, ...]) -> Column:
+    """Whether a hit (``words, pos, item, item_pos, mask``) was a hit one word before as well; masks over whole items have no word before."""
+    same = F.lit(False)
+    for m, mask in enumerate(masks):
+        kept = [F.get("words", F.col("pos") + (k - 1)) == F.get("item", F.col("item_pos") + (k - 1)) for k, c in enumerate(mask) if c == "1"]
+        all_same = kept[0]
+        for x in kept[1:]:
+            all_same = all_same & x
+        same = F.when(F.col("mask") == m, all_same).otherwise(same)
+    return (F.col("pos") > 0) & (F.col("item_pos") > 0) & F.coalesce(same, F.lit(False))
 
 
 def overlaps(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, window: int = WINDOW,
@@ -89,11 +102,11 @@ def overlaps(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS,
     rows = need(docs, doc_id="doc_id", text="text").select("doc_id", document_key(F.col("doc_id"), F.col("text")).alias("doc_key"), word_array(F.col("text")).alias("words"))
     found = None
     for b in range(max(1, blocks)):
-        block = tests.where(F.pmod("item_key", F.lit(max(1, blocks))) == b)
+        block = tests.where(F.pmod(F.xxhash64("item_key"), F.lit(max(1, blocks))) == b)
         known = seeds(hashed(block.select("item_key", F.col("item").alias("words"))), masks, whole, items=True).select("seed", "item_key", F.col("pos").alias("item_pos"))
-        hits = seeds(hashed(rows), masks, whole).join(F.broadcast(known), "seed").select(
-            "doc_id", "doc_key", "words", "item_key", (F.col("pos") - F.col("item_pos")).alias("offset"))
-        one = _verified(hits.join(F.broadcast(block), "item_key"), window, substitutions)
+        hits = seeds(hashed(rows), masks, whole).drop("hs").join(F.broadcast(known), "seed").join(F.broadcast(block), "item_key").where(~goes_on(masks)).select(
+            "doc_id", "doc_key", "words", "item_key", "item_id", "item", (F.col("pos") - F.col("item_pos")).alias("offset"))
+        one = _verified(hits, window, substitutions)
         found = one if found is None else found.union(one)
     best = F.max(F.struct("matched", (-F.col("compared")).alias("less"), (-F.col("doc_start")).alias("at"))).alias("best")
     return found.groupBy("doc_id", "doc_key", "item_key", "item_id").agg(best).select(
@@ -119,8 +132,8 @@ def _verified(hits: DataFrame, window: int, substitutions: int) -> DataFrame:
 
 
 def document_key(doc_id: Column, text: Column) -> Column:
-    """A hash of id and text: equal rows are equal documents, nulls included."""
-    return F.xxhash64(doc_id, F.isnull(doc_id), text)
+    """128 bits of hash of id and text: equal rows are equal documents, nulls included."""
+    return F.concat(*[F.hex(F.xxhash64(F.lit(k), doc_id, F.isnull(doc_id), text)) for k in (1, 2)])
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:

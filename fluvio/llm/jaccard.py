@@ -93,7 +93,7 @@ def shingle_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
         F.monotonically_increasing_id().alias("rid"), "doc_id", document_key(F.col("doc_id"), F.col("text")).alias("doc_key"),
         F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
     parts = max(8, -(-input_bytes(docs) // PART_BYTES))
-    info = pa.schema([("rid", pa.int64()), ("doc_id", pa.null()), ("doc_key", pa.int64()), ("n", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64())])
+    info = pa.schema([("rid", pa.int64()), ("doc_id", pa.null()), ("doc_key", pa.string()), ("n", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64())])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple[pa.RecordBatch, np.ndarray, np.ndarray]] = []
@@ -187,7 +187,7 @@ def shingle_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
     dealt = map_arrow(rows, split, "part bigint, block bigint, a binary, b binary, c binary, d binary")
     back = dealt.groupBy("part").applyInArrow(share, "block bigint, a binary, b binary, c binary, d binary, e binary")
     return back.groupBy("block").applyInArrow(
-        assemble, f"rid bigint, doc_id {kind}, doc_key bigint, n int, s1 bigint, s2 bigint, tokens binary, prefix int")
+        assemble, f"rid bigint, doc_id {kind}, doc_key string, n int, s1 bigint, s2 bigint, tokens binary, prefix int")
 
 
 class PrefixTree:
