@@ -9,8 +9,10 @@ a pair meet in one shuffle on the pair's id.
 Defined results: turns are in order of ``turn`` (null last), then role and
 text; rows repeated wholly are one turn; a null role counts as ``user`` and a
 null text as empty; rows of a null conversation belong to no pair and are left
-out; a pair that lacks a side, has equal conversations, or has no assistant
-turn in a completion is returned with that ``status``; an empty table gives an
+out; a pair that lacks a side, has equal conversations, has a marker in a text or
+a marker's character in a role (it could pass for a turn that nobody wrote), or
+has no assistant turn in a completion is returned with that ``status``, of
+several the first named; an empty table gives an
 empty result; further columns play no part.
 """
 
@@ -55,9 +57,10 @@ def preference_pairs(turns: DataFrame, trained: str = "assistant") -> DataFrame:
     common = F.when(differ > 0, differ - 1).otherwise(F.least(F.size("c"), F.size("r"))).cast("int")
     pairs = pairs.withColumn("n_common", common)
     rest = lambda side: F.slice(side, F.col("n_common") + 1, F.greatest(F.size(side) - F.col("n_common"), F.lit(0)))
-    pairs = pairs.select("pair_id", "n_common", F.slice("c", 1, F.col("n_common")).alias("p"), rest("c").alias("cr"), rest("r").alias("rr"), F.size("c").alias("nc"), F.size("r").alias("nr"))
+    forged = lambda side: F.exists(side, lambda t: F.contains(t["text"], F.lit(OPEN)) | F.rlike(t["role"], F.lit("[<|>\\n]")))
+    pairs = pairs.select("pair_id", "n_common", (forged("c") | forged("r")).alias("marker"), F.slice("c", 1, F.col("n_common")).alias("p"), rest("c").alias("cr"), rest("r").alias("rr"), F.size("c").alias("nc"), F.size("r").alias("nr"))
     trains = lambda side: F.exists(side, lambda t: t["role"] == trained)
-    status = (F.when((F.col("nc") == 0) | (F.col("nr") == 0), "one_side").when((F.size("cr") == 0) & (F.size("rr") == 0), "equal")
+    status = (F.when((F.col("nc") == 0) | (F.col("nr") == 0), "one_side").when((F.size("cr") == 0) & (F.size("rr") == 0), "equal").when(F.col("marker"), "marker")
               .when(~trains("cr") | ~trains("rr"), "nothing_to_train").otherwise("ok"))
     return pairs.select("pair_id", status.alias("status"), "n_common", _render(F.col("p")).alias("prompt"),
                         _render(F.col("cr")).alias("chosen"), _spans(F.col("cr"), trained).alias("chosen_spans"),
@@ -87,9 +90,9 @@ m AS (SELECT pair_id, side, string_agg(shown, '' ORDER BY i) AS rest, count(*) A
              string_agg((stop - length(text) - 8) || ':' || stop, ' ' ORDER BY i) FILTER (WHERE role = 'assistant') AS spans
       FROM e GROUP BY pair_id, side),
 q AS (SELECT pair_id, string_agg(shown, '' ORDER BY i) AS prompt FROM s WHERE side AND i <= n_common GROUP BY pair_id),
-h AS (SELECT pair_id, bool_or(side) AS has_c, bool_or(NOT side) AS has_r FROM n GROUP BY pair_id)
+h AS (SELECT pair_id, bool_or(side) AS has_c, bool_or(NOT side) AS has_r, bool_or(contains(text, '<|') OR regexp_matches(role, '[<|>\n]')) AS marker FROM n GROUP BY pair_id)
 SELECT p.pair_id,
-       CASE WHEN NOT has_c OR NOT has_r THEN 'one_side' WHEN mc.k IS NULL AND mr.k IS NULL THEN 'equal'
+       CASE WHEN NOT has_c OR NOT has_r THEN 'one_side' WHEN mc.k IS NULL AND mr.k IS NULL THEN 'equal' WHEN marker THEN 'marker'
             WHEN NOT coalesce(mc.trains, FALSE) OR NOT coalesce(mr.trains, FALSE) THEN 'nothing_to_train' ELSE 'ok' END AS status,
        n_common, coalesce(prompt, '') AS prompt, coalesce(mc.rest, '') AS chosen, coalesce(mc.spans, '') AS chosen_spans,
        coalesce(mr.rest, '') AS rejected, coalesce(mr.spans, '') AS rejected_spans
