@@ -27,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluvio.llm import words as W
@@ -165,8 +165,11 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     grouped = rows.where("group_size IS NOT NULL")
     cols = ["doc_id", "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256")]
     others = grouped.where(~keeper).withColumn("kept", F.lit(False)).select(*cols)
-    nth = F.row_number().over(Window.partitionBy("fp", "sha").orderBy("doc_id"))  # over the keepers alone: one, unless a row is repeated
-    return alone.union(others).union(grouped.where(keeper).withColumn("kept", nth == 1).select(*cols))
+    # One row with the id that stays, unless it is repeated (a text may have no id in any row): then the first of them.
+    keepers = write_table(grouped.where(keeper).withColumn("rid", F.monotonically_increasing_id()), "dedup-keepers")
+    first = keepers.groupBy("fp", "sha").agg(F.min("rid").alias("rid")).withColumn("kept", F.lit(True))
+    keepers = keepers.join(first, ["fp", "sha", "rid"], "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+    return alone.union(others).union(keepers.select(*cols))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

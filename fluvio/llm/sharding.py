@@ -12,8 +12,8 @@ a virtual node, whatever the input) are planned on the driver and rows learn
 their place from their rank at their node. ``slot`` numbers a shard's rows from
 0 without a gap.
 
-Defined results: a null text has no bytes; a row with a null id is placed by
-its text; repeated rows are placed each, one after another; an empty table
+Defined results: a null text has no bytes; rows with a null id are
+placed by their text, equal ones of them over many places; repeated rows are placed each, one after another; an empty table
 gives an empty result; further columns stay as they are and play no part.
 """
 
@@ -25,10 +25,12 @@ from bisect import bisect_left
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fluvio.llm.common import need, table
+from fluvio.llm.common import need, table, write_table
 
 #: Points of the ring; node positions and keys are spread over them.
 POINTS = 1 << 62
+#: Places over which equal rows without an id are dealt.
+SPREAD = 4096
 
 
 def node_ring(spark: SparkSession, shards: int, nodes: int) -> list[tuple[int, int]]:
@@ -116,7 +118,9 @@ def sharded(docs: DataFrame, shards: int = 40, nodes: int = 128, slack: float =
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = need(docs, doc_id="doc_id", text="text").select(
         "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    key = F.xxhash64(F.when(F.col("doc_id").isNull(), F.xxhash64("text_crc32", "size")).otherwise(F.xxhash64("doc_id")))
+    # Rows without an id may be many and equal; their places are dealt out, and written, so that all later reads agree.
+    rows = write_table(rows.withColumn("spread", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id() % SPREAD)), "shard-rows")
+    key = F.xxhash64(F.when(F.col("doc_id").isNull(), F.xxhash64("text_crc32", "size", "spread")).otherwise(F.xxhash64("doc_id")))
     out = on_ring(rows, key, [F.col("doc_id"), F.col("text_crc32"), F.col("size")], shards, nodes, slack)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 

@@ -169,6 +169,75 @@ def test_dual_with_base_rates_and_cap(spark):
     assert math.exp(dual["b"]) == pytest.approx(3, rel=1e-9)
 
 
+def test_rates_tilt_with_size_and_solve_the_dual(spark):
+    """Rates differ within a source, meet the targets, and are the brute-force optimum of the dual (bisection)."""
+    import random
+    rng = random.Random(6)
+    rows = [(i, " ".join(["w"] * max(1, int(rng.lognormvariate(3, 1)))), "abcd"[min(3, i // 150)]) for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.choose(mixing.measured(docs).drop("text")).collect()
+    for s in "abcd":
+        mine = [r for r in got if r.source == s]
+        size, target = sum(r.size for r in mine), mine[0].target
+        by_class = defaultdict(list)
+        for r in mine:
+            by_class[math.floor(math.log2(r.size) * mixing.CLASSES)].append(r.size)
+        mean = size / len(mine)
+        u = {c: sum(x) / len(x) / mean for c, x in by_class.items()}
+        words = lambda lam: sum(sum(x) * min(3, math.exp(min(50, lam * u[c]))) for c, x in by_class.items())
+        if target >= 3 * size * (1 - 1e-9):
+            assert all(r.rate == pytest.approx(3) for r in mine)
+            continue
+        lo, hi = -1e4, 1e4
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if words(mid) < target else (lo, mid)
+        rates = {math.floor(math.log2(r.size) * mixing.CLASSES): r.rate for r in mine}
+        assert all(rates[c] == pytest.approx(min(3, math.exp(min(50, lo * u[c]))), rel=1e-6) for c in u)
+        assert words(lo) == pytest.approx(target, rel=1e-9) and (len({round(x, 6) for x in rates.values()}) > 1 or abs(lo) < 1e-6)
+
+
+def test_many_sources_are_ranked_in_ranges(spark):
+    size = {(None if i == 7 else f"s{i:03d}"): 1 + (i * 37) % 91 for i in range(200)}
+    df = spark.createDataFrame(list(size.items()), "source string, size long").repartition(5)
+    got = {r.source: r.target for r in mixing.source_targets(df).collect()}
+    want = targets_by_hand(size)
+    assert set(got) == set(want) and all(got[s] == pytest.approx(want[s], rel=1e-9) for s in want)
+
+
+def test_long_items_cost_few_hits(spark):
+    """A document equal to a long item, with and without changed words: equal results, and hits that do not grow with the length."""
+    import random
+    rng = random.Random(3)
+    item = [f"w{rng.randrange(10**6)}" for _ in range(600)]
+    changed = list(item)
+    for k in range(5, 600, 40):
+        changed[k] = "other"
+    docs = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(changed)), (3, " ".join(["x"] * 9 + item[100:140])), (4, " ".join(item[::-1]))], "doc_id long, text string")
+    items = spark.createDataFrame([(9, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: (r.matched, r.compared, r.doc_start) for r in decontaminate.overlaps(docs, items).collect()}
+    assert got[1] == (600, 600, 0) and got[2] == (585, 600, 0) and got[3][0] == 40 and 4 not in got
+    hashed = lambda df, c: df.select("*", decontaminate.word_array(F.col("text")).alias(c)).withColumn("hs", F.transform(c, lambda w: F.xxhash64(w)))
+    known = decontaminate.seeds(hashed(items, "words").withColumnRenamed("words", "words"), decontaminate.MASKS, items=True).select("seed", F.col("pos").alias("item_pos"), F.col("words").alias("item"))
+    hits = decontaminate.seeds(hashed(docs, "words"), decontaminate.MASKS).drop("hs").join(known, "seed").where(~decontaminate.goes_on(decontaminate.MASKS))
+    n = {r.doc_id: r["count"] for r in hits.groupBy("doc_id").count().collect()}
+    assert n[1] <= 3 and n[2] <= 3 * 16 * 4
+
+
+def test_one_keeper_among_many_rows_without_ids(spark):
+    docs = spark.createDataFrame([(None, "same")] * 50 + [(None, "other"), (3, "third"), (3, "third"), (2, "third")], "doc_id long, text string").repartition(6)
+    got = exact_dedup.exact_groups(docs).collect()
+    kept = sorted((r.text_sha256, r.doc_id, r.group_size) for r in got if r.kept)
+    assert len(got) == 54 and len(kept) == 3 and sorted(k[2] for k in kept) == [1, 3, 50]
+
+
+def test_equal_rows_without_ids_are_spread(spark):
+    docs = spark.createDataFrame([(None, "same")] * 5000 + [(i, "x") for i in range(100)], "doc_id long, text string").repartition(8)
+    got = sharding.sharded(docs)
+    rows = got.groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("last"), F.countDistinct("slot").alias("d")).collect()
+    assert len(rows) == 40 and all(r.n in (127, 128) and r["last"] == r.n - 1 and r.d == r.n for r in rows)
+
+
 # --- op4 -------------------------------------------------------------------------------------------
 
 def test_shards_are_even_gapless_and_repeatable(odd, none, spark, sf_small):
