@@ -10,10 +10,11 @@ scalar subquery (two numbers), not a join.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fluvio.session import scratch_path
+
 
 def month_index(year="year", month="month") -> Column:
     y = F.col(year) if isinstance(year, str) else year
@@ -29,8 +30,11 @@ def calendar_gaps(panel: DataFrame) -> DataFrame:
     after the calendar start) are missing; the last row of a station also
     reports the months up to the calendar end.
     """
-    # The station-months are kept once; the bounds and the gaps both read them, so the facts are scanned once.
-    idx = panel.select("station_id", month_index().alias("_idx")).persist(StorageLevel.MEMORY_AND_DISK)
+    # The station-months are written once (two numbers each); the bounds and the gaps both read them, so the facts are scanned once.
+    spark = panel.sparkSession
+    path = scratch_path(spark, "calendar")
+    panel.select(F.col("station_id").cast("long").alias("station_id"), month_index().cast("long").alias("_idx")).write.parquet(path)
+    idx = spark.read.schema("station_id long, _idx long").parquet(path)
     rng = idx.select(F.struct(F.min("_idx").alias("lo"), F.max("_idx").alias("hi"))).scalar()
     w = Window.partitionBy("station_id").orderBy("_idx")
     x = idx.select("station_id", "_idx", F.lag("_idx", 1).over(w).alias("_prev"),
