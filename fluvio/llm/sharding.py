@@ -118,8 +118,11 @@ def sharded(docs: DataFrame, shards: int = 40, nodes: int = 128, slack: float =
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = need(docs, doc_id="doc_id", text="text").select(
         "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    # Rows without an id may be many and equal; their places are dealt out, and written, so that all later reads agree.
-    rows = write_table(rows.withColumn("spread", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id() % SPREAD)), "shard-rows")
+    # Rows without an id may be many and alike: they are counted, and numbered anew, so that they are dealt over many places.
+    alike = rows.where("doc_id IS NULL").groupBy("doc_id", "size", "text_crc32").count()
+    many = alike.select("*", F.explode(F.expr(f"sequence(0L, (count - 1) DIV {SPREAD})")).alias("part")).repartition("size", "text_crc32", "part")
+    anew = many.select("doc_id", "size", "text_crc32", F.explode(F.expr(f"sequence(0L, least({SPREAD}, count - part * {SPREAD}) - 1)")).alias("spread"))
+    rows = write_table(rows.where("doc_id IS NOT NULL").withColumn("spread", F.lit(None).cast("long")).union(anew), "shard-rows")
     key = F.xxhash64(F.when(F.col("doc_id").isNull(), F.xxhash64("text_crc32", "size", "spread")).otherwise(F.xxhash64("doc_id")))
     out = on_ring(rows, key, [F.col("doc_id"), F.col("text_crc32"), F.col("size")], shards, nodes, slack)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
