@@ -517,6 +517,59 @@ def test_flattened_trees_fit_an_interaction():
     assert (one.score(x) > 0.99).all() and (quality.fit_trees(x[:0], y[:0]).score(x) == 0.5).all()
 
 
+def test_trees_against_plain_splits():
+    """Boosting with every split searched by sums over rows, and every tree walked row by row."""
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(240, 4)), 1).astype(np.float32)  # ties and repeated values
+    y = ((x[:, 0] + 0.5 * x[:, 2] > 0.2) ^ (rng.random(240) < 0.1)).astype(float)
+    params = dict(trees=6, depth=3, rate=0.3, bins=8, l2=2.0)
+    model = quality.fit_trees(x, y, **params)
+    edges = [sorted({np.float32(v) for v in np.quantile(x[:, j], np.linspace(0, 1, 9)[1:-1])}) for j in range(4)]
+    p0 = (y.sum() + 0.5) / 241
+    margin, grown = [math.log(p0 / (1 - p0))] * 240, []
+
+    def gain_of(g, s, left):
+        gl, sl = sum(g[i] for i in left), sum(s[i] for i in left)
+        return gl, sl
+
+    for _ in range(6):
+        q = [1 / (1 + math.exp(-m)) for m in margin]
+        g, s = [a - b for a, b in zip(q, y)], [a * (1 - a) for a in q]
+
+        def grow(rows, depth):
+            if depth == 3:
+                return -0.3 * sum(g[i] for i in rows) / (sum(s[i] for i in rows) + 2.0)
+            all_g, all_s = gain_of(g, s, rows)
+            best = (1e-6, None)
+            for j in range(4):
+                for e in edges[j]:
+                    left = [i for i in rows if x[i, j] <= e]
+                    gl, sl = gain_of(g, s, left)
+                    if sl >= 2 and all_s - sl >= 2:
+                        gain = gl**2 / (sl + 2) + (all_g - gl)**2 / (all_s - sl + 2) - all_g**2 / (all_s + 2)
+                        if gain > best[0] + 1e-12:
+                            best = (gain, (j, e))
+            if best[1] is None:
+                return grow(rows, depth + 1)  # no split: all rows go left
+            j, e = best[1]
+            return j, e, grow([i for i in rows if x[i, j] <= e], depth + 1), grow([i for i in rows if x[i, j] > e], depth + 1)
+
+        tree = grow(list(range(240)), 0)
+        grown.append(tree)
+
+        def walk(row, t):
+            while isinstance(t, tuple):
+                t = t[2] if row[t[0]] <= t[1] else t[3]
+            return t
+
+        margin = [m + walk(x[i], tree) for i, m in enumerate(margin)]
+    want = [1 / (1 + math.exp(-m)) for m in margin]
+    assert np.allclose(model.score(x), want, atol=1e-9)
+    fresh = rng.normal(size=(50, 4)).astype(np.float32)
+    base = math.log(p0 / (1 - p0))
+    assert np.allclose(model.score(fresh), [1 / (1 + math.exp(-(base + sum(walk(r, t) for t in grown)))) for r in fresh], atol=1e-9)
+
+
 # --- op9 -------------------------------------------------------------------------------------------
 
 def test_toxicity_restores_and_scores(spark):
