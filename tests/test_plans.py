@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as E
 from fluvio.queries import QUERIES
 
-SIDE_EFFECTS = {"train_eval", "score_requests", "model_status", "stream_score",
+SIDE_EFFECTS = {"train_eval", "train_legacy", "score_requests", "model_status", "stream_score", "stream_served", "stream_lags",
                 "stream_obs_filter", "csv_scan", "scored_series", "export_tables", "json_records", "json_requests"}
 OWN = [n for n in sorted(E.queries()) if n in set(QUERIES) - SIDE_EFFECTS]
 
