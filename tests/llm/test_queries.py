@@ -34,7 +34,7 @@ def test_query_on_the_smallest_table(spark, sf_small, name):
         assert len(rows) == table(spark, sf_small, "documents").count()
     if name in ORACLES:
         con = duckdb.connect()
-        for t in ("documents", "conversations"):
+        for t in ("documents", "conversations", "benchmark", "pages"):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_small}/{t}.parquet')")
         res = con.execute(ORACLES[name])
         cols = [d[0] for d in res.description]
