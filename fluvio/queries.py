@@ -734,6 +734,19 @@ def variant_result(spark, sf_dir):
         F.try_variant_get("result", "$.props.k", "double").alias("props_k")))
 
 
+@query("variant_stored", f"""SELECT event_id AS id, {_R('value', 'speed_avg')}, {_R("CAST(json_extract(props, '$.k') AS DOUBLE)", 'props_k')}
+FROM events WHERE event_id % 3 = 2 AND value > 50""")
+def variant_stored(spark, sf_dir):
+    """A3 + H22: forecasts stored with their result shredded; fast objects by a filter pushed to the typed column."""
+    from fluvio.session import scratch_path
+    from fluvio.sources.records import forecasts, objects_with, write_forecasts
+    path = scratch_path(spark, "forecasts")
+    write_forecasts(forecasts(spark, sf_dir).select("id", "model", "result"), path)
+    fast = objects_with(spark.read.parquet(path), "speed_avg", 50.0)
+    return rounded(fast.select("id", F.try_variant_get("result", "$.speed_avg", "double").alias("speed_avg"),
+                               F.try_variant_get("result", "$.props.k", "double").alias("props_k")))
+
+
 # --- files: CSV scan, scored series, run export (A1, A5, A6, B18, H15) -----------------------
 
 _PANEL_COLS = ["station_id", "year", "month"] + C.METEO_COLUMNS + [C.TARGET_A, C.TARGET_MIN, C.TARGET_B]

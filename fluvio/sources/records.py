@@ -180,3 +180,30 @@ def write_records(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Store normalised records; clustered by the geometry-type key so a
     pushed ``geometry_type = 'point'`` filter skips whole row groups."""
     df.sortWithinPartitions("geometry_type").write.mode(mode).parquet(path)
+
+
+#: Writing a VARIANT column shreds it: fields of one type in a file become typed Parquet columns of their own.
+_SHRED = ("spark.sql.variant.writeShredding.enabled", "spark.sql.variant.inferShreddingSchema")
+
+
+def write_forecasts(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Store forecast records with their polymorphic ``result`` shredded.
+
+    Results of one kind go to a partition (``result_kind``), so the files of
+    objects hold each field as a typed column that a filter on
+    ``try_variant_get(result, '$.field', type)`` is pushed to.
+    """
+    spark = df.sparkSession
+    before = {k: spark.conf.get(k, None) for k in _SHRED}
+    for k in _SHRED:
+        spark.conf.set(k, "true")
+    try:
+        df.withColumn("result_kind", result_kind(F.col("result"))).write.mode(mode).partitionBy("result_kind").parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def objects_with(stored: DataFrame, field: str, above: float) -> DataFrame:
+    """Stored records whose result is an object with a numeric ``field`` above a value: one partition, a pushed filter."""
+    return stored.where((F.col("result_kind") == "object") & (F.try_variant_get("result", f"$.{field}", "double") > above))

@@ -121,3 +121,20 @@ def test_geometry_filter_is_pushed_to_parquet(spark, tmp_path):
     assert "EqualTo(geometry_type,point)" in plan
     assert "ReadSchema: struct<id:bigint,geometry_type:string,location_name:string>" in plan
     assert sorted(r.id for r in q.collect()) == [41, 42, 44, 46]
+
+
+def test_stored_results_are_shredded_and_filters_pushed(spark, sf_small, tmp_path):
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    from fluvio.sources import records
+    path = str(tmp_path / "forecasts")
+    records.write_forecasts(records.forecasts(spark, sf_small).select("id", "model", "result"), path)
+    schema = str(pq.ParquetFile(next((tmp_path / "forecasts/result_kind=object").glob("*.parquet"))).schema)
+    assert "typed_value" in schema and "speed_avg" in schema
+    stored = spark.read.parquet(path)
+    q = records.objects_with(stored, "speed_avg", 50.0).select("id")
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(result" in plan and "PartitionFilters: [isnotnull(result_kind" in plan and "struct<0:double>" in plan
+    text = lambda df: sorted((r.id, r.k, r.j) for r in df.select("id", records.result_kind(F.col("result")).alias("k"), F.to_json("result").alias("j")).collect())
+    assert text(stored) == text(records.forecasts(spark, sf_small))
