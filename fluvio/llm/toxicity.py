@@ -22,7 +22,9 @@ few numbers. Everything else covers all rows and whole texts.
 
 Defined results: null and empty texts are scored as texts without evidence;
 repeated rows are scored each; of labels that contradict one another for an id
-the mean decides (a tie counts as 1); without labels of both classes the score
+the mean decides (a tie counts as 1), and equal texts of different ids count once,
+as 1 if any of them does; web addresses and tokens of 8 or more hexadecimal
+digits are read as they are; without labels of both classes the score
 is the share of class 1 (0.5 without any label); an empty table gives an empty
 result; further columns play no part.
 """
