@@ -1098,8 +1098,10 @@ def stream_lags(spark, sf_dir):
     part = F.least(F.lit(3), F.expr(f"(year * 12 + month - {first} + station_id % 3) DIV 21"))
     for k in range(4):
         panel.where(part == k).write.mode("append").parquet(base + "/months")
+    half = -(-len(spark.read.parquet(base + "/months").inputFiles()) // 2)
     closing_row(spark, panel).write.mode("append").parquet(base + "/months")
-    stream = spark.readStream.schema(panel.schema).option("maxFilesPerTrigger", 2).parquet(base + "/months")
+    # two parts a batch, whatever the files of a part: each batch opens and commits the whole state
+    stream = spark.readStream.schema(panel.schema).option("maxFilesPerTrigger", half).parquet(base + "/months")
     with rocksdb(spark):
         run_available_now(lag_stream(stream, "24 months"), base + "/lags", base + "/_checkpoint")
     return rounded(spark.read.parquet(base + "/lags").select("station_id", "year", "month", *_LAG_COLS))

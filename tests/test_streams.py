@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from fluvio import config as C
@@ -107,3 +108,56 @@ def test_resent_requests_and_a_run_committed_between_batches(spark, sf_small, tm
 def test_no_committed_run_raises(spark, tmp_path):
     with pytest.raises(LookupError):
         streams.CommittedService(spark, str(tmp_path))()
+
+
+class Counted:
+    """State of one station in memory, counting the calls to it."""
+
+    def __init__(self):
+        self.calls, self.value, self.map, self.timers = 0, None, {}, []
+
+    def _call(self, out=None):
+        self.calls += 1
+        return out
+
+    def getValueState(self, *_):
+        return self
+
+    def getMapState(self, *_):
+        return type("Map", (), {"containsKey": lambda _, k: self._call(k in self.map), "updateValue": lambda _, k, v: self._call(self.map.update({k: v})),
+                                "keys": lambda _: self._call(list(self.map)), "getValue": lambda _, k: self._call(self.map[k]), "removeKey": lambda _, k: self._call(self.map.pop(k))})()
+
+    def exists(self):
+        return self._call(self.value is not None)
+
+    def get(self):
+        return self._call(self.value)
+
+    def update(self, value):
+        self._call()
+        self.value = value
+
+    def registerTimer(self, ms):
+        self._call()
+        self.timers.append(ms)
+
+
+def test_state_calls_of_a_station_do_not_grow_with_its_months():
+    from datetime import datetime, timezone
+    from types import SimpleNamespace
+
+    at = lambda m: datetime(m // 12, m % 12 + 1, 1, tzinfo=timezone.utc)
+
+    def feed(n):
+        state = Counted()
+        p = lags._processor(tuple(C.API_WEIGHTS), lags.NO_STATION, lags._NAMES)
+        p.init(state)
+        rows = [Row(year=m // 12, month=m % 12 + 1, pr_mean=float(m), y=1.0, at=at(m)) for m in range(24000, 24000 + n)]
+        for part in (rows[n // 2:], rows[:n // 2]):  # the later half first: its timer is not the earliest
+            assert list(p.handleInputRows((7,), iter(part), None)) == []
+        now = SimpleNamespace(getCurrentWatermarkInMs=lambda: int(at(24000 + n).timestamp() * 1000))
+        out = [r for _ in list(state.timers) for r in p.handleExpiredTimer((7,), now, None)]
+        assert [(r.year * 12 + r.month - 1, r.pr_lag1) for r in out] == [(m, float(m - 1) if m > 24000 else None) for m in range(24000, 24000 + n)]
+        return state.calls
+
+    assert feed(60) == feed(10) < 12
