@@ -900,6 +900,12 @@ def _serving(spark, sf_dir, frame=None):
     return score.StandIn.fitted(frame), sigmas.join(best, "station_id", "left")
 
 
+def _stored(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written as Parquet and read again."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _served_sql(sigma_mode: str = "run") -> str:
     """Accepted requests, their stand-in forecast and served band."""
     ok = " AND ".join(f"{c} IS NOT NULL" for c in C.REQUEST_FEATURES)
@@ -1031,12 +1037,16 @@ UNION ALL SELECT request_id, station_id, year, month, NULL, NULL, array_to_strin
 def stream_score(spark, sf_dir):
     """A4 as a JSON request stream -> B14 -> I6 in foreachBatch (accepted + quarantined sinks), in two runs on one
     checkpoint; the second brings a third of the requests again, which are not answered twice."""
+    from fluvio.plans import score
     from fluvio.session import scratch_path
     from fluvio.sources.requests import requests_from_frame
     from fluvio.streaming.streams import request_stream, score_request_stream
-    model, runs = _serving(spark, sf_dir)
     base = scratch_path(spark, "stream_score")
-    rows = requests_from_frame(_frame(spark, sf_dir))
+    frame = _stored(_frame(spark, sf_dir), base + "/frame")
+    # every micro-batch joins the served rows: they are made once, a row for a station
+    model, runs = _serving(spark, sf_dir, frame)
+    model, runs = score.StandIn(_stored(model.offsets, base + "/offsets")), _stored(runs, base + "/runs")
+    rows = requests_from_frame(frame)
     rows.write.mode("overwrite").json(base + "/sent")
     rows = spark.read.schema(rows.schema).json(base + "/sent")
     part = F.pmod(F.xxhash64("request_id"), F.lit(3))

@@ -161,3 +161,19 @@ def test_state_calls_of_a_station_do_not_grow_with_its_months():
         return state.calls
 
     assert feed(60) == feed(10) < 12
+
+
+def test_served_rows_are_made_once_for_all_batches(spark, sf_small, monkeypatch):
+    from fluvio.queries import QUERIES
+
+    asked, whole = [], streams.score_request_stream
+
+    def score(requests, service, *paths):
+        asked.append(service())
+        whole(requests, service, *paths)
+
+    monkeypatch.setattr(streams, "score_request_stream", score)
+    QUERIES["stream_score"](spark, sf_small)
+    for model, runs, _ in asked:
+        for df in (model.offsets, runs):  # neither is derived from the facts again
+            assert df.inputFiles() and not any("lineitem" in f for f in df.inputFiles())
