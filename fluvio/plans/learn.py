@@ -5,7 +5,8 @@
   each segment fits what the ones before leave of the target, is saved when it
   is fitted and cuts the lineage, so a run that ended goes on from its last
   saved segment, and with a held-out part the error after a segment decides
-  whether the next one starts (I8). Spark samples feature subsets per node, the
+  whether the next one starts, and whether only its first rounds are needed to
+  see the stop (I8). Spark samples feature subsets per node, the
   original per tree, so trees are not bit-equal; seeds are fixed (42 for A, 43
   for B). Spark's squared loss fits twice the residual, so its step is half the
   learning rate asked for; the first tree of a fit, here of each segment,
@@ -110,6 +111,10 @@ def best_round(errors: list[float], patience: int) -> int:
     return best + 1
 
 
+#: What a fit's own passes over its rows take (bins, the rows left, the held-out error), in rounds: 23 s against 2.6 s
+#: a round at 60 times sf0.1.
+FIT_ROUNDS = 10
+
 #: Row keys that training frames carry, where they have them.
 KEYS = ("station_id", "year", "month")
 
@@ -153,7 +158,11 @@ def boost(rows: DataFrame, label: str, pred: str, p: TreeParams, seed: int, path
     parameters goes on after the last one saved. Without ``p.patience`` all
     ``p.max_iter`` rounds are fitted. With it, no segment starts once that many
     rounds brought no better error, and the learner has the trees up to the
-    best round: those of the last segment needed are taken one by one.
+    best round: those of the last segment needed are taken one by one. Where
+    a segment's first rounds can bring the stop, they are fitted first, unless
+    that spares less than it costs in vain: by its seed a segment's first trees
+    are the same whatever its length, so the rest is needed only if one of them
+    is better.
     """
     spark = rows.sparkSession
     path = (path or scratch_path(spark, f"boost-{pred}")).rstrip("/")
@@ -162,14 +171,28 @@ def boost(rows: DataFrame, label: str, pred: str, p: TreeParams, seed: int, path
     keys = [c for c in KEYS if c in rows.columns]
     left = rows.select(*keys, "features", held.alias("held"), F.col(label).cast("double").alias("_left"))
     models, errors, fitted = [], [], 0
-    while fitted < p.max_iter:
-        n = min(p.segment, p.max_iter - fitted)
-        at = f"{path}/segment-{len(models):04d}"
+
+    def segment(n: int, at: str) -> GBTRegressionModel:
         model = _saved(spark, at, signature)
         if model is None:
             model = _gbt("_left", f"_s_{pred}_{len(models)}", replace(p, max_iter=n), seed + len(models)).fit(left.where("NOT held"))
             model.write().overwrite().save(f"{at}/model")
-            spark.createDataFrame([(signature,)], "value string").coalesce(1).write.mode("overwrite").text(f"{at}/done")
+            spark.range(0, 1, 1, 1).select(F.lit(signature).alias("value")).write.mode("overwrite").text(f"{at}/done")
+        return model
+
+    while fitted < p.max_iter:
+        n = min(p.segment, p.max_iter - fitted)
+        at = f"{path}/segment-{len(models):04d}"
+        wait = best_round(errors, p.patience) + p.patience - fitted if errors else n  # rounds none of which may be better, for the stop
+        if 2 * wait + FIT_ROUNDS <= n and _saved(spark, at, signature) is None:
+            model = segment(wait, f"{at}-first-{wait}")
+            first = model.evaluateEachIteration(left.where("held"), "squared")
+            if fitted + wait - best_round(errors + first, p.patience) >= p.patience:
+                models.append(model)
+                errors += first
+                fitted += wait
+                break
+        model = segment(n, at)
         models.append(model)
         fitted += n
         if p.patience:
@@ -249,6 +272,7 @@ def fit_ensemble(frame: DataFrame, cfg: TrainConfig = TrainConfig(), features=C.
     assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
     scaler = fit_population_scaler(data.where(F.col("split").isin("train", "val")), features)
     rows = PipelineModel([assembler, *scaler]).transform(data.where(F.col("split").isin("train", "val"))).withColumn("held", F.col("split") == "val")
+    rows = rows.select(*KEYS, "features", "features_scaled", "held", C.TARGET_A, C.TARGET_B)
     rows.persist(StorageLevel.MEMORY_AND_DISK)
     train = rows.where("NOT held")
     fits = []
@@ -306,11 +330,12 @@ def fit_legacy(frame: DataFrame, p: LegacyParams = LegacyParams(), path: str | N
     is_train = F.col("holdout") == "train"
     assembler = VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="keep")
     prep = [assembler, *fit_population_scaler(data.where(is_train), feats)]
-    rows = PipelineModel(prep).transform(data).withColumn("held", ~is_train).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = PipelineModel(prep).transform(data).withColumn("held", ~is_train).select(*KEYS, "features", "features_scaled", "held", "flow")
+    rows.persist(StorageLevel.MEMORY_AND_DISK)
     params = TreeParams(max_iter=p.tree_rounds, learning_rate=p.tree_rate, max_depth=p.tree_depth, subsampling_rate=p.subsampling_rate,
                         feature_subset="0.8", segment=p.patience, patience=p.patience)
     try:
-        net = _ridge("flow", "net", p.reg_param, p.net_max_iter).fit(rows.where(is_train))
+        net = _ridge("flow", "net", p.reg_param, p.net_max_iter).fit(rows.where("NOT held"))
         tree = boost(rows, "flow", "tree", params, 42, path)
     finally:
         rows.unpersist()

@@ -141,6 +141,36 @@ def test_segments_stop_at_the_best_round_without_a_refit(spark, monkeypatch):
     assert abs(mse - min(got.errors)) < 1e-9
 
 
+def test_a_stop_early_in_a_segment_needs_no_whole_one(spark, tmp_path, monkeypatch):
+    rows = _boost_rows(spark)  # their best round is an early one
+    p = C.TreeParams(max_iter=60, segment=20, max_depth=4, learning_rate=0.6, patience=20)
+    asked, gbt = [], learn._gbt
+    monkeypatch.setattr(learn, "_gbt", lambda label, pred, p, seed: (asked.append(p.max_iter), gbt(label, pred, p, seed))[1])
+    got = learn.boost(rows, "y", "p", p, 3, str(tmp_path / "b"))
+    assert got.rounds <= 5 and asked == [20, got.rounds] and len(got.errors) == got.rounds + 20
+    again = learn.boost(rows, "y", "p", p, 3, str(tmp_path / "b"))  # from what was saved
+    assert len(asked) == 2 and again.errors == got.errors
+    full = learn.boost(rows, "y", "p", C.TreeParams(**{**p.__dict__, "patience": 1000}), 3)
+    assert np.allclose(full.errors[:len(got.errors)], got.errors) and learn.best_round(full.errors, 20) == got.rounds
+    held = rows.where("held")
+    mse = np.mean([(a - r.y) ** 2 for a, r in zip(_boosted(held, got.stages), held.orderBy("station_id", "year", "month").collect())])
+    assert abs(mse - min(got.errors)) < 1e-9
+
+
+def test_a_better_round_among_the_first_ones_brings_the_whole_segment(spark, monkeypatch):
+    rows = _boost_rows(spark)
+    p = C.TreeParams(max_iter=60, segment=20, max_depth=4, learning_rate=0.6, patience=20)
+    best, asked, gbt = learn.best_round, [], learn._gbt
+
+    def better(errors, patience):  # as if round 21 were the best one so far
+        return 21 if len(errors) > 20 else best(errors, patience)
+
+    monkeypatch.setattr(learn, "best_round", better)
+    monkeypatch.setattr(learn, "_gbt", lambda label, pred, p, seed: (asked.append(p.max_iter), gbt(label, pred, p, seed))[1])
+    got = learn.boost(rows, "y", "p", p, 3)
+    assert asked == [20, asked[1], 20, 1] and asked[1] <= 5 and len(got.errors) == 41 and got.rounds == 21
+
+
 def test_a_crash_between_model_and_rows_leaves_no_run(spark, sf_small, tmp_path, monkeypatch):
     from fluvio.plans import evaluate as ev, registry
     frame, root = _train_frame(spark, sf_small), str(tmp_path / "store")
