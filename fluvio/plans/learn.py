@@ -168,8 +168,7 @@ def boost(rows: DataFrame, label: str, pred: str, p: TreeParams, seed: int, path
     path = (path or scratch_path(spark, f"boost-{pred}")).rstrip("/")
     held = F.col("held") if p.patience else F.lit(False)
     signature = f"{label} {p} {seed} {_digest(rows, label)}"
-    keys = [c for c in KEYS if c in rows.columns]
-    left = rows.select(*keys, "features", held.alias("held"), F.col(label).cast("double").alias("_left"))
+    left = rows.select("features", held.alias("held"), F.col(label).cast("double").alias("_left"))
     models, errors, fitted = [], [], 0
 
     def segment(n: int, at: str) -> GBTRegressionModel:
@@ -200,7 +199,7 @@ def boost(rows: DataFrame, label: str, pred: str, p: TreeParams, seed: int, path
             if fitted - best_round(errors, p.patience) >= p.patience:
                 break
         if fitted < p.max_iter:
-            left = model.transform(left).select(*keys, "features", "held", (F.col("_left") - F.col(model.getPredictionCol())).alias("_left")).checkpoint(eager=True)
+            left = model.transform(left).select("features", "held", (F.col("_left") - F.col(model.getPredictionCol())).alias("_left")).checkpoint(eager=True)
     rounds = best_round(errors, p.patience) if p.patience else fitted
     whole, rest = divmod(rounds, p.segment)
     stages = models[:whole]
@@ -330,15 +329,12 @@ def fit_legacy(frame: DataFrame, p: LegacyParams = LegacyParams(), path: str | N
     is_train = F.col("holdout") == "train"
     assembler = VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="keep")
     prep = [assembler, *fit_population_scaler(data.where(is_train), feats)]
-    rows = PipelineModel(prep).transform(data).withColumn("held", ~is_train).select(*KEYS, "features", "features_scaled", "held", "flow")
-    rows.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = PipelineModel(prep).transform(data).withColumn("held", ~is_train)
     params = TreeParams(max_iter=p.tree_rounds, learning_rate=p.tree_rate, max_depth=p.tree_depth, subsampling_rate=p.subsampling_rate,
                         feature_subset="0.8", segment=p.patience, patience=p.patience)
-    try:
-        net = _ridge("flow", "net", p.reg_param, p.net_max_iter).fit(rows.where("NOT held"))
-        tree = boost(rows, "flow", "tree", params, 42, path)
-    finally:
-        rows.unpersist()
+    # Not persisted: the checkpoint is read a few times only, and the memory is for the trees' own rows, read at every level.
+    net = _ridge("flow", "net", p.reg_param, p.net_max_iter).fit(rows.where("NOT held").select("features_scaled", "flow"))
+    tree = boost(rows.select(*KEYS, "features", "held", "flow"), "flow", "tree", params, 42, path)
     model = LegacyModel(PipelineModel([*prep, net, *tree.stages]), tree.rounds, p.weights, tree.errors)
     return model, model.transform(data.where(~is_train))
 

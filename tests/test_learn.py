@@ -171,6 +171,22 @@ def test_a_better_round_among_the_first_ones_brings_the_whole_segment(spark, mon
     assert asked == [20, asked[1], 20, 1] and asked[1] <= 5 and len(got.errors) == 41 and got.rounds == 21
 
 
+def test_legacy_trees_share_the_memory_with_no_kept_rows(spark, sf_small, monkeypatch):
+    from fluvio.operators import features as feat
+    from fluvio.queries import _panel
+    kept = lambda: set(spark.sparkContext._jsc.getPersistentRDDs().keySet())
+    boost, before, seen = learn.boost, kept(), []
+
+    def looks(rows, *args):
+        seen.append((kept() - before, rows.columns))
+        return boost(rows, *args)
+
+    monkeypatch.setattr(learn, "boost", looks)
+    model, scored = learn.fit_legacy(feat.legacy_frame(_panel(spark, sf_small)), C.LegacyParams(tree_rounds=2, tree_depth=2, partitions=2))
+    assert seen == [(set(), ["station_id", "year", "month", "features", "held", "flow"])]
+    assert "features" not in scored.columns and scored.where("tree IS NULL OR net IS NULL").count() == 0
+
+
 def test_a_crash_between_model_and_rows_leaves_no_run(spark, sf_small, tmp_path, monkeypatch):
     from fluvio.plans import evaluate as ev, registry
     frame, root = _train_frame(spark, sf_small), str(tmp_path / "store")
