@@ -4,7 +4,9 @@ Words are runs of letters and digits, lower-cased. A mask keeps some positions
 of a short window and ignores the others, so a seed survives substituted words
 at ignored positions. Seeds of all benchmark windows (a table whose size is
 checked; a large benchmark is taken in blocks of items) meet the seeds of every
-window of every document in a broadcast join. A hit that merely goes on from the
+window of every document in a broadcast join. Documents are taken in pieces, and a
+hit takes along only the words that face the item, so what waits in memory grows
+neither with a document's length nor with its square. A hit that merely goes on from the
 hit one word before (same mask and offset) is left out, so a passage costs a
 few comparisons whatever its length. Around each other hit the benchmark text is laid over the document at the hit's offset and compared word by word. An
 item shorter than the longest mask has masks of its own, over all its words, that
@@ -34,6 +36,8 @@ MASKS = ("1101011", "11100101", "110010011")
 WINDOW, SUBSTITUTIONS = 13, 2
 #: Seeds broadcast at once (about 32 bytes each).
 BLOCK_SEEDS = 1 << 20
+#: Words of a document that are looked up at once (as many as the longest item has, if that is more): their hits wait in memory together.
+PIECE_WORDS = 512
 SEPARATOR = r"[^\p{L}\p{N}]+"
 
 
@@ -71,6 +75,22 @@ def seeds(words: DataFrame, masks: tuple[str, ...], whole: tuple[str, ...] = (),
     return at.select(*words.columns, "pos", F.posexplode(F.array(*[seed(m, mask) for m, mask in enumerate((*masks, *whole))])).alias("mask", "seed")).where("seed IS NOT NULL")
 
 
+def pieces(docs: DataFrame, span: int, margin: int) -> DataFrame:
+    """Rows with ``words`` and ``hs`` as pieces of ``span`` words, with up to ``margin`` more on each side.
+
+    ``words`` and ``hs`` of a piece begin at word ``begin`` of the document; the
+    windows from ``core`` to ``core + span - 1`` are the piece's own.
+    """
+    def piece(at: Column) -> Column:
+        begin = F.greatest(at - margin, F.lit(0))
+        n = at - begin + (span + margin)
+        return F.struct(begin.alias("begin"), (at - begin).alias("core"), F.slice("words", begin + 1, n).alias("words"), F.slice("hs", begin + 1, n).alias("hs"))
+
+    rest = [c for c in docs.columns if c not in ("words", "hs")]
+    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(span))
+    return docs.select(*rest, F.explode(F.transform(starts, piece)).alias("piece")).select(*rest, "piece.*")
+
+
 def goes_on(masks: tuple[str, ...]) -> Column:
     """Whether a hit (``words, pos, item, item_pos, mask``) was a hit one word before as well; masks over whole items have no word before."""
     same = F.lit(False)
@@ -84,7 +104,7 @@ def goes_on(masks: tuple[str, ...]) -> Column:
 
 
 def overlaps(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, window: int = WINDOW,
-             substitutions: int = SUBSTITUTIONS, block_seeds: int = BLOCK_SEEDS) -> DataFrame:
+             substitutions: int = SUBSTITUTIONS, block_seeds: int = BLOCK_SEEDS, piece_words: int = PIECE_WORDS) -> DataFrame:
     """``doc_id, item_id, doc_key, matched, compared, doc_start``: a row for a document and an item that overlap.
 
     ``matched`` of ``compared`` aligned words are equal; ``doc_start`` is the
@@ -95,17 +115,27 @@ def overlaps(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS,
         document_key(F.col("item_id"), F.col("text")).alias("item_key"), "item_id", "item")
     longest = max(map(len, masks))
     size = F.size("item")
-    got = tests.agg(F.sum(size).alias("words"), F.collect_set(F.when((size > 0) & (size < longest), size)).alias("short")).first()
+    got = tests.agg(F.sum(size).alias("words"), F.max(size).alias("most"), F.collect_set(F.when((size > 0) & (size < longest), size)).alias("short")).first()
     # The longest mask's length bounds the distinct lengths of short items.
     whole = tuple(m for n in sorted(got.short) for m in whole_masks(n, may_differ(min(n, window), window, substitutions)))
     blocks = -(-(got.words or 0) * (len(masks) + len(whole)) // block_seeds)
     rows = need(docs, doc_id="doc_id", text="text").select("doc_id", document_key(F.col("doc_id"), F.col("text")).alias("doc_key"), word_array(F.col("text")).alias("words"))
+    margin = max(longest, got.most or 0)  # what an item that a window hits can face lies so near
+    span = max(piece_words, margin)
+    windows = seeds(pieces(hashed(rows), span, margin), masks, whole).where((F.col("pos") >= F.col("core")) & (F.col("pos") < F.col("core") + span))
+    offset = F.col("pos") - F.col("item_pos")
+    first = F.greatest(F.lit(0), -offset)  # the item's first word that faces one of the document
+    n = F.least(F.col("item_words"), F.size("words") - offset) - first
     found = None
     for b in range(max(1, blocks)):
         block = tests.where(F.pmod(F.xxhash64("item_key"), F.lit(max(1, blocks))) == b)
-        known = seeds(hashed(block.select("item_key", F.col("item").alias("words"))), masks, whole, items=True).select("seed", "item_key", F.col("pos").alias("item_pos"))
-        hits = seeds(hashed(rows), masks, whole).drop("hs").join(F.broadcast(known), "seed").join(F.broadcast(block), "item_key").where(~goes_on(masks)).select(
-            "doc_id", "doc_key", "words", "item_key", "item_id", "item", (F.col("pos") - F.col("item_pos")).alias("offset"))
+        known = seeds(hashed(block.select("item_key", F.col("item").alias("words"))), masks, whole, items=True).select(
+            "seed", "item_key", F.col("pos").alias("item_pos"), F.size("words").alias("item_words"))
+        # Spark holds all hits of a piece at a time, so only the words that face the item go on from here.
+        facing = windows.join(F.broadcast(known), "seed").select(
+            "doc_id", "doc_key", "item_key", "item_pos", "mask", (F.col("begin") + offset + first).alias("doc_start"),
+            F.slice("words", offset + first + 1, n).alias("words"), (F.col("item_pos") - first).alias("pos"))
+        hits = facing.join(F.broadcast(block), "item_key").where(~goes_on(masks))
         one = _verified(hits, window, substitutions)
         found = one if found is None else found.union(one)
     best = F.max(F.struct("matched", (-F.col("compared")).alias("less"), (-F.col("doc_start")).alias("at"))).alias("best")
@@ -114,10 +144,9 @@ def overlaps(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS,
 
 
 def _verified(hits: DataFrame, window: int, substitutions: int) -> DataFrame:
-    """Hits (``words, item, offset``) whose aligned words agree well enough around some window."""
-    first = F.greatest(F.lit(0), -F.col("offset"))
-    n = F.least(F.size("item"), F.size("words") - F.col("offset")) - first
-    same = F.zip_with(F.slice("item", first + 1, n), F.slice("words", F.col("offset") + first + 1, n), lambda a, b: (a == b).cast("int"))
+    """Hits (``item`` and the ``words`` that face it, ``pos`` of these at ``item_pos`` of it) whose words agree well enough around some window."""
+    facing = F.slice("item", F.col("item_pos") - F.col("pos") + 1, F.size("words"))
+    same = F.zip_with(facing, "words", lambda a, b: (a == b).cast("int"))
     w = F.least(F.lit(window), F.size("item"))
     total = lambda x: F.aggregate(x, F.lit(0), lambda s, v: s + v)
 
@@ -128,7 +157,7 @@ def _verified(hits: DataFrame, window: int, substitutions: int) -> DataFrame:
     # The lambda over a one-element array evaluates the comparison once for a hit.
     hits = hits.withColumn("is", F.transform(F.array(same), judged)[0]).withColumn("w", w)
     return hits.where(F.col("is.most") >= F.col("w") - F.least(F.lit(substitutions), F.floor(F.col("w") * substitutions / window))).select(
-        "doc_id", "doc_key", "item_key", "item_id", (F.col("offset") + first).alias("doc_start"), "is.matched", "is.compared")
+        "doc_id", "doc_key", "item_key", "item_id", "doc_start", "is.matched", "is.compared")
 
 
 def document_key(doc_id: Column, text: Column) -> Column:

@@ -486,6 +486,46 @@ def test_spaced_seeds_find_items_of_any_length_and_id(spark):
     assert sorted(r.doc_id for r in decontaminate.clean(docs, bench).collect()) == sorted({d for d, _ in rows} - {d for d, _ in got})
 
 
+def test_spaced_seeds_do_not_depend_on_pieces(spark):
+    import random
+    rng = random.Random(11)
+    items = [(i, sentence(rng, n)) for i, n in enumerate((3, 8, 9, 14, 25, 40))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(0, None), (1, ""), (2, " ".join(t for _, t in items)), (3, " ".join(["same"] * 120))]
+    for at in range(0, 130, 3):
+        rows.append((100 + at, f"{sentence(rng, at)} {rng.choice(items)[1]} {sentence(rng, 130 - at)} {' '.join(rng.choice(items)[1].split()[1:])}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    small = rows_of(decontaminate.overlaps(docs, bench, piece_words=1))
+    assert len(small) > 60 and small == rows_of(decontaminate.overlaps(docs, bench, piece_words=1 << 20)) == rows_of(decontaminate.overlaps(docs, bench))
+
+
+LONG_DOCUMENTS = """
+import random, sys
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config(map={"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "2", "spark.driver.host": "127.0.0.1",
+    "spark.checkpoint.dir": sys.argv[1], "spark.local.dir": sys.argv[1], "spark.sql.warehouse.dir": sys.argv[1] + "/tables"}).getOrCreate()
+from fluvio.llm import decontaminate
+rng = random.Random(1)
+passage = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+items = [passage(30) for _ in range(50)]
+docs = [(d, " ".join(passage(370) + " " + items[(d + k) % 50] for k in range(50))) for d in range(4)]
+spark.createDataFrame(docs, "doc_id long, text string").repartition(2).write.parquet(sys.argv[1] + "/docs")
+found = decontaminate.overlaps(spark.read.parquet(sys.argv[1] + "/docs"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+print("found", found.where("matched = 30").count())
+"""
+
+
+def test_spaced_seeds_of_long_documents_need_little_memory(tmp_path):
+    """Documents of 20,000 words with 50 passages each: a hit must not take the whole document along."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+    env = os.environ | {"PYSPARK_SUBMIT_ARGS": "--driver-memory 1g pyspark-shell", "PYTHONPATH": str(Path(decontaminate.__file__).parents[2]), "PYSPARK_PYTHON": sys.executable}
+    done = subprocess.run([sys.executable, "-c", LONG_DOCUMENTS, str(tmp_path)], env=env, capture_output=True, text=True, timeout=240)
+    assert "found 200" in done.stdout, done.stderr[-2000:]
+
+
 # --- op8 -------------------------------------------------------------------------------------------
 
 def test_quality_held_out_accuracy(spark):
