@@ -271,23 +271,20 @@ def fit_ensemble(frame: DataFrame, cfg: TrainConfig = TrainConfig(), features=C.
     assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
     scaler = fit_population_scaler(data.where(F.col("split").isin("train", "val")), features)
     rows = PipelineModel([assembler, *scaler]).transform(data.where(F.col("split").isin("train", "val"))).withColumn("held", F.col("split") == "val")
-    rows = rows.select(*KEYS, "features", "features_scaled", "held", C.TARGET_A, C.TARGET_B)
-    rows.persist(StorageLevel.MEMORY_AND_DISK)
-    train = rows.where("NOT held")
+    # Not persisted: the checkpoint is read a few times only, and the memory is for the trees' own rows, read at every level.
+    scaled = rows.where("NOT held").select("features_scaled", C.TARGET_A, C.TARGET_B)
     fits = []
     for target, t, seed in ((C.TARGET_A, "A", cfg.tree and cfg.tree.seed_a), (C.TARGET_B, "B", cfg.tree and cfg.tree.seed_b)):
-        fits.append(lambda target=target, t=t: [_ridge(target, f"net_{t}", cfg.net.reg_param, cfg.net.max_iter).fit(train)])
+        fits.append(lambda target=target, t=t: [_ridge(target, f"net_{t}", cfg.net.reg_param, cfg.net.max_iter).fit(scaled)])
         if cfg.tree is not None:
-            fits.append(lambda target=target, t=t, seed=seed: boost(
-                rows if cfg.tree.patience else train, target, f"tree_{t}", cfg.tree, seed, path and f"{path}/tree_{t}").stages)
-    try:
-        # The fits are independent: submit them from driver threads so their
-        # (many, small) jobs share the executors, as Spark ML's own
-        # CrossValidator(parallelism=...) does.
-        with ThreadPoolExecutor(max_workers=len(fits)) as pool:
-            fitted = [stage for stages in pool.map(lambda f: f(), fits) for stage in stages]
-    finally:
-        rows.unpersist()
+            own = rows.select(*KEYS, "features", "held", target)
+            fits.append(lambda target=target, t=t, seed=seed, own=own: boost(
+                own if cfg.tree.patience else own.where("NOT held"), target, f"tree_{t}", cfg.tree, seed, path and f"{path}/tree_{t}").stages)
+    # The fits are independent: submit them from driver threads so their
+    # (many, small) jobs share the executors, as Spark ML's own
+    # CrossValidator(parallelism=...) does.
+    with ThreadPoolExecutor(max_workers=len(fits)) as pool:
+        fitted = [stage for stages in pool.map(lambda f: f(), fits) for stage in stages]
     return TrainedEnsemble(PipelineModel([assembler, *scaler, *fitted]), features)
 
 

@@ -10,11 +10,11 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from fluvio.config import TrainConfig
 from fluvio.plans import learn, registry, score
+from fluvio.session import scratch_path
 
 
 @dataclass
@@ -39,8 +39,11 @@ def train_evaluate_register(frame: DataFrame, cfg: TrainConfig, root: str, run_i
     ens = learn.fit_ensemble(frame, cfg, checkpoint=False, path=f"{root}/segments/{run_id}")
     model_path = f"{root}/models/{run_id}"
     ens.save(model_path)
-    # the scored rows are kept once for the scale search and the report
-    scored = score.Scored(ens.transform(frame).persist(StorageLevel.MEMORY_AND_DISK))
+    # the scored rows are written once for the scale search and the report, which
+    # read the columns they need and have the memory to themselves
+    path = scratch_path(frame.sparkSession, "scored")
+    ens.transform(frame).write.parquet(path)
+    scored = score.Scored(frame.sparkSession.read.parquet(path))
     band = score.scored_band(frame, scored, cfg.scale, cfg.calibration_split)
     report = score.run_report(band)
     registry.commit_run(registry.run_rows(report, model_path, run_id), root, run_id, model_path)

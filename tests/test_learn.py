@@ -187,6 +187,34 @@ def test_legacy_trees_share_the_memory_with_no_kept_rows(spark, sf_small, monkey
     assert "features" not in scored.columns and scored.where("tree IS NULL OR net IS NULL").count() == 0
 
 
+def test_a_training_run_keeps_no_rows_in_memory(spark, sf_small, tmp_path, monkeypatch):
+    from fluvio.plans import score
+    from fluvio.plans.training_run import train_evaluate_register
+    boost, band, seen = learn.boost, score.scored_band, []
+
+    def kept():  # cached rows; the trees of the other target may keep binned rows meanwhile
+        return {i for i, rdd in spark.sparkContext._jsc.getPersistentRDDs().items() if "Project" in str(rdd.name())}
+
+    before = kept()
+
+    def looks(rows, *args):
+        seen.append(kept() - before)
+        assert "features_scaled" not in rows.columns and len({C.TARGET_A, C.TARGET_B} & {*rows.columns}) == 1
+        return boost(rows, *args)
+
+    def looks_too(frame, ens, *args):
+        seen.append(kept() - before)
+        return band(frame, ens, *args)
+
+    monkeypatch.setattr(learn, "boost", looks)
+    monkeypatch.setattr(score, "scored_band", looks_too)
+    frame = _train_frame(spark, sf_small).checkpoint()
+    cfg = C.TrainConfig(tree=C.TreeParams(max_iter=2, segment=1, max_depth=2, patience=1), partitions=2)
+    run = train_evaluate_register(frame, cfg, str(tmp_path / "store"), "one")
+    assert seen == [set()] * 3 and kept() == before and run.report.count() > 0
+    assert run.band.where("tree_A IS NULL OR net_B IS NULL OR pred IS NULL").count() == 0
+
+
 def test_a_crash_between_model_and_rows_leaves_no_run(spark, sf_small, tmp_path, monkeypatch):
     from fluvio.plans import evaluate as ev, registry
     frame, root = _train_frame(spark, sf_small), str(tmp_path / "store")
